@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalframe.llm import bpe_codec, language_id, secret_scan, source_mix
+from vitalframe.llm import bpe_codec, language_id, ngram_join, secret_scan, source_mix
 from vitalframe.llm.common import materialize
 from vitalframe.llm.queries import RANK_FILE
 
@@ -24,6 +24,19 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return labelled.where((F.col("__pred") != language_id.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).select(*names)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group one document stays, that of least id
+    (of rows that share this id, the one whose text hash is least)."""
+    found = ngram_join.link_components(docs)
+    # Only ids of documents that go or stay are joined, never texts with texts.
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(keep, "doc_id", "left_semi")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.md5(F.coalesce("text", F.lit("")))).alias("h")).where("n > 1")
+    once = kept.join(repeated, "doc_id", "left").where(F.col("n").isNull() | (F.md5(F.coalesce("text", F.lit(""))) == F.col("h")))
+    alone = once.where("n is null").select(*COLUMNS)
+    return alone.union(once.where("n is not null").dropDuplicates(["doc_id"]).select(*COLUMNS))
+
+
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans: every span becomes a mark; the documents stay."""
     found = secret_scan.scan(docs, keep=COLUMNS)
@@ -44,6 +57,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", keep_languages),
+    ("ngram_join", drop_near_copies),
     ("secret_scan", hide_secrets),
     ("source_mix", mix_sources),
     ("bpe_codec", encode_texts),

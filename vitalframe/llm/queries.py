@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, secret_scan, source_mix, splitter_shards, token_counts, weighted_fingerprint
+from . import bpe_codec, language_id, ngram_join, secret_scan, source_mix, splitter_shards, token_counts, weighted_fingerprint
 from .common import crc_mod, documents
 
 RANK_FILE, TOKENIZER_FILE = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -47,6 +47,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(documents(spark, sf_dir), n=4, num=85, den=100)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = crc_mod("doc_id", 3) == 1
@@ -54,5 +58,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_secret_scan, op5_bpe_codec, op6_weighted_fingerprint, op7_splitter_shards, op8_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_secret_scan, op5_bpe_codec, op6_weighted_fingerprint, op7_splitter_shards, op8_token_counts, op9_ngram_join, op10_language_id)}
 ORACLE: dict[str, str] = {}
