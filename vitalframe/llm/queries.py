@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, ngram_join, secret_scan, source_mix, splitter_shards, token_counts, weighted_fingerprint
+from . import bpe_codec, language_id, ngram_join, secret_scan, source_mix, splitter_shards, token_counts, webp, weighted_fingerprint
 from .common import crc_mod, documents
 
 RANK_FILE, TOKENIZER_FILE = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
+def op1_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.store_texts(documents(spark, sf_dir))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -58,5 +62,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_secret_scan, op5_bpe_codec, op6_weighted_fingerprint, op7_splitter_shards, op8_token_counts, op9_ngram_join, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_webp, op2_source_mix, op3_secret_scan, op5_bpe_codec, op6_weighted_fingerprint, op7_splitter_shards, op8_token_counts, op9_ngram_join, op10_language_id)}
 ORACLE: dict[str, str] = {}
