@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, ngram_join, secret_scan, source_mix, splitter_shards, token_counts, webp, weighted_fingerprint
+from . import bilinear_lm, bpe_codec, language_id, ngram_join, secret_scan, source_mix, splitter_shards, token_counts, webp, weighted_fingerprint
 from .common import crc_mod, documents
 
 RANK_FILE, TOKENIZER_FILE = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -33,6 +33,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 7) == 2
+    scored = bilinear_lm.score(documents(spark, sf_dir), ~held_out)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
@@ -62,5 +68,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_webp, op2_source_mix, op3_secret_scan, op5_bpe_codec, op6_weighted_fingerprint, op7_splitter_shards, op8_token_counts, op9_ngram_join, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_webp, op2_source_mix, op3_secret_scan, op4_bilinear_lm, op5_bpe_codec, op6_weighted_fingerprint, op7_splitter_shards, op8_token_counts, op9_ngram_join, op10_language_id)}
 ORACLE: dict[str, str] = {}
