@@ -26,15 +26,13 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group one document stays, that of least id
-    (of rows that share this id, the one whose text hash is least)."""
-    found = ngram_join.link_components(docs)
-    # Only ids of documents that go or stay are joined, never texts with texts.
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.md5(F.coalesce("text", F.lit("")))).alias("h")).where("n > 1")
-    once = kept.join(repeated, "doc_id", "left").where(F.col("n").isNull() | (F.md5(F.coalesce("text", F.lit(""))) == F.col("h")))
-    alone = once.where("n is null").select(*COLUMNS)
-    return alone.union(once.where("n is not null").dropDuplicates(["doc_id"]).select(*COLUMNS))
+    (null ids last; of rows that share an id, the one of least text hash)."""
+    order = F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    key = F.concat(F.coalesce(F.concat(F.lit("0"), order), F.lit("1")), F.md5(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("__key", key)
+    found = ngram_join.link_components(keyed, id_col="__key")
+    stays = found.where(F.col("__key") == F.col("component_id")).select("__key")
+    return keyed.join(stays, "__key", "left_semi").dropDuplicates(["__key"]).select(*COLUMNS)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
