@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES, CELL_BYTES, MAX_CELLS, FAN = 32, 16 << 20, 1 << 14, 64
+SAMPLES, CELL_BYTES, MAX_CELLS, FAN = 32, 4 << 20, 1 << 14, 64
 
 
 def sample_key(term: Column, log_weight: Column, j: int) -> Column:
@@ -104,7 +104,7 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = F.struct(F.col("cell").alias("cell"), F.lit(0).alias("guest"))
     both = F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("cell"), F.lit(1).alias("guest"))))
     dealt = rows.join(guests, "o", "left").select("id", "o", "t", F.explode(both).alias("x")).select("x.cell", "x.guest", "id", "o", "t")
-    dealt = dealt.repartition(max(cells, int(spark.conf.get("spark.sql.shuffle.partitions"))), "cell")
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("cell"))  # one task per cell, as cells are even
     order = Window.partitionBy("cell").orderBy("guest", F.desc("o"), F.desc(F.md5("t")))
     near = dealt.select("cell", "guest", "id", "t", F.row_number().over(order).alias("rid"), F.lead("t").over(order).alias("next"))
     n = F.length("t")
