@@ -1,0 +1 @@
+"""A Spark-native data-health engine: profiles, quality, relations, drift, contracts."""
