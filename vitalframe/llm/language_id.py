@@ -107,11 +107,11 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", order
 
 
 def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", label_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """Add the predicted label and its posterior to every row of ``df``."""
+    """Add the predicted label and its posterior to every row of ``df``; columns
+    that have these names already are replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # labels x buckets: bounded
+    df = df.drop(label_out, score_out)
     names = [*df.columns, label_out, score_out]
-    if len(set(names)) < len(names):
-        raise ValueError(f"{label_out} or {score_out} is a column already, or a name repeats")
     schema = T.StructType([*df.schema.fields, T.StructField(label_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
