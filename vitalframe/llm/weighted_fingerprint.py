@@ -89,37 +89,38 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("o"), text.alias("t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("o"), text.alias("t"))
     whole = rows.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     cells = min(MAX_CELLS, max(1, -(-whole // CELL_BYTES)))
     # At most MAX_CELLS numbers.
     cut = rows.agg(F.percentile_approx("o", [i / cells for i in range(1, cells)], F.lit(20 * cells)).alias("q")).first()["q"] if cells > 1 else []
     bounds = sorted(set(cut or []))
-    rows = rows.withColumn("cell", _cell_of(F.col("o"), bounds).cast("int"))
-    tops = sorted(rows.groupBy("cell").agg(F.max("o").alias("o")).collect())  # one row per cell
+    rows = rows.withColumn("cell", _cell_of(F.coalesce("o", F.lit(-(1 << 63))), bounds).cast("int"))
+    tops = sorted(rows.groupBy("cell").agg(F.max("o").alias("o")).collect(), key=lambda r: r["cell"])  # one row per cell
     # The highest row of a cell is also needed, as a guest, at the end of the next
     # cell up; that of the top cell at the end of the lowest one.
     guest_of = [(tops[i]["o"], tops[(i + 1) % len(tops)]["cell"]) for i in range(len(tops))]
-    guests = F.broadcast(spark.createDataFrame(guest_of, "o long, to int"))
+    guests = F.broadcast(spark.createDataFrame(guest_of, "top long, to int"))
     own = F.struct(F.col("cell").alias("cell"), F.lit(0).alias("guest"))
     both = F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("cell"), F.lit(1).alias("guest"))))
-    dealt = rows.join(guests, "o", "left").select("id", "o", "t", F.explode(both).alias("x")).select("x.cell", "x.guest", "id", "o", "t")
+    # The two uses below need the same columns, so that they share one shuffle.
+    dealt = rows.join(guests, F.col("o").eqNullSafe(F.col("top")), "left").select("o", "t", F.explode(both).alias("x")).select("x.cell", "x.guest", "o", "t").where("cell is not null")
     dealt = dealt.repartitionById(len(bounds) + 1, F.col("cell"))  # one task per cell, as cells are even
     order = Window.partitionBy("cell").orderBy("guest", F.desc("o"), F.desc(F.md5("t")))
-    near = dealt.select("cell", "guest", "id", "t", F.row_number().over(order).alias("rid"), F.lead("t").over(order).alias("next"))
+    near = dealt.select("cell", "guest", "o", "t", F.row_number().over(order).alias("rid"), F.lead("t").over(order).alias("next"))
     n = F.length("t")
     k = F.floor(n / 3).cast("int")
     edited = F.when(F.col("guest") == 1, F.lit("")).otherwise(F.concat(F.substring(F.col("t"), F.lit(1), n - k), F.substring(F.col("next"), F.lit(1), k)))
-    near = near.select("cell", "rid", "guest", "id", "t", edited.alias("e"))
+    near = near.select("cell", "rid", "guest", "o", "t", edited.alias("e"))
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("t").alias("x")), F.struct(F.lit(1).alias("kind"), F.col("e").alias("x"))))
     terms = near.select("cell", "rid", kinds.alias("y")).select("cell", "rid", "y.kind", F.explode(terms_of(F.col("y.x"))).alias("w"))
     sigs = _signatures(terms.select("cell", "rid", "kind", F.xxhash64("w").alias("term")), ["cell", "rid", "kind"], samples)
     pair = sigs.groupBy("cell", "rid").agg(F.max(F.when(F.col("kind") == 0, F.col("sig"))).alias("s"), F.max(F.when(F.col("kind") == 1, F.col("sig"))).alias("es"))
-    facts = near.select("cell", "rid", "guest", "id", F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"))
+    facts = near.select("cell", "rid", "guest", "o", F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"))
     met = facts.join(pair, ["cell", "rid"], "left")
     met = met.withColumn("ns", F.lead("s").over(Window.partitionBy("cell").orderBy("rid"))).where("guest = 0")
     return met.select(
-        F.col("id").alias(id_col),
+        F.col("o").alias(id_col),
         "n_chars",
         "edited_sha256",
         signature_text(F.col("s")).alias("fingerprint"),
