@@ -188,11 +188,15 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                         out.append(s.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["cls", "s"])
 
-    return docs.mapInArrow(run, "cls binary, s array<long>").dropDuplicates(["cls"])
+    # A class may come more than once (equal rows); links are then found twice.
+    return docs.mapInArrow(run, "cls binary, s array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs(u, v)`` of classes whose sets link."""
+def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs(u, v)`` of classes whose full sets link. Only texts of
+    classes that occur in the pairs are turned into sets again."""
+    named = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()
+    sets = materialize(_sets_of(docs, named.join(members.select("cls", "id"), "cls"), n), "ngram-sets")
 
     @F.arrow_udf("boolean")
     def links(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -240,10 +244,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ordered = lambda x: x.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct()
     first = materialize(ordered(inner.union(left).union(right)), "ngram-pairs")
 
-    # Full sets of what may be paired: what is paired now, and what hot shingles hold.
-    wanted = first.select(F.col("u").alias("cls")).union(first.select("v")).union(members.join(hot.select("gid").distinct(), "gid", "left_semi").select("cls")).distinct()
-    sets = materialize(_sets_of(docs, wanted.join(members.select("cls", "id"), "cls"), n), "ngram-sets")
-    links = materialize(_verified(first, sets, num, den), "ngram-links")
+    links = materialize(_verified(first, members, docs, n, num, den), "ngram-links")
     found = components(links)
 
     # What could still join two components.
@@ -264,9 +265,10 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     side = lambda g, c, k: comp.select(F.col("gid").alias(g), F.col("cls").alias(c), F.col("comp").alias(k))
     second = more.join(side("ga", "u", "cu"), "ga").join(side("gb", "v", "cv"), "gb").where("cu != cv").select("u", "v")
     second = materialize(ordered(second).join(first, ["u", "v"], "left_anti"), "ngram-pairs")
-    extra = materialize(_verified(second, sets, num, den), "ngram-links")
-    if not extra.isEmpty():
-        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u != v").union(extra))
+    if not second.isEmpty():
+        extra = materialize(_verified(second, members, docs, n, num, den), "ngram-links")
+        if not extra.isEmpty():
+            found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u != v").union(extra))
 
     placed = rows.select("id", "n", "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("id", "n", F.coalesce("root", "cls").alias("comp"))
     least = placed.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))
