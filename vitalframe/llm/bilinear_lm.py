@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices
 
-WORDS, DIM, NOISE, ROUNDS, RATE, BATCH, SEED = 1022, 24, 96, 2, 0.15, 8192, 7
+WORDS, DIM, NOISE, ROUNDS, RATE, BATCH, SEED = 1022, 24, 48, 2, 0.15, 4096, 7
 TOP, TOP_BYTES, FLUSH = 131_072, 64, 400_000
 OTHER, END = 0, 1  # class numbers; words start at 2
 END_TOKEN = ""  # no word is empty
@@ -76,6 +76,7 @@ class Vocabulary:
         self.rank = {t.encode(): i for i, (t, _) in enumerate(ranked)}
         self.count = np.array([n for _, n in ranked], np.int64)
         self.words = min(words, len(ranked))
+        self._class = {t.encode(): i + 2 for i, (t, _) in enumerate(ranked[: self.words])}
         self.size = self.words + 2
         self.total, self.types, self.ends = total, types, ends
         inside = int(self.count[: self.words].sum())
@@ -91,6 +92,14 @@ class Vocabulary:
         words, get = tokens(text), self.rank.get
         return np.array([get(w, -1) for w in words], np.int64), words
 
+    def classes_of(self, text: str | None) -> np.ndarray:
+        """Classes of a text, after two ends: contexts are there for each token."""
+        get = self._class.get
+        out = [END, END]
+        out += [get(w, OTHER) for w in tokens(text)]
+        out.append(END)
+        return np.array(out, np.int16)
+
     def classes(self, ranks: np.ndarray) -> np.ndarray:
         """Class of each token, the end included."""
         out = np.where((ranks >= 0) & (ranks < self.words), ranks + 2, OTHER)
@@ -104,6 +113,7 @@ class Bilinear:
         self.size, self.dim = size, dim
         self.shapes = {"r": (size, dim), "c1": (dim, dim), "c2": (dim, dim), "q": (size, dim), "b": (size,)}
         self.flat = np.zeros(sum(math.prod(s) for s in self.shapes.values()), np.float32)
+        self._first: np.ndarray | None = None  # contexts times matrices, for scoring
         self._views()
 
     def _views(self) -> None:
@@ -148,8 +158,9 @@ class Bilinear:
         grad = Bilinear(self.size, self.dim)
         g = grad.p
         g["c1"][:], g["c2"][:] = r1.T @ dh, r2.T @ dh
-        g["r"][:] = _scatter(c1, dh @ p["c1"].T, self.size) + _scatter(c2, dh @ p["c2"].T, self.size)
-        g["q"][:] = _scatter(w, up[:, None] * h, self.size)
+        _add_rows(g["r"], c1, dh @ p["c1"].T)
+        _add_rows(g["r"], c2, dh @ p["c2"].T)
+        _add_rows(g["q"], w, up[:, None] * h)
         np.add.at(g["q"], drawn, down.T @ h)
         g["b"][:] = np.bincount(w, up, self.size)
         np.add.at(g["b"], drawn, down.sum(axis=0))
@@ -174,20 +185,29 @@ class Bilinear:
 
     def log_probs(self, classes: np.ndarray, sums: np.ndarray) -> np.ndarray:
         """Natural log probability of each class after the two before it."""
+        if self._first is None:
+            self._first, self._second = self.p["r"] @ self.p["c1"], self.p["r"] @ self.p["c2"]
         c1 = np.concatenate([[END], classes[:-1]])
         c2 = np.concatenate([[END], c1[:-1]])
-        h = (self.p["r"] @ self.p["c1"])[c1] + (self.p["r"] @ self.p["c2"])[c2]
+        h = self._first[c1]
+        h += self._second[c2]
         return np.einsum("ij,ij->i", h, self.p["q"][classes]) + self.p["b"][classes] - sums[c2, c1]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.negative(x)
+    np.minimum(x, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def _scatter(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Sums of rows by their number."""
-    dim = rows.shape[1]
-    return np.bincount((at[:, None] * dim + np.arange(dim)).reshape(-1), rows.reshape(-1), size * dim).reshape(size, dim)
+def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Add each row to the row of ``out`` that ``at`` names."""
+    order = np.argsort(at, kind="stable")
+    to = at[order]
+    first = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1])
+    out[to[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
 def fit(train: DataFrame, text_col: str, voc: Vocabulary, rounds: int = ROUNDS) -> Bilinear:
@@ -205,7 +225,7 @@ def fit(train: DataFrame, text_col: str, voc: Vocabulary, rounds: int = ROUNDS)
             for batch in batches:
                 for piece in slices(batch):
                     for t in piece.column(0).to_pylist():
-                        c = np.concatenate([[END, END], v.classes(v.ranks(t)[0])])
+                        c = v.classes_of(t)
                         held.append(np.stack([c[:-2], c[1:-1], c[2:]], 1))
                         waiting += len(c) - 2
                         if waiting >= BATCH:
