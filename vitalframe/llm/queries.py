@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bilinear_lm, bpe_codec, language_id, ngram_join, secret_scan, source_mix, splitter_shards, token_counts, webp, weighted_fingerprint
+from . import oracle
 from .common import crc_mod, documents
 
 RANK_FILE, TOKENIZER_FILE = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -69,4 +70,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_webp, op2_source_mix, op3_secret_scan, op4_bilinear_lm, op5_bpe_codec, op6_weighted_fingerprint, op7_splitter_shards, op8_token_counts, op9_ngram_join, op10_language_id)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_source_mix": oracle.OP2, "op7_splitter_shards": oracle.OP7, "op9_ngram_join": oracle.OP9}
