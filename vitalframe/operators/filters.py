@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import ast
 import operator
+import re
 from collections.abc import Mapping
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,6 +150,8 @@ def check_query(spark: SparkSession, sql: str, views: set[str]) -> None:
         node = line.lstrip(" :+-'").split(" ")[0].split("(")[0]
         if node.startswith(_FORBIDDEN_NODES) or "Command" in node:
             raise RejectedQuery(node)
+    if any("," in m for m in re.findall(r"UnresolvedRelation \[([^\]]*)\]", text)):
+        raise RejectedQuery("only the given views can be read")
     lower = sql.lower()
     if any(name in lower for name in _FORBIDDEN_NAMES) or _PATH + "." in lower or ".`" in lower and ":" in lower:
         raise RejectedQuery("a function or table that reads beyond the views")
@@ -172,6 +176,8 @@ def run_query(views: Mapping[str, DataFrame], sql: str, max_rows: int = MAX_ROWS
     timer.start()
     try:
         got = own.sql(sql).limit(max_rows + 1).collect()
+    except AnalysisException as e:
+        raise RejectedQuery(str(e).splitlines()[0]) from e
     finally:
         timer.cancel()
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

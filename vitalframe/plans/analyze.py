@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -115,7 +116,8 @@ def analyze(
 ) -> Run:
     """Analyse a set of tables. Value counts are kept (memory and disk) while the
     run lives; call ``counts.unpersist()`` when done."""
-    counts = profile.value_counts(nodes_of(tables)).persist()
+    # A mark of its own: a later run over the same paths must not meet this run's cache.
+    counts = profile.value_counts(nodes_of(tables)).withColumn("run", F.lit(uuid.uuid4().hex)).drop("run").persist()
     rows = row_counts(tables)
     p = profile.fields(counts, rows).persist()
     fields = [r.asDict() for r in p.collect()]  # one row per field
