@@ -155,6 +155,17 @@ def _may_link(num: int, den: int) -> Column:
     return (F.col("a.n") * den >= F.col("b.n") * num) & (F.col("b.n") * den >= F.col("a.n") * num) & (rest >= required)
 
 
+def _enough_in_common(pairs: DataFrame, hot: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose overlap can still suffice: common rare prefix shingles (all
+    counted), at most the hot ones that both have, and what may lie behind the
+    prefix that ends first."""
+    k = hot.groupBy("gid").agg(F.count("*").alias("k"))
+    met = pairs.join(k.select(F.col("gid").alias("ga"), F.col("k").alias("ka")), "ga", "left").join(k.select(F.col("gid").alias("gb"), F.col("k").alias("kb")), "gb", "left").na.fill(0)
+    behind = F.greatest(_need(F.col("na"), num, den), _need(F.col("nb"), num, den)) - 1
+    required = F.floor(((F.col("na") + F.col("nb")) * num + (num + den - 1)) / F.lit(num + den))
+    return met.where(F.col("c") + F.least("ka", "kb") + behind >= required)
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``wanted(cls, id)`` -> ``(cls, s)``: full sets, from a second look at the
     texts. A Bloom filter of bounded size picks the rows; a full one lets more
@@ -221,19 +232,29 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = materialize(_classes(docs, n, num, den, freq), "ngram-classes")
     members = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("gid").alias("gid"))
     members = materialize(members, "ngram-members")
-    groups = rows.where("n > 0").groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posted = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    # The size goes in front of the prefix, so that both uses below share one shuffle.
+    groups = rows.where("n > 0").select("gid", F.concat(F.array(F.col("n").cast("long")), F.col("prefix")).alias("np")).groupBy("gid").agg(F.first("np").alias("np"))
+    size = F.element_at("np", 1)
+    posted = groups.select("gid", size.alias("n"), F.posexplode(F.slice("np", 2, F.size("np"))).alias("pos", "token"))
+    # Size and position share one number on their way through the shuffle.
+    posted = posted.select("token", "gid", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
     seen = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    posted = materialize(posted.join(seen, "token"), "ngram-postings")
+    met = posted.join(seen, "token").select("token", "gid", "df", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"))
+    posted = materialize(met, "ngram-postings")
 
     hot = posted.where(F.col("df") > RARE)
     a, b = posted.where(F.col("df") <= RARE).alias("a"), posted.where(F.col("df") <= RARE).alias("b")
     may = _may_link(num, den)
-    rare = a.join(b, F.col("a.token") == F.col("b.token")).where((F.col("a.gid") < F.col("b.gid")) & may).select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb"))
+    both = (F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
+    rare = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.gid") < F.col("b.gid"))).select(*both, may.alias("may"))
+    rare = materialize(rare.groupBy("ga", "gb", "na", "nb").agg(F.count("*").alias("c"), F.max("may").alias("may")), "ngram-rare")
     centre = hot.groupBy("token").agg(F.min(F.struct("pos", "n", "gid")).alias("c")).select("token", "c.*")
-    star = hot.alias("a").join(centre.alias("b"), F.col("a.token") == F.col("b.token")).where((F.col("a.gid") != F.col("b.gid")) & may)
-    star = star.select(F.least("a.gid", "b.gid").alias("ga"), F.greatest("a.gid", "b.gid").alias("gb"))
-    gid_pairs = materialize(rare.union(star).distinct(), "ngram-group-pairs")
+    star = hot.alias("a").join(centre.alias("b"), F.col("a.token") == F.col("b.token")).where((F.col("a.gid") != F.col("b.gid")) & may).select(*both)
+    turned = F.col("ga") > F.col("gb")
+    pick = lambda x, y, name: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name)
+    star = star.select(pick("ga", "gb", "ga"), pick("gb", "ga", "gb"), pick("na", "nb", "na"), pick("nb", "na", "nb"), F.lit(0).cast("long").alias("c"), F.lit(True).alias("may")).distinct()
+    found = rare.union(star).groupBy("ga", "gb", "na", "nb").agg(F.max("c").alias("c"), F.max("may").alias("may")).where("may")
+    gid_pairs = materialize(_enough_in_common(found, hot, num, den).select("ga", "gb"), "ngram-group-pairs")
 
     # Groups of several classes: a star of their own, and their first class stands for them.
     heads = members.groupBy("gid").agg(F.min("cls").alias("head"), F.count("*").alias("k"))
@@ -259,7 +280,8 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     b = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("b")
     apart = (F.col("a.lo") != F.col("b.lo")) | (F.col("a.hi") != F.col("b.hi")) | (F.col("a.lo") != F.col("a.hi"))
     more = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.salt") == F.col("b.salt"))).where((F.col("a.gid") < F.col("b.gid")) & may & apart)
-    more = more.select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct()
+    more = more.select(*both).distinct().join(rare.select("ga", "gb", "c"), ["ga", "gb"], "left").na.fill(0, ["c"])
+    more = _enough_in_common(more, hot, num, den).select("ga", "gb")
     several = comp.groupBy("gid").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
     more = more.union(several.select("gid", "gid")).union(gid_pairs.join(several.select(F.col("gid").alias("ga")), "ga", "left_semi")).union(gid_pairs.join(several.select(F.col("gid").alias("gb")), "gb", "left_semi").select("ga", "gb")).distinct()
     side = lambda g, c, k: comp.select(F.col("gid").alias(g), F.col("cls").alias(c), F.col("comp").alias(k))
