@@ -616,3 +616,95 @@ def windowed_profile_events(spark, d):
 @query("SELECT sum(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) / count(*) * 100 AS coverage FROM orders")
 def coverage_expression(spark, d):
     return table(spark, d, "orders").agg(scores.coverage_pct(F.count_if(F.col("o_orderstatus") == "F"), F.count("*")).alias("coverage"))
+
+
+# ---------------------------------------------------------------- more of the inventory
+
+
+@query("WITH a AS (SELECT DISTINCT o_orderstatus AS v FROM orders), b AS (SELECT DISTINCT l_linestatus AS v FROM lineitem) SELECT 'status' AS path, 'lineitem' AS a_object, 'orders' AS b_object, count(*) FILTER (a.v IS NOT NULL AND b.v IS NOT NULL) AS shared, count(*) FILTER (a.v IS NOT NULL AND b.v IS NOT NULL) / count(*) AS jaccard, 'orders' AS recommended, true AS coverage_cliff FROM a FULL JOIN b ON a.v = b.v")
+def similar_fields(spark, d):
+    li = table(spark, d, "lineitem").select(F.when(F.col("l_orderkey") % 2 == 0, F.col("l_linestatus")).alias("status"))
+    t = {"orders": table(spark, d, "orders").select(F.col("o_orderstatus").alias("status")), "lineitem": li}
+    counts = profile.value_counts(analyze.nodes_of(t))
+    return relations.similar_fields(counts, profile.fields(counts, analyze.row_counts(t)))
+
+
+_METRIC_PARTS = [f"SELECT 'row_count' AS metric, '{t}' AS object, '' AS path, count(*)::DOUBLE AS value FROM {t}" for t in ("supplier", "nation")]
+_METRIC_PARTS += [f"SELECT 'coverage', '{t}', '{c}', 100.0 * count({c}) / count(*) FROM {t}" for t in ("supplier", "nation") for c in COLUMNS[t]]
+_METRIC_PARTS += ["SELECT 'distinct', 'nation', 'n_name', count(DISTINCT n_name)::DOUBLE FROM nation"]
+_METRIC_PARTS += ["SELECT 'distinct', 'nation', 'n_regionkey', count(DISTINCT n_regionkey)::DOUBLE FROM nation", "SELECT 'distinct', 'nation', 'n_nationkey', count(DISTINCT n_nationkey)::DOUBLE FROM nation"]
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(_METRIC_PARTS) + ")")
+def run_metrics(spark, d):
+    """The metrics of a run, but for derived scores."""
+    t = {"supplier": table(spark, d, "supplier"), "nation": table(spark, d, "nation")}
+    counts = profile.value_counts(analyze.nodes_of(t))
+    p = profile.fields(counts, analyze.row_counts(t))
+    refs = relations.references(counts, p)
+    m = analyze.run_metrics(p, refs, quality.object_quality(p, "2024-01-01"), [("supplier", "s_nationkey")])
+    return m.where("metric in ('row_count', 'coverage') or (metric = 'distinct' and object = 'nation')")
+
+
+@query("SELECT 'o_orderstatus' AS path, list_sort(list(DISTINCT o_orderstatus)) AS categories FROM orders UNION ALL SELECT 'o_orderpriority', list_sort(list(DISTINCT o_orderpriority)) FROM orders")
+def category_sets(spark, d):
+    """Value sets of category-like fields, kept with each run."""
+    t = {"orders": table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")}
+    counts = profile.value_counts(analyze.nodes_of(t))
+    low = profile.fields(counts, analyze.row_counts(t)).where("low_cardinality").select("object", "path")
+    return counts.join(low, ["object", "path"]).groupBy("path").agg(F.array_sort(F.collect_set("value")).alias("categories"))
+
+
+_NOISE = "SELECT n, old, new, abs(new - old) <= 3 * sqrt(2) * (100 * sqrt(greatest((old + new) / 200 * (1 - (old + new) / 200), 1.0 / (4 * n * n)) / n)) AS within_noise FROM (SELECT CAST(o_custkey % 1000 + 20 AS DOUBLE) AS n, CAST(o_orderkey % 97 AS DOUBLE) AS old, CAST((o_orderkey * 7) % 97 AS DOUBLE) AS new FROM orders)"
+
+
+@query(f"SELECT within_noise, count(*) AS n FROM ({_NOISE}) GROUP BY 1")
+def coverage_noise(spark, d):
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 1000 + 20).cast("double").alias("n"), (F.col("o_orderkey") % 97).cast("double").alias("old"), ((F.col("o_orderkey") * 7) % 97).cast("double").alias("new"))
+    return o.groupBy(drift.within_noise(F.col("old"), F.col("new"), F.col("n"), F.col("n")).alias("within_noise")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0 UNION SELECT o_orderkey FROM orders WHERE o_orderkey % 9 <> 0) ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 200")
+def paired_sample_keys(spark, d):
+    """The keys that both sides of a sampled record comparison keep."""
+    a, b = _two(spark, d)
+    x, y = compare.sampled_pair(a, b, ["o_orderkey"], 200)
+    return x.select("o_orderkey").union(y.select("o_orderkey")).distinct()
+
+
+@query("SELECT 'o_orderstatus' AS path, list_value('string') AS types UNION ALL SELECT 'o_mixed', list_value('date', 'string') UNION ALL SELECT 'o_rare', list_value('string')")
+def material_types(spark, d):
+    k = F.col("o_orderkey")
+    t = table(spark, d, "orders").select("o_orderstatus", F.when(k % 2 == 0, "2024-01-01").otherwise("x").alias("o_mixed"), F.when(k % 500 == 0, "2024-01-01").otherwise("x").alias("o_rare"))
+    counts = profile.value_counts(walk.typed_nodes(t, "orders"))
+    p = profile.fields(counts, t.agg(F.lit("orders").alias("object"), F.count("*").alias("rows")))
+    return p.select("path", profile.material_types(F.col("types")).alias("types"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 5 AS BIGINT) AS a_b, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS xs_first FROM orders")
+def flatten_leaves(spark, d):
+    """Leaves of nested records: of an array of objects, the first one counts."""
+    k = F.col("o_orderkey")
+    nested = table(spark, d, "orders").select(k, F.struct((k % 5).alias("b")).alias("a"), F.when(k % 3 == 0, F.array().cast("array<struct<s:string>>")).otherwise(F.array(F.struct(F.col("o_orderstatus").alias("s")), F.struct(F.lit("z").alias("s")))).alias("xs"))
+    leaf = dict(compare.leaves(nested))
+    return nested.select(k, leaf["a.b"].cast("long").alias("a_b"), leaf["xs[].s"].alias("xs_first"))
+
+
+@query("SELECT kind, severity, CAST(row_number() OVER () AS INTEGER) AS place FROM (VALUES ('row_count', 'fail'), ('coverage', 'fail'), ('dqi', 'fail'), ('categories_new', 'warn'), ('field_added', 'info')) t(kind, severity)")
+def finding_order(spark, d):
+    rows = [("field_added", "o", "x", "info"), ("dqi", "", "", "fail"), ("coverage", "o", "a", "fail"), ("categories_new", "o", "b", "warn"), ("row_count", "o", "", "fail")]
+    got = drift.ordered(spark.createDataFrame(rows, "kind string, object string, path string, severity string")).collect()
+    return spark.createDataFrame([(r["kind"], r["severity"], i) for i, r in enumerate(got, 1)], "kind string, severity string, place int")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal >= 90 THEN 'A' WHEN s_acctbal >= 80 THEN 'B' WHEN s_acctbal >= 70 THEN 'C' WHEN s_acctbal >= 60 THEN 'D' ELSE 'F' END AS grade FROM supplier")
+def grades(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", scores.grade_column(F.col("s_acctbal")).alias("grade"))
+
+
+@query("SELECT 'tags[].k' AS path, count(*) FILTER (o_orderkey % 4 > 0) AS presence, CAST(sum(o_orderkey % 4) AS BIGINT) AS elements FROM orders")
+def nested_array_fields(spark, d):
+    k = F.col("o_orderkey") % 4
+    t = table(spark, d, "orders").select(F.when(k > 0, F.transform(F.sequence(F.lit(1), k.cast("int")), lambda i: F.struct(i.alias("k")))).otherwise(F.array().cast("array<struct<k:int>>")).alias("tags"))
+    n = walk.typed_nodes(t, "orders").where("path = 'tags[].k'")
+    return n.groupBy("path").agg(F.sum("present").cast("long").alias("presence"), F.count("*").alias("elements"))

@@ -80,3 +80,7 @@ def se_column(pct: Column, n: Column) -> Column:
 def grade(score: float) -> str:
     # Least score of each grade.
     return next((g for least, g in ((90, "A"), (80, "B"), (70, "C"), (60, "D")) if score >= least), "F")
+
+
+def grade_column(score: Column) -> Column:
+    return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")

@@ -226,3 +226,15 @@ def hierarchies(objects: dict[str, Sequence[str]]) -> list[dict]:
     """Fields that point to a parent in the same object."""
     shaped = lambda n: n == "parent" or (n.startswith("parent") and n.endswith(("id", "key")))
     return [{"object": o, "path": p, "confidence": 0.8} for o, ps in objects.items() for p in ps if shaped(p.split(".")[-1].lower().replace("_", ""))]
+
+
+def similar_fields(counts: DataFrame, profile: DataFrame) -> DataFrame:
+    """Low-cardinality fields of one name in several objects: shared values, the
+    side to prefer (more values, then fuller), and whether coverage falls off
+    between them (40 points). Case and array marks in names don't matter."""
+    name = F.lower(F.regexp_replace("path", r"\[\]", ""))
+    side = _scalars(counts, profile, F.col("low_cardinality")).withColumn("sig", name)
+    pairs = _with_totals(overlaps(side, side, F.col("a_object") < F.col("b_object")), counts)
+    better = F.struct("a_distinct", "a_coverage") >= F.struct("b_distinct", "b_coverage")
+    fuller = F.when(better, F.col("a_object")).otherwise(F.col("b_object"))
+    return pairs.select(F.col("a_path").alias("path"), "a_object", "b_object", "shared", "jaccard", fuller.alias("recommended"), (F.abs(F.col("a_coverage") - F.col("b_coverage")) > 40).alias("coverage_cliff"))
