@@ -379,7 +379,7 @@ def duplicate_fields(spark, d):
     return relations.row_equality(o, [("o_custkey", "cust_copy"), ("o_custkey", "other_key")]).select("field_a", "field_b", F.col("both").alias("both_filled"), "equal", "row_equality")
 
 
-@query("WITH a AS (SELECT DISTINCT s_nationkey AS v FROM supplier), b AS (SELECT DISTINCT (s_nationkey + 1) % 25 AS v FROM supplier) SELECT 's_nationkey' AS field_a, 't_nationkey' AS field_b, count(*) FILTER (a.v IS NOT NULL AND b.v IS NOT NULL) / count(*) AS jaccard FROM a FULL JOIN b ON a.v = b.v")
+@query("WITH a AS (SELECT DISTINCT s_nationkey AS v FROM supplier), b AS (SELECT DISTINCT (s_nationkey + 1) % 25 AS v FROM supplier) SELECT * FROM (SELECT 's_nationkey' AS field_a, 't_nationkey' AS field_b, count(*) FILTER (a.v IS NOT NULL AND b.v IS NOT NULL) / count(*) AS jaccard FROM a FULL JOIN b ON a.v = b.v) WHERE jaccard >= 0.6")
 def shared_domains(spark, d):
     t = {"supplier": table(spark, d, "supplier").select("s_nationkey", ((F.col("s_nationkey") + 1) % 25).alias("t_nationkey"))}
     counts = profile.value_counts(analyze.nodes_of(t))
