@@ -1,7 +1,12 @@
-"""The corpus pipeline: language ID, near duplicates, secrets, mixing, encoding."""
+"""The corpus pipeline: language ID, near duplicates, secrets, mixing, encoding.
+
+A stage's result must be written before the next stage is called (``run`` does
+so): each stage call drops the working tables of the call before it.
+"""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,13 +14,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalframe.llm import bpe_codec, language_id, ngram_join, secret_scan, source_mix
-from vitalframe.llm.common import materialize
+from vitalframe.llm.common import drop, materialize, scratch
 from vitalframe.llm.queries import RANK_FILE
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.5
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_working: list[tuple[SparkSession, str]] = []
+
+
+def _stage(f: Stage) -> Stage:
+    @functools.wraps(f)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop([t for t in _working if t[0] is spark])
+        _working.clear()
+        with scratch() as tables:
+            out = f(spark, docs, sf_dir)
+            _working.extend(tables)
+        return out
+
+    return call
 
 
+@_stage
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a recognised language go."""
     model = language_id.fit(docs)
@@ -24,6 +45,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return labelled.where((F.col("__pred") != language_id.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).select(*names)
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group one document stays, that of least id
     (null ids last; of rows that share an id, the one of least text hash)."""
@@ -35,25 +57,30 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return keyed.join(stays, "__key", "left_semi").dropDuplicates(["__key"]).select(*COLUMNS)
 
 
+@_stage
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans: every span becomes a mark; the documents stay."""
     found = secret_scan.scan(docs, keep=COLUMNS)
     clean = secret_scan.redact(F.col("text"), F.array_sort(F.concat("base", "added")))
-    return found.select("doc_id", clean.alias("text"), "lang", "source", F.length(clean).cast("long").alias("n_chars"))
+    # A name of its own first: an alias "text" would capture later uses of the column.
+    done = found.select("doc_id", clean.alias("__clean"), "lang", "source")
+    return done.select("doc_id", F.col("__clean").alias("text"), "lang", "source", F.length("__clean").cast("long").alias("n_chars"))
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: a document appears as many times as the mix takes it."""
     mixed = source_mix.mix(docs, keep=("text", "lang", "source", "n_chars")).where("copies > 0")
     return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select(*COLUMNS)
 
 
+@_stage
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: token counts and digests of ids and decoded bytes."""
     return bpe_codec.round_trip(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", keep_languages),
     ("ngram_join", drop_near_copies),
     ("secret_scan", hide_secrets),

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,15 +41,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[list[tuple[SparkSession, str]]]:
+    """Collects the tables that are materialized inside, for ``drop``."""
+    global _written
+    outer, _written = _written, []
+    try:
+        yield _written
+    finally:
+        outer += _written
+        _written = outer
+
+
+def drop(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete materialized tables that nothing will read again."""
+    for spark, path in list(tables):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if (spark, path) in _written:
+            _written.remove((spark, path))
+
+
 @atexit.register
 def _drop_written() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended: nothing is left to ask
-            return
+    try:
+        drop(_written)
+    except Exception:  # the session has ended: nothing is left to ask
+        return
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
