@@ -12,11 +12,12 @@ seeded order until the routed words are reached.
 Scale: only one row per pattern reaches the driver (``MAX_PATTERNS`` at most,
 else an error). Picking needs a running sum per pattern; a hot pattern is cut
 into hash cells of about ``CELL_ROWS`` documents, whose sums are added up
-first, so no window sees a whole pattern.
+first, so no window sees a whole pattern. What comes out is one place in the
+seeded order per pattern, so documents and their texts are never shuffled.
 
 Defined results: a null text has size 0, and is never needed; a null source is
 a source of its own, last in order; no documents, no rows. Rows that agree in
-all columns are interchangeable.
+id and text are taken together.
 """
 
 from __future__ import annotations
@@ -92,14 +93,38 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], s: int, t: int)
 
 
 def route(patterns: Sequence[Sequence[int]], sizes: Sequence[int], targets: Sequence[int], copies: int = MAX_COPIES) -> list[int]:
-    """Words that each pattern gives in all. Convex costs: copy k costs k."""
-    p, q = len(patterns), len(targets)
-    s, t = p + q, p + q + 1
-    arcs = [(s, i, sizes[i], k) for i in range(p) for k in range(copies)]
-    arcs += [(i, p + j, copies * sizes[i], 0) for i in range(p) for j in patterns[i]]
-    arcs += [(p + j, t, targets[j], 0) for j in range(q)]
-    flow = min_cost_flow(p + q + 2, arcs, s, t)
-    return [sum(flow[i * copies : (i + 1) * copies]) for i in range(p)]
+    """Words that each pattern gives in all. Convex costs: copy k costs k.
+    Sources that no pattern joins are routed apart; a pattern alone with its
+    source needs no search."""
+    group = list(range(len(targets)))
+
+    def root(j: int) -> int:
+        while group[j] != j:
+            group[j] = group[group[j]]
+            j = group[j]
+        return j
+
+    for p in patterns:
+        for j in p[1:]:
+            group[root(j)] = root(p[0])
+    parts: dict[int, list[int]] = {}
+    for i, p in enumerate(patterns):
+        parts.setdefault(root(p[0]), []).append(i)
+    out = [0] * len(patterns)
+    for own in parts.values():
+        quotas_ = sorted({j for i in own for j in patterns[i]})
+        if len(own) == len(quotas_) == 1:
+            out[own[0]] = min(targets[quotas_[0]], copies * sizes[own[0]])
+            continue
+        at = {j: len(own) + k for k, j in enumerate(quotas_)}
+        s, t = len(own) + len(quotas_), len(own) + len(quotas_) + 1
+        arcs = [(s, k, sizes[i], c) for k, i in enumerate(own) for c in range(copies)]
+        arcs += [(k, at[j], copies * sizes[i], 0) for k, i in enumerate(own) for j in patterns[i]]
+        arcs += [(at[j], t, targets[j], 0) for j in quotas_]
+        flow = min_cost_flow(t + 1, arcs, s, t)
+        for k, i in enumerate(own):
+            out[i] = sum(flow[k * copies : (k + 1) * copies])
+    return out
 
 
 def mix(
@@ -122,7 +147,8 @@ def mix(
     # A null becomes a lone prefix, so that it is a key like any other and sorts last.
     keyed = F.array_sort(F.array_distinct(F.transform(member, lambda x: F.when(x.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), x)))))
     order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    rows = materialize(df.select(F.col(id_col).alias("__id"), *(F.col(c).alias(f"__k_{c}") for c in keep), word_count(F.col(text_col)).alias("size"), keyed.alias("p"), order.alias("o")), "mix-rows")
+    facts = df.select(F.col(id_col).alias("__id"), *(F.col(c).alias(f"__k_{c}") for c in keep), word_count(F.col(text_col)).alias("size"), keyed.alias("p"), order.alias("o"))
+    rows = materialize(facts.select("size", "p", "o"), "mix-rows")  # narrow: no texts
     # One row per pattern, and an error beyond the bound.
     got = rows.groupBy("p").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(got) > MAX_PATTERNS:
@@ -143,15 +169,34 @@ def mix(
     spark = df.sparkSession
     # Bounded by MAX_PATTERNS rows, as collected above.
     plan_df = F.broadcast(spark.createDataFrame(plan, "p array<string>, source_size long, target double, full long, rest long, cells long").coalesce(1))
-    cell = F.floor(F.conv(F.substring("o", 1, 8), 16, 10).cast("long") * F.col("cells") / F.lit(float(1 << 32)))
-    placed = rows.join(plan_df, "p").withColumn("cell", cell)
-    by_cell = placed.groupBy("p", "cell").agg(F.sum("size").alias("cell_size"))
-    before = by_cell.select("p", "cell", (F.sum("cell_size").over(Window.partitionBy("p").orderBy("cell")) - F.col("cell_size")).alias("before"))
-    run = Window.partitionBy("p", "cell").orderBy("o", "__id").rowsBetween(Window.unboundedPreceding, -1)
-    upto = F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0))
-    # A document whose middle lies below what is left to take gives one more copy.
-    extra = 2 * upto + F.col("size") < 2 * F.col("rest")
-    picked = placed.join(before, ["p", "cell"]).withColumn("copies", F.col("full") + F.when(extra, 1).otherwise(0))
+    cut = F.broadcast(materialize(_thresholds(rows, plan_df), "mix-cuts"))  # one row per pattern
+    picked = facts.join(plan_df, "p").join(cut, "p", "left")
+    # One more copy below the pattern's place in the order; no place: for all or, with no rest, none.
+    extra = (F.col("rest") > 0) & (F.col("below").isNull() | (F.col("o") < F.col("below")))
+    picked = picked.withColumn("copies", F.col("full") + F.when(extra, 1).otherwise(0))
     return picked.select(
         F.col("__id").alias(id_col), *(F.col(f"__k_{c}").alias(c) for c in keep), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
+
+
+def _thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``p, below``: per pattern, the first place in the seeded order whose
+    document is not needed. A document is needed if its middle lies below what is
+    left to take. Cells of the order are summed first; only the cell where the
+    sum is reached is looked at row by row."""
+    cell = F.floor(F.conv(F.substring("o", 1, 8), 16, 10).cast("long") * F.col("cells") / F.lit(float(1 << 32)))
+    placed = rows.join(plan, "p").where("rest > 0").select("p", "size", "o", "rest", cell.alias("cell"))
+    by_cell = placed.groupBy("p", "cell").agg(F.sum("size").alias("cell_size"), F.max("rest").alias("rest"))
+    upto = F.sum("cell_size").over(Window.partitionBy("p").orderBy("cell"))
+    # The last document before the sum is reached may end in a later cell: two cells at most.
+    last = by_cell.select("p", "cell", (upto - F.col("cell_size")).alias("before"), upto.alias("after"), "rest")
+    open_ = last.where("after >= rest").groupBy("p").agg(F.min_by(F.struct("cell", "before"), "cell").alias("c")).select("p", "c.*")
+    near = placed.join(F.broadcast(open_), ["p", "cell"])  # one cell per pattern
+    run = Window.partitionBy("p").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0))
+    rest = near.select("p", "o", "cell", (2 * start + F.col("size") < 2 * F.col("rest")).alias("needed"))
+    first = rest.where(~F.col("needed")).groupBy("p").agg(F.min("o").alias("below"))
+    # All of that cell is needed: the order goes on in the next cell, whose first document isn't.
+    after = open_.join(first, "p", "left").where("below is null").select("p", "cell")
+    following = placed.join(F.broadcast(after.withColumnRenamed("cell", "c0")), "p").where(F.col("cell") > F.col("c0")).groupBy("p").agg(F.min("o").alias("below"))
+    return first.unionByName(following)
