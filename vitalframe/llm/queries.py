@@ -31,6 +31,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         n(2).alias("n_hex"),
         F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256"),
         secret_scan.span_text(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        "n_tested",
+        "n_random",
     )
 
 

@@ -25,8 +25,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
-
 # The kinds and their expressions.
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # greedy AKIA[A-Z0-9]+ of 16 or more
@@ -123,7 +121,8 @@ def _band(n: Column) -> Column:
 
 def scan(df: DataFrame, text_col: str = "text", q: float = FALSE_DISCOVERY, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, then ``base`` and ``added``: sorted arrays of
-    (start, kind, end) with kind an index of ``KINDS``."""
+    (start, kind, end) with kind an index of ``KINDS``; ``n_tested`` candidates
+    (in base spans too) and how many of them pass as random, ``n_random``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     low = F.lower(text)
     named = low.contains("password") | low.contains("passwd") | low.contains("secret") | low.contains("token") | low.contains("api")
@@ -140,24 +139,25 @@ def scan(df: DataFrame, text_col: str = "text", q: float = FALSE_DISCOVERY, keep
     placed = F.when(t.rlike(CANDIDATE), _spans(t, CANDIDATE, 3, mixed)).otherwise(none)
     found = df.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), text.alias("__t"), named.alias("__named"))
     found = found.select(*(f"__k{i}" for i in range(len(keep))), "__t", base.alias("base"), placed.alias("at"))
-    free = F.filter("at", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    found = found.withColumn("at", free)
     piece = lambda s: F.substring(F.col("__t"), s["start"] + 1, s["end"] - s["start"])
     tested = F.transform(
         "at",
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _band(s["end"] - s["start"]).alias("band"), F.least(F.lit(MAX_BIN), F.floor(-F.log(randomness_p(piece(s))) * BINS_PER_UNIT).cast("int")).alias("bin")),
     )
-    rows = materialize(found.select(*(F.col(f"__k{i}").alias(f"__k{i}") for i in range(len(keep))), "base", tested.alias("tested")), "secret-rows")
-    # Benjamini-Hochberg per band on counts: one row per band and bin.
-    counts = rows.select(F.explode("tested").alias("x")).groupBy("x.band", "x.bin").agg(F.count("*").alias("n"))
+    # Benjamini-Hochberg per band on counts: one row per band and bin. The
+    # texts are scanned again for the result, which is cheaper than keeping them.
+    counts = found.select(F.explode(tested).alias("x")).groupBy("x.band", "x.bin").agg(F.count("*").alias("n"))
     down = Window.partitionBy("band").orderBy(F.desc("bin"))
     ranked = counts.select("band", "bin", F.sum("n").over(down).alias("k"), F.sum("n").over(Window.partitionBy("band")).alias("m"))
     cut = ranked.where(F.exp(-F.col("bin") / BINS_PER_UNIT) <= q * F.col("k") / F.col("m")).groupBy("band").agg(F.min("bin").alias("cut")).collect()  # one row per band
     least = {r["band"]: r["cut"] for r in cut}
     limit = F.array(*(F.lit(least.get(b, MAX_BIN + 1)) for b in range(len(LENGTH_BANDS))))
+    rows = found.withColumn("tested", tested)
     secret = F.filter("tested", lambda s: s["bin"] < F.element_at(limit, s["band"] + 1))
-    added = F.transform(secret, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))
-    return rows.select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), "base", F.array_sort(added).alias("added"))
+    rows = rows.withColumn("secret", secret)
+    free = F.filter("secret", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    added = F.transform(free, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))
+    return rows.select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), "base", F.array_sort(added).alias("added"), F.size("tested").cast("long").alias("n_tested"), F.size("secret").cast("long").alias("n_random"))
 
 
 def span_text(spans: Column) -> Column:
