@@ -395,3 +395,37 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["ask", str(data), "SELECT count(*) AS n FROM t"]) == 0 and json.loads(capsys.readouterr().out)["rows"] == [{"n": 20}]
     assert cli.main(["analyze", str(tmp_path / "missing.csv")]) == 3
     assert cli.main(["glossary"]) == 0 and cli.main(["version"]) == 0 and cli.main(["sources"]) == 0
+
+
+def test_ask(spark):
+    from vitalframe.plans import ask
+
+    df = spark.range(7).select(F.struct(F.col("id")).alias("a"))
+    p = ask.Scripted(['note {"action": "sql", "query": "SELECT max(`a.id`) AS m FROM t"}', '```json\n{"action": "sql", "query": "DROP TABLE t"}\n```', '{"action": "answer", "markdown": "six"}'])
+    got = ask.ask("largest?", {"rows": 7}, {"t": df}, p, deadline_s=60)
+    assert got["markdown"] == "six" and got["steps"][0]["result"]["rows"] == [{"m": 6}] and "error" in got["steps"][1]["result"]
+    assert "a.id" in p.prompts[0] and "```sql" in ask.as_markdown("largest?", got)
+    assert ask.ask("x", {}, {"t": df}, ask.Scripted(["just words"]))["markdown"] == "just words" and ask.first_json("{bad {\"a\": 1}") == {"a": 1}
+
+
+def test_download(tmp_path):
+    from vitalframe.sources import download
+
+    src = tmp_path / "rows.csv"
+    src.write_text("a,b\n1,2\n")
+    at, kind = download.fetch(src.as_uri(), str(tmp_path / "cache"))
+    assert kind == "csv" and open(at).read() == "a,b\n1,2\n" and download.clean(str(tmp_path / "cache")) == 0 and download.clean(str(tmp_path / "cache"), -1) == 1
+    assert [download.detect(x) for x in ('{"a": 1}', '{"a": 1}\n{"a": 2}\n{"a": 3}', "<a><b/></a>", "a,b\n1,2", b"\xff\xfe", "plain")] == ["json", "jsonl", "xml", "csv", "unknown", "unknown"]
+    assert download.validate("[1]", "json") and not download.validate("<a/>", "json")
+
+
+def test_legacy_coverage_limits_and_rule_table(spark):
+    a = spark.range(100).select(F.when(F.col("id") < 80, "x").alias("f"), F.lit("y").alias("g"))
+    b = spark.range(100).select(F.when(F.col("id") < 60, "x").alias("f"), F.when(F.col("id") < 95, "y").alias("g"))
+    d = compare.profile_diff(profiled({"o": a})[1], profiled({"o": b})[1])
+    assert [(r["path"], r["scope"]) for r in drift.coverage_breaches(d, {})] == [("f", "default")]
+    assert [(r["path"], r["scope"]) for r in drift.coverage_breaches(d, {"dataset": 50, "fields": {"o": {"g": 2}}})] == [("g", "field")]
+    assert drift.coverage_breaches(d, {}, drops=False) == []
+    rules = drift.Rules({"objects": {"o": {"coverage": {"drop_pct": 5}}}})
+    t = {(r["metric"], r["scope"]): r["fired"] for r in drift.rules_in_effect(rules, [{"kind": "coverage", "object": "o", "path": "f", "severity": "fail"}, {"kind": "field_removed", "object": "z", "path": "q", "severity": "fail"}])}
+    assert t["coverage", "object"] == 1 and t["coverage", "builtin"] == 0 and t["schema", "builtin"] == 1
