@@ -94,7 +94,7 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a piece stays near ``max_bytes`` (one row at least)."""
     rows = batch.num_rows
     if rows == 0:
