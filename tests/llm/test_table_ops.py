@@ -256,6 +256,27 @@ def test_near_duplicates(spark, monkeypatch, n, num, den):
         assert Counter(map(tuple, got.collect())) == want
 
 
+def hidden_links():
+    """Pairs of groups that are linked by other classes than their first alone:
+    a2 and b2 share 92 of 100 words, a1 and b1 differ from them in 4 late words
+    each. Words of the fillers are the frequent ones, so they come last."""
+    docs = []
+    for i in range(12):
+        w = lambda kind, n, i=i: [f"{kind}{i}_{j}" for j in range(n)]
+        common, x, y, late = w("c", 84), w("x", 8), w("y", 8), [w(k, 4) for k in "pqrs"]
+        docs += [common + x + late[0] + late[1], common + x + late[0] + late[2], common + y + late[0] + late[1], common + y + late[3] + late[1]]
+        docs += [sum(late, []) + w(f"f{k}u", 100) for k in range(12)]
+    return [(n, " ".join(d)) for n, d in enumerate(docs)]
+
+
+def test_near_duplicates_beside_first_classes(spark):
+    docs = hidden_links()
+    want = brute_components(docs, 1, 85, 100)
+    assert sum(c != d for d, _, c in want) == 36
+    got = ngram_join.link_components(spark.createDataFrame(docs, "doc_id long, text string"), n=1, num=85, den=100)
+    assert Counter(map(tuple, got.collect())) == want
+
+
 def test_near_duplicates_odd_tables(spark):
     assert ngram_join.link_components(empty(spark)).count() == 0
     want = brute_components([(r[0], r[1]) for r in rows()], 5, 80, 100)

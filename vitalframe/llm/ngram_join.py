@@ -16,7 +16,9 @@ distinct n-word shingles. Steps:
    the group count. Groups are expanded to classes and verified on full sets.
 4. The star's links are contracted to components. Only what could still join
    two components is paired next, in salted blocks: hot shingles whose groups are
-   all in one component need no more. This makes the links' components exact.
+   all in one component need no more. Of paired groups only first classes have
+   met the other's; where their components differ, the rest is verified as well.
+   This makes the links' components exact.
 
 Shingles are 64-bit hashes of their words; classes are 128-bit. Defined
 results: null or wordless text has an empty set, links with nothing and is its
@@ -282,8 +284,11 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.salt") == F.col("b.salt"))).where((F.col("a.gid") < F.col("b.gid")) & may & apart)
     more = more.select(*both).distinct().join(rare.select("ga", "gb", "c"), ["ga", "gb"], "left").na.fill(0, ["c"])
     more = _enough_in_common(more, hot, num, den).select("ga", "gb")
-    several = comp.groupBy("gid").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-    more = more.union(several.select("gid", "gid")).union(gid_pairs.join(several.select(F.col("gid").alias("ga")), "ga", "left_semi")).union(gid_pairs.join(several.select(F.col("gid").alias("gb")), "gb", "left_semi").select("ga", "gb")).distinct()
+    several = comp.groupBy("gid").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("k > 1")
+    # Heads have met every class of a paired group: what is left is between two groups of several classes.
+    of_pair = lambda g, x: several.select(F.col("gid").alias(g), F.col("lo").alias(f"lo{x}"), F.col("hi").alias(f"hi{x}"))
+    split = gid_pairs.join(of_pair("ga", "a"), "ga").join(of_pair("gb", "b"), "gb").where("loa != lob or hia != hib or loa != hia").select("ga", "gb")
+    more = more.union(several.where("lo != hi").select("gid", "gid")).union(split).distinct()
     side = lambda g, c, k: comp.select(F.col("gid").alias(g), F.col("cls").alias(c), F.col("comp").alias(k))
     second = more.join(side("ga", "u", "cu"), "ga").join(side("gb", "v", "cv"), "gb").where("cu != cv").select("u", "v")
     second = materialize(ordered(second).join(first, ["u", "v"], "left_anti"), "ngram-pairs")
