@@ -161,6 +161,22 @@ def test_log_sums_normalise():
             assert math.isclose(float(np.log(np.exp(m.p["q"] @ h + m.p["b"]).sum())), float(z[c2, c1]), rel_tol=1e-4, abs_tol=1e-4)
 
 
+def test_training_is_not_cut():
+    """Steps of 8,192 tokens against 96 noise words, two rounds over all training tokens."""
+    assert (bilinear_lm.NOISE, bilinear_lm.BATCH, bilinear_lm.ROUNDS) == (96, 8192, 2)
+    voc = bilinear_lm.Vocabulary([*((f"w{i}", 100) for i in range(300)), ("", 1)], 30_001, 301)
+    m = bilinear_lm.Bilinear(voc.size).start(voc.noise)
+    drawn, at = [], np.zeros((bilinear_lm.BATCH, 3), np.int64)
+
+    class Rng:
+        def random(self, k):
+            drawn.append(k)
+            return np.random.default_rng(1).random(k)
+
+    m.train(at, np.full(len(m.flat), 1e-4, np.float32), voc.noise, Rng())
+    assert drawn == [96]
+
+
 def test_training_beats_unigrams():
     """On a text with strong order, the trained model predicts better."""
     words = ["a", "b", "c", "d", "e", "f"]
