@@ -49,6 +49,11 @@ def test_query_equals_sql(spark, db, name):
     assert have == want
 
 
+def test_flagship_profiles_every_flat_table(spark, db):
+    have = {(r["object"], r["path"]) for r in catalog.QUERIES["profile_fields_all"](spark, SF).select("object", "path").collect()}
+    assert have == {(t, c) for t in catalog.FLAT for c in db.sql(f"SELECT * FROM {t} LIMIT 0").columns}
+
+
 def test_flagship(spark):
     metrics = {(r["metric"], r["object"], r["path"]): r["value"] for r in catalog.QUERIES["analyze_all"](spark, SF).collect()}
     assert metrics["row_count", "nation", ""] == 25 and 0 < metrics["health", "", ""] <= 100

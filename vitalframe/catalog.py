@@ -57,6 +57,9 @@ COLUMNS = {
     "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
     "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"),
     "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+    "pages": ("page_id", "url", "html"),
+    "benchmark": ("item_id", "text"),
     "labels": ("doc_id", "quality", "toxic"),
     "conversations": ("conv_id", "turn", "role", "text"),
 }
@@ -73,7 +76,7 @@ def _fields(spark: SparkSession, d: str, names: tuple[str, ...]) -> DataFrame:
     return p.select("object", "path", F.col("presence").cast("long").alias("presence"), F.col("null_empty").cast("long").alias("null_empty"), F.col("distinct").cast("long").alias("distinct_values"), "coverage", "low_cardinality")
 
 
-PROFILED = ("region", "nation", "customer", "supplier", "part", "orders", "labels")
+PROFILED = FLAT
 
 # ---------------------------------------------------------------- profile
 
