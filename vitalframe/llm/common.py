@@ -38,9 +38,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    # What led here is garbage now. Collecting it early lets Spark delete the shuffle
+    # files and broadcasts behind it, and keeps the driver small over many tables.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def meet(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two sides that grow with the input: always by merge, whose skewed
+    partitions Spark can split, never by a broadcast that only a small input allows."""
+    return a.join(b.hint("merge"), on, how)
+
+
 @contextmanager
 def scratch() -> Iterator[list[tuple[SparkSession, str]]]:
     """Collects the tables that are materialized inside, for ``drop``."""

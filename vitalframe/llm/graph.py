@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, meet
 
 
 def _contract(batches: Iterator[pa.RecordBatch], flush: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -49,13 +49,13 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     for _ in range(most):
         both = at.union(at.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = meet(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "cc")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v")).where("u != v").distinct()
+        small = meet(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v")).where("u != v").distinct()
         new = materialize(small, "cc")
         # The forest of stars no longer changes: each node hangs on its root alone.
-        done = new.select("u").distinct().count() == new.count() and new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()
+        done = new.select("u").distinct().count() == new.count() and meet(new, new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()
         at = new
         if done:
             break

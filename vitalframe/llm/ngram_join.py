@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, meet, slices
 from .graph import components
 
 BUCKET_BITS, RARE, BLOCK, BLOOM_MAX = 18, 8, 2_000, 1 << 27
@@ -162,13 +162,13 @@ def _enough_in_common(pairs: DataFrame, hot: DataFrame, num: int, den: int) -> D
     counted), at most the hot ones that both have, and what may lie behind the
     prefix that ends first."""
     k = hot.groupBy("gid").agg(F.count("*").alias("k"))
-    met = pairs.join(k.select(F.col("gid").alias("ga"), F.col("k").alias("ka")), "ga", "left").join(k.select(F.col("gid").alias("gb"), F.col("k").alias("kb")), "gb", "left").na.fill(0)
+    met = meet(meet(pairs, k.select(F.col("gid").alias("ga"), F.col("k").alias("ka")), "ga", "left"), k.select(F.col("gid").alias("gb"), F.col("k").alias("kb")), "gb", "left").na.fill(0)
     behind = F.greatest(_need(F.col("na"), num, den), _need(F.col("nb"), num, den)) - 1
     required = F.floor(((F.col("na") + F.col("nb")) * num + (num + den - 1)) / F.lit(num + den))
     return met.where(F.col("c") + F.least("ka", "kb") + behind >= required)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> tuple[DataFrame, Broadcast]:
     """``wanted(cls, id)`` -> ``(cls, s)``: full sets, from a second look at the
     texts. A Bloom filter of bounded size picks the rows; a full one lets more
     rows through, which the later joins on the class drop."""
@@ -202,14 +202,16 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["cls", "s"])
 
     # A class may come more than once (equal rows); links are then found twice.
-    return docs.mapInArrow(run, "cls binary, s array<long>")
+    return docs.mapInArrow(run, "cls binary, s array<long>"), shared
 
 
 def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs(u, v)`` of classes whose full sets link. Only texts of
     classes that occur in the pairs are turned into sets again."""
     named = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()
-    sets = materialize(_sets_of(docs, named.join(members.select("cls", "id"), "cls"), n), "ngram-sets")
+    found, bloom = _sets_of(docs, meet(named, members.select("cls", "id"), "cls"), n)
+    sets = materialize(found, "ngram-sets")
+    bloom.destroy()
 
     @F.arrow_udf("boolean")
     def links(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -223,7 +225,7 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, n: int, num
             out.append(den * common >= num * (len(both) - common))
         return pa.array(out, pa.bool_())
 
-    full = pairs.join(sets.select(F.col("cls").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("cls").alias("v"), F.col("s").alias("y")), "v")
+    full = meet(meet(pairs, sets.select(F.col("cls").alias("u"), F.col("s").alias("x")), "u"), sets.select(F.col("cls").alias("v"), F.col("s").alias("y")), "v")
     return full.where(links("x", "y")).select("u", "v")
 
 
@@ -232,6 +234,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     freq = df.sparkSession.sparkContext.broadcast(_bucket_counts(docs.select("text"), n))
     rows = materialize(_classes(docs, n, num, den, freq), "ngram-classes")
+    freq.destroy()
     members = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("gid").alias("gid"))
     members = materialize(members, "ngram-members")
     # The size goes in front of the prefix, so that both uses below share one shuffle.
@@ -241,17 +244,21 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Size and position share one number on their way through the shuffle.
     posted = posted.select("token", "gid", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
     seen = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    met = posted.join(seen, "token").select("token", "gid", "df", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"))
+    met = meet(posted, seen, "token").select("token", "gid", "df", F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"))
     posted = materialize(met, "ngram-postings")
 
     hot = posted.where(F.col("df") > RARE)
     a, b = posted.where(F.col("df") <= RARE).alias("a"), posted.where(F.col("df") <= RARE).alias("b")
     may = _may_link(num, den)
     both = (F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
-    rare = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.gid") < F.col("b.gid"))).select(*both, may.alias("may"))
+    rare = meet(a, b, (F.col("a.token") == F.col("b.token")) & (F.col("a.gid") < F.col("b.gid"))).select(*both, may.alias("may"))
     rare = materialize(rare.groupBy("ga", "gb", "na", "nb").agg(F.count("*").alias("c"), F.max("may").alias("may")), "ngram-rare")
-    centre = hot.groupBy("token").agg(F.min(F.struct("pos", "n", "gid")).alias("c")).select("token", "c.*")
-    star = hot.alias("a").join(centre.alias("b"), F.col("a.token") == F.col("b.token")).where((F.col("a.gid") != F.col("b.gid")) & may).select(*both)
+    # A token's postings are dealt over as many salts as their number asks for.
+    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
+    salted = hot.withColumn("salt", F.pmod(F.xxhash64("gid"), blocks).cast("int"))
+    centre = hot.groupBy("token", "df").agg(F.min(F.struct("pos", "n", "gid")).alias("c"))
+    centre = centre.select("token", "c.*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"))
+    star = meet(salted.alias("a"), centre.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.salt") == F.col("b.salt"))).where((F.col("a.gid") != F.col("b.gid")) & may).select(*both)
     turned = F.col("ga") > F.col("gb")
     pick = lambda x, y, name: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name)
     star = star.select(pick("ga", "gb", "ga"), pick("gb", "ga", "gb"), pick("na", "nb", "na"), pick("nb", "na", "nb"), F.lit(0).cast("long").alias("c"), F.lit(True).alias("may")).distinct()
@@ -260,10 +267,10 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Groups of several classes: a star of their own, and their first class stands for them.
     heads = members.groupBy("gid").agg(F.min("cls").alias("head"), F.count("*").alias("k"))
-    inner = members.join(heads.where("k > 1"), "gid").where("cls != head").select(F.col("head").alias("u"), F.col("cls").alias("v"))
-    named = gid_pairs.join(heads.select(F.col("gid").alias("ga"), F.col("head").alias("ha")), "ga").join(heads.select(F.col("gid").alias("gb"), F.col("head").alias("hb")), "gb")
-    left = named.join(members.select(F.col("gid").alias("gb"), F.col("cls").alias("c")), "gb").select(F.col("ha").alias("u"), F.col("c").alias("v"))
-    right = named.join(members.select(F.col("gid").alias("ga"), F.col("cls").alias("c")), "ga").select(F.col("hb").alias("u"), F.col("c").alias("v"))
+    inner = meet(members, heads.where("k > 1"), "gid").where("cls != head").select(F.col("head").alias("u"), F.col("cls").alias("v"))
+    named = meet(meet(gid_pairs, heads.select(F.col("gid").alias("ga"), F.col("head").alias("ha")), "ga"), heads.select(F.col("gid").alias("gb"), F.col("head").alias("hb")), "gb")
+    left = meet(named, members.select(F.col("gid").alias("gb"), F.col("cls").alias("c")), "gb").select(F.col("ha").alias("u"), F.col("c").alias("v"))
+    right = meet(named, members.select(F.col("gid").alias("ga"), F.col("cls").alias("c")), "ga").select(F.col("hb").alias("u"), F.col("c").alias("v"))
     ordered = lambda x: x.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct()
     first = materialize(ordered(inner.union(left).union(right)), "ngram-pairs")
 
@@ -271,33 +278,34 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = components(links)
 
     # What could still join two components.
-    comp = members.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "gid", F.coalesce("root", "cls").alias("comp"))
+    comp = meet(members, found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "gid", F.coalesce("root", "cls").alias("comp"))
     comp = materialize(comp, "ngram-components")
     of_group = comp.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    open_ = hot.join(of_group, "gid")
+    open_ = meet(hot, of_group, "gid")
     mixed = open_.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("token")
-    open_ = materialize(open_.join(mixed, "token", "left_semi"), "ngram-open")
-    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
+    open_ = materialize(meet(open_, mixed, "token", "left_semi"), "ngram-open")
     a = open_.withColumn("salt", F.pmod(F.xxhash64("gid"), blocks).cast("int")).alias("a")
     b = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("b")
     apart = (F.col("a.lo") != F.col("b.lo")) | (F.col("a.hi") != F.col("b.hi")) | (F.col("a.lo") != F.col("a.hi"))
-    more = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.salt") == F.col("b.salt"))).where((F.col("a.gid") < F.col("b.gid")) & may & apart)
-    more = more.select(*both).distinct().join(rare.select("ga", "gb", "c"), ["ga", "gb"], "left").na.fill(0, ["c"])
+    more = meet(a, b, (F.col("a.token") == F.col("b.token")) & (F.col("a.salt") == F.col("b.salt"))).where((F.col("a.gid") < F.col("b.gid")) & may & apart)
+    more = meet(more.select(*both).distinct(), rare.select("ga", "gb", "c"), ["ga", "gb"], "left").na.fill(0, ["c"])
     more = _enough_in_common(more, hot, num, den).select("ga", "gb")
     several = comp.groupBy("gid").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("k > 1")
     # Heads have met every class of a paired group: what is left is between two groups of several classes.
     of_pair = lambda g, x: several.select(F.col("gid").alias(g), F.col("lo").alias(f"lo{x}"), F.col("hi").alias(f"hi{x}"))
-    split = gid_pairs.join(of_pair("ga", "a"), "ga").join(of_pair("gb", "b"), "gb").where("loa != lob or hia != hib or loa != hia").select("ga", "gb")
+    split = meet(meet(gid_pairs, of_pair("ga", "a"), "ga"), of_pair("gb", "b"), "gb").where("loa != lob or hia != hib or loa != hia").select("ga", "gb")
     more = more.union(several.where("lo != hi").select("gid", "gid")).union(split).distinct()
     side = lambda g, c, k: comp.select(F.col("gid").alias(g), F.col("cls").alias(c), F.col("comp").alias(k))
-    second = more.join(side("ga", "u", "cu"), "ga").join(side("gb", "v", "cv"), "gb").where("cu != cv").select("u", "v")
-    second = materialize(ordered(second).join(first, ["u", "v"], "left_anti"), "ngram-pairs")
+    second = meet(meet(more, side("ga", "u", "cu"), "ga"), side("gb", "v", "cv"), "gb").where("cu != cv").select("u", "v")
+    second = materialize(meet(ordered(second), first, ["u", "v"], "left_anti"), "ngram-pairs")
     if not second.isEmpty():
         extra = materialize(_verified(second, members, docs, n, num, den), "ngram-links")
         if not extra.isEmpty():
             found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u != v").union(extra))
 
-    placed = rows.select("id", "n", "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("id", "n", F.coalesce("root", "cls").alias("comp"))
-    least = placed.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))
-    out = placed.join(least, "comp", "left")
+    # The least id of a component comes from its classes; rows are joined once, by class.
+    placed = meet(members.select("cls", "id"), found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "id", F.coalesce("root", "cls").alias("comp"))
+    least = placed.groupBy("comp").agg(F.min("id").alias("least"))
+    named = meet(placed, least, "comp").select("cls", "least")
+    out = meet(rows.select("id", "n", "cls"), named, "cls", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
