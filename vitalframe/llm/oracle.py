@@ -1,23 +1,5 @@
 """SQL twins (DuckDB) of the queries that SQL can express."""
 
-WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')"
-
-OP2 = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size,
-    md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS o FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
-w AS (SELECT *, [3, 1, 2][CAST((i - 1) % 3 AS INTEGER) + 1] AS weight FROM s),
-r AS (SELECT *, 1.5 * sum(source_size) OVER () AS whole,
-    coalesce(sum(source_size) OVER (ORDER BY 2.0 * source_size / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2 AS capped_before,
-    sum(weight) OVER (ORDER BY 2.0 * source_size / weight, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left FROM w),
-l AS (SELECT *, CAST(whole - capped_before AS DOUBLE) / weight_left AS level FROM r),
-c AS (SELECT *, level * weight > 2 * source_size AS capped FROM l),
-t AS (SELECT source, source_size, CASE WHEN capped THEN 2.0 * source_size ELSE weight * (SELECT min(level) FROM c c2 WHERE NOT c2.capped AND c2.capped_before = (SELECT min(capped_before) FROM c c3 WHERE NOT c3.capped)) END AS target FROM c),
-f AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(round_even(target, 0) AS BIGINT) // source_size ELSE 0 END AS whole_copies, CASE WHEN source_size > 0 THEN CAST(round_even(target, 0) AS BIGINT) % source_size ELSE 0 END AS rest FROM t),
-u AS (SELECT d.*, f.source_size, f.target, f.whole_copies, f.rest, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
-SELECT doc_id, size, source_size, target, CAST(size * (whole_copies + CASE WHEN rest > 0 AND 2 * upto + size < 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM u
-"""
-
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP9 = rf"""

@@ -56,8 +56,8 @@ def op7_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER_FILE), budgets=())
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+    counted = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER_FILE), budgets=(512,))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("keep_512") < F.col("n_chars")).alias("over_limit"), F.col("keep_512").alias("fits_512"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_webp, op2_source_mix, op3_secret_scan, op4_bilinear_lm, op5_bpe_codec, op6_weighted_fingerprint, op7_splitter_shards, op8_token_counts, op9_ngram_join, op10_language_id)}
-ORACLE: dict[str, str] = {"op2_source_mix": oracle.OP2, "op7_splitter_shards": oracle.OP7, "op9_ngram_join": oracle.OP9}
+ORACLE: dict[str, str] = {"op7_splitter_shards": oracle.OP7, "op9_ngram_join": oracle.OP9}

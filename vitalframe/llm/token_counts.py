@@ -31,12 +31,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, materialize
 
 # The byte-level pre-token pattern of the vocabulary file's format.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # A unit: what must be looked at together so that counts don't depend on the rest.
 _UNIT = regex.compile(r"(?:\s*[^\S ])?'(?:s|t|re|ve|m|ll|d)|\s*(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+")
+#: White space as the patterns see it: not what ``str.isspace`` holds (U+001C to U+001F).
+_SPACES = regex.compile(r"\s*")
 CACHE_UNITS, CACHE_UNIT_CHARS = 300_000, 48
 
 
@@ -123,8 +125,8 @@ class PrefixCounter:
 
     def _unit_counts(self, unit: str) -> list[int]:
         """Tokens of ``unit[:k]`` for k from 1 to its length."""
-        body = unit.lstrip()
-        space = len(unit) - len(body)
+        space = _SPACES.match(unit).end()
+        body = unit[space:]
         if not space and body.isascii() and body[0] != "'":
             return self.piece_counts(body.encode())[1:]
         if space == 1 and unit[0] == " " and body.isascii() and body:
@@ -261,25 +263,44 @@ def truncate_to_budget(table: Column, budget: int) -> Column:
     return _answers(lambda t: longest_within(t, budget), "long", pa.int64())(table)
 
 
-def count_tokens(df: DataFrame, tokenizer_file: str, budgets: Iterable[int] = (512,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``n_bytes``, ``n_tokens`` and per budget ``keep_<b>``, the
-    code points that fit. Tables are built and asked batch by batch inside one
-    scan, so they are neither shuffled nor stored; use ``with_prefix_tables``
-    to keep them."""
+def store_counts(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Build the tables of all texts once and keep them in the shared folder:
+    id, ``n_bytes``, ``n_chars``, ``prefix_table``. No shuffle. Questions go to
+    what is stored (``answer``), not to the texts.
+
+    Defined results: a null text counts as empty (no bytes, no tokens); an empty
+    table gives no rows; equal rows get equal tables; other columns are ignored."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kept = df.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.length(text).cast("long").alias("n_chars"), text.alias("__text"))
+    schema = kept.drop("__text").schema.add("prefix_table", "binary")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        c = load_counter(tokenizer_file)
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([c.table(t) for t in batch.column(3).to_pylist()], pa.binary())], names=schema.names)
+
+    return materialize(arrow_map(kept, run, schema), "token-tables")
+
+
+def answer(stored: DataFrame, budgets: Iterable[int] = (512,)) -> DataFrame:
+    """Stored tables without the tables: the other columns, ``n_tokens`` and per
+    budget ``keep_<b>``, the code points of the longest prefix that fits."""
     budgets = list(budgets)
-    kept = df.select(F.col(id_col), F.col(text_col).alias("__text"))
-    schema = kept.select(id_col).schema.add("n_bytes", "long").add("n_tokens", "long")
+    rest = [c for c in stored.columns if c != "prefix_table"]
+    schema = stored.select(*rest).schema.add("n_tokens", "long")
     for b in budgets:
         schema = schema.add(f"keep_{b}", "long")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = load_counter(tokenizer_file)
         rows = []
-        for text in batch.column(1).to_pylist():
-            t = c.table(text)
+        for t in batch.column(len(rest)).to_pylist():
             n = total(t)
-            rows.append((len((text or "").encode()), n, *(len(text or "") if len(t) - 1 <= b and n <= b else longest_within(t, b) for b in budgets)))
-        cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in cols)], names=schema.names)
+            rows.append((n, *(longest_within(t, b) for b in budgets)))
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True))], names=schema.names)
 
-    return arrow_map(kept, run, schema)
+    return arrow_map(stored.select(*rest, "prefix_table"), run, schema)
+
+
+def count_tokens(df: DataFrame, tokenizer_file: str, budgets: Iterable[int] = (512,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, ``n_bytes``, ``n_chars``, ``n_tokens`` and ``keep_<b>`` per budget,
+    from tables that are stored first."""
+    return answer(store_counts(df, tokenizer_file, id_col, text_col), budgets)
