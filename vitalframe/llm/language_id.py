@@ -1,18 +1,20 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Fit: every training row (all of them, no sample) adds its n-gram counts to its
-label. A task keeps one count vector of ``buckets`` per label it has met and
-emits the non-zero cells; Spark sums the cells. What reaches the driver is at
-most ``labels x buckets`` numbers, and labels are limited to ``MAX_LABELS``.
+label's row of a (labels, buckets) matrix; tasks pass on the cells they have, Spark
+sums them. Labels are limited to ``MAX_LABELS`` (an error beyond) and cells to
+``MAX_CELLS`` (33 MB): that bounds a task, the driver and the broadcast.
 
-Score: the matrix of log probabilities (buckets x labels) goes to the
-executors; a text's n-grams are a sparse row, scored in numpy by gathering and
-summing the matrix rows. ``score`` is the posterior of the predicted label.
+Score: the log-probability matrix goes to the executors. A batch of texts is a
+sparse count matrix, multiplied label by label in numpy. ``score`` is the
+posterior of the predicted label.
 
 Defined results: a null text, an empty one or one without any letter gives
-``und`` with score 0. Rows with a null label are not learned from. Equal
+``und`` with score 0. Rows with a null label or text are not learned from. Equal
 posteriors: the label that sorts first wins. With nothing to learn from, every
-text is ``und``.
+text is ``und``. Very long texts are counted and scored in pieces, whole. Equal
+rows get equal answers; extra columns pass through, but for those that have the
+output's names, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 from .common import slices
 
 UNDETERMINED = "und"
-ORDERS, BUCKETS, ALPHA, MAX_LABELS = (1, 2, 3), 1 << 15, 0.5, 1024
+ORDERS, BUCKETS, ALPHA, MAX_LABELS, MAX_CELLS = (1, 2, 3), 1 << 15, 0.5, 1024, 1 << 22
 PIECE = 1 << 17
 _LETTER = regex.compile(r"\p{L}")
 
@@ -49,61 +51,84 @@ def ngram_buckets(text: str, orders: tuple[int, ...] = ORDERS, buckets: int = BU
 
 
 class LanguageModel:
-    """Labels in sorted order, log priors, and a (buckets, labels) matrix."""
+    """Labels in sorted order, log priors, and a (labels, buckets) matrix."""
 
     def __init__(self, labels: list[str], log_prior: np.ndarray, log_prob: np.ndarray, orders: tuple[int, ...]):
         self.labels, self.log_prior, self.log_prob, self.orders = labels, log_prior, log_prob, orders
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.labels or not _LETTER.search(text):
-            return UNDETERMINED, 0.0
-        total = self.log_prior.copy()
-        for b in ngram_buckets(text, self.orders, len(self.log_prob)):
-            total += self.log_prob.take(b, axis=0).sum(axis=0)
-        best = int(total.argmax())
-        return self.labels[best], float(1.0 / np.exp(total - total[best]).sum())
+    def predict_many(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Labels and posteriors of a batch. Its n-grams are the rows of one sparse
+        matrix (bucket numbers and row starts), multiplied by each label's row of
+        the model; a piece holds at most ``PIECE`` n-grams of any number of texts."""
+        buckets = self.log_prob.shape[1]
+        total = np.tile(self.log_prior, (len(texts), 1))
+        held: list[np.ndarray] = []
+        owner: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            if held:
+                cols = np.concatenate(held)
+                starts = np.cumsum([0, *(len(x) for x in held[:-1])])
+                for k in range(len(self.labels)):
+                    np.add.at(total[:, k], owner, np.add.reduceat(self.log_prob[k].take(cols), starts))
+            held.clear()
+            owner.clear()
+
+        judged = np.array([bool(t and self.labels and _LETTER.search(t)) for t in texts], bool)
+        for i in np.flatnonzero(judged):
+            for b in ngram_buckets(texts[i], self.orders, buckets):
+                if len(b):
+                    held.append(b)
+                    owner.append(i)
+                    size += len(b)
+                if size >= PIECE:
+                    flush()
+                    size = 0
+        flush()
+        out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
+        if judged.any():
+            best = total.argmax(axis=1)
+            top = total[np.arange(len(texts)), best]
+            sure = 1.0 / np.exp(total - top[:, None]).sum(axis=1)
+            for i in np.flatnonzero(judged).tolist():
+                out[i] = (self.labels[best[i]], float(sure[i]))
+        return out
 
 
 def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, alpha: float = ALPHA) -> LanguageModel:
-    """Learn from all rows of ``train`` whose label and text are not null."""
+    """Learn from all rows of ``train`` whose label and text are not null. The
+    matrix has at most ``MAX_CELLS`` cells: with many labels, fewer buckets."""
     rows = train.select(F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("l")).where("t is not null and l is not null")
+    # One row per label, and an error beyond the bound.
+    prior_of = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LABELS + 1).collect()}
+    if len(prior_of) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    labels = sorted(prior_of)
+    while labels and len(labels) * buckets > MAX_CELLS:
+        buckets >>= 1
+    at = {label: i for i, label in enumerate(labels)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
-
-        def out():
-            for label, c in cells.items():
-                at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array([label] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(c[at], docs[label]))], names=["l", "b", "n"])
-
+        cells = np.zeros(len(at) * buckets, np.int64)
         for batch in batches:
-            for t, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if label not in cells:
-                    if len(cells) >= 64:  # many labels: pass on what is there
-                        yield from out()
-                        cells.clear()
-                        docs.clear()
-                    cells[label], docs[label] = np.zeros(buckets, np.int64), 0
-                docs[label] += 1
-                for b in ngram_buckets(t, orders, buckets):
-                    cells[label] += np.bincount(b, minlength=buckets)
-        yield from out()
-
-    summed = rows.mapInArrow(count, "l string, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
-    # Bounded: labels x (buckets + 1) cells.
-    got = summed.limit(MAX_LABELS * (buckets + 1) + 1).toPandas()
-    labels = sorted(got["l"].unique().tolist())
-    if len(labels) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    at = {label: i for i, label in enumerate(labels)}
-    col = got["l"].map(at).to_numpy(dtype=np.int64)
-    b, n = got["b"].to_numpy(dtype=np.int64), got["n"].to_numpy(dtype=np.int64)
-    prior, counts = np.zeros(len(labels)), np.full((buckets, len(labels)), float(alpha))
-    prior[col[b < 0]] = n[b < 0]
-    np.add.at(counts, (b[b >= 0], col[b >= 0]), n[b >= 0])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return LanguageModel(labels, np.log(prior / prior.sum()), np.log(counts / counts.sum(axis=0)), orders)
+            for piece in slices(batch):
+                for t, label in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                    first = at[label] * buckets
+                    for b in ngram_buckets(t, orders, buckets):
+                        cells[first : first + buckets] += np.bincount(b, minlength=buckets)
+        used = np.flatnonzero(cells)
+        for i in range(0, len(used), 1 << 16):
+            part = used[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(cells[part])], names=["c", "n"])
+
+    counts = np.full(len(labels) * buckets, float(alpha))
+    if labels:
+        got = rows.mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()  # a row per cell: MAX_CELLS at most
+        counts[got["c"].to_numpy(dtype=np.int64)] += got["n"].to_numpy(dtype=np.int64)
+    counts = counts.reshape(len(labels), buckets)
+    prior = np.array([prior_of[x] for x in labels], float)
+    return LanguageModel(labels, np.log(prior / max(1.0, prior.sum())), np.log(counts / counts.sum(axis=1, keepdims=True)), orders)
 
 
 def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", label_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
@@ -118,7 +143,7 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", label_o
         at = names.index(text_col)
         for batch in batches:
             for piece in slices(batch):
-                found = [shared.value.predict(t) for t in piece.column(at).to_pylist()]
+                found = shared.value.predict_many(piece.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=names)
 
     return df.mapInArrow(run, schema)
