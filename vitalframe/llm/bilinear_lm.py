@@ -1,50 +1,72 @@
 """Language-model scores: a log-bilinear neural model with noise-contrastive
 estimation in numpy, and add-one unigram scores.
 
-Tokens: words of the text lower-cased in A-Z, then one end of text.
+Tokens: words of the text lower-cased in A-Z, then one end of text. Words of more
+than ``TOP_BYTES`` bytes are named by their digest.
 
 * Counts: all training documents; each task passes on partial counts, Spark sums.
-* Vocabulary: the ``words`` most frequent tokens; all others share one class.
+* Classes: the ``WORDS`` most frequent tokens, the end, and for all other words one
+  of ``CLUSTERS`` classes by the ending of the word.
 * Model: the last two tokens' vectors, each through its own matrix, add up to a
   prediction, compared with an output vector and a bias per class. Training is
   noise-contrastive: unigram noise, shared by a minibatch, so that a step is a
-  few matrix products. Every task trains on all its training documents from one
-  common start, and parameters are averaged by tokens seen, for each round.
+  few matrix products. Training documents are dealt by a hash into blocks of about
+  ``BLOCK_TOKENS`` tokens, in hash order, whatever the table's partitions are. Each
+  block trains from one common start, ``STEPS`` steps at least, and parameters are
+  averaged by tokens, for each round. Blocks grow in number with the input.
 * Scores are normalised: a batched matrix product gives the log of the sum
   over all classes for every pair of context tokens, once. A word outside the
   vocabulary takes its class's probability times its add-one share in there.
 
-Counts of the ``TOP`` most frequent tokens (and of words up to ``TOP_BYTES``) go to
-the executors, a bounded table; the many rare ones are joined by token. What
-reaches the driver: ``TOP`` counts, parameters, a few numbers.
+Counts of the ``TOP`` most frequent tokens go to the executors, a bounded table; the
+many rare ones are joined by token. What reaches the driver: ``TOP`` counts, a few
+sums of parameters, a few numbers.
 
 Defined results: a null text is an empty one, which is one end token. With no
-training documents, base_score is 0 per token and the model is uniform.
+training documents, base_score is 0 per token and the model is uniform. Equal texts
+get equal scores; an empty table gives no rows; a very long text trains and scores
+whole; extra columns are ignored. Scores agree over layouts of the table up to the
+rounding of sums.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, meet, slices
 
-WORDS, DIM, NOISE, ROUNDS, RATE, BATCH, SEED = 1022, 24, 96, 2, 0.15, 8192, 7
-TOP, TOP_BYTES, FLUSH = 131_072, 64, 400_000
-OTHER, END = 0, 1  # class numbers; words start at 2
+WORDS, CLUSTERS, DIM, NOISE, ROUNDS, RATE, BATCH, SEED = 1022, 256, 24, 96, 2, 0.15, 8192, 7
+BLOCK_TOKENS, STEPS, SUMS = 1 << 22, 160, 16
+TOP, TOP_BYTES, ENDING, FLUSH = 131_072, 64, 3, 400_000
+END = 0  # class numbers; words start at 1, clusters follow
 END_TOKEN = ""  # no word is empty
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """Words in order, without the end."""
-    return (text or "").encode().lower().split()
+    """Words in order, without the end. No word holds a space, a digest's name does."""
+    words = (text or "").encode().lower().split()
+    if any(len(w) > TOP_BYTES for w in words):
+        words = [w if len(w) <= TOP_BYTES else b" " + hashlib.md5(w).hexdigest().encode() for w in words]
+    return words
+
+
+def cluster(word: bytes) -> int:
+    return zlib.crc32(word[-ENDING:]) % CLUSTERS
+
+
+def cluster_column(token: Column) -> Column:
+    """``cluster`` as an expression."""
+    return F.crc32(F.substring(F.encode(token, "utf-8"), -ENDING, ENDING)) % CLUSTERS
 
 
 def count_tokens(train: DataFrame, text_col: str) -> DataFrame:
@@ -68,23 +90,35 @@ def count_tokens(train: DataFrame, text_col: str) -> DataFrame:
 
 
 class Vocabulary:
-    """Counts of frequent tokens by rank; the first ``words`` are classes."""
+    """Counts of frequent tokens by rank; the first ``words`` are classes.
+    ``clusters``: per cluster, the count and the number of types of all words."""
 
-    def __init__(self, top: list[tuple[str, int]], total: int, types: int, words: int = WORDS):
+    def __init__(self, top: list[tuple[str, int]], total: int, types: int, clusters: dict[int, tuple[int, int]], words: int = WORDS):
         ranked = sorted(((t, n) for t, n in top if t != END_TOKEN), key=lambda x: (-x[1], x[0]))
         ends = dict(top).get(END_TOKEN, 0)
         self.rank = {t.encode(): i for i, (t, _) in enumerate(ranked)}
         self.count = np.array([n for _, n in ranked], np.int64)
         self.words = min(words, len(ranked))
-        self._class = {t.encode(): i + 2 for i, (t, _) in enumerate(ranked[: self.words])}
-        self.size = self.words + 2
+        self.first = self.words + 1  # class of cluster 0
+        self.size = self.first + CLUSTERS
         self.total, self.types, self.ends = total, types, ends
-        inside = int(self.count[: self.words].sum())
-        self.other_total, self.other_types = total - inside - ends, types - self.words - bool(ends)
-        freq = np.concatenate([[max(1, self.other_total), max(1, ends)], np.maximum(1, self.count[: self.words])]).astype(float)
+        tokens_in, types_in = np.zeros(CLUSTERS, np.int64), np.zeros(CLUSTERS, np.int64)
+        for k, (n, v) in clusters.items():
+            tokens_in[k], types_in[k] = n, v
+        self.class_of = np.zeros(len(ranked), np.int16)  # by rank
+        for i, (t, n) in enumerate(ranked):
+            k = cluster(t.encode())
+            if i < self.words:
+                self.class_of[i] = i + 1
+                tokens_in[k] -= n
+                types_in[k] -= 1
+            else:
+                self.class_of[i] = self.first + k
+        freq = np.concatenate([[max(1, ends)], np.maximum(1, self.count[: self.words]), np.maximum(1, tokens_in)]).astype(float)
         self.noise = freq / freq.sum()
         self.base_norm = math.log10(total + 1 * (types + 1))
-        self.other_norm = math.log10(self.other_total + self.other_types + 1)
+        # Share of a word in its cluster: add-one, with one more for all unknown words.
+        self.cluster_norm = np.log10(tokens_in + types_in + 1.0)
         self.log_count = np.log10(self.count + 1.0)
 
     def ranks(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
@@ -92,18 +126,15 @@ class Vocabulary:
         words, get = tokens(text), self.rank.get
         return np.array([get(w, -1) for w in words], np.int64), words
 
-    def classes_of(self, text: str | None) -> np.ndarray:
-        """Classes of a text, after two ends: contexts are there for each token."""
-        get = self._class.get
-        out = [END, END]
-        out += [get(w, OTHER) for w in tokens(text)]
-        out.append(END)
-        return np.array(out, np.int16)
-
-    def classes(self, ranks: np.ndarray) -> np.ndarray:
+    def classes(self, ranks: np.ndarray, words: list[bytes]) -> np.ndarray:
         """Class of each token, the end included."""
-        out = np.where((ranks >= 0) & (ranks < self.words), ranks + 2, OTHER)
-        return np.append(out, END)
+        out = np.zeros(len(ranks) + 1, np.int16)
+        known = ranks >= 0
+        out[:-1][known] = self.class_of[ranks[known]]
+        rare = np.flatnonzero(~known)
+        if len(rare):
+            out[rare] = [self.first + cluster(words[i]) for i in rare.tolist()]
+        return out  # END is class 0
 
 
 class Bilinear:
@@ -210,56 +241,79 @@ def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     out[to[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
-def fit(train: DataFrame, text_col: str, voc: Vocabulary, rounds: int = ROUNDS) -> Bilinear:
-    """Average of the tasks' models, weighted by tokens, after each round."""
+def _train_block(model: Bilinear, noise: np.ndarray, docs: list[np.ndarray], seed: list[int]) -> tuple[Bilinear, int]:
+    """Train on a block's documents in the order given; returns the tokens seen."""
+    m = Bilinear(model.size, model.dim).load(model.flat)
+    rng, squares = np.random.default_rng(seed), np.full(len(m.flat), 1e-4, np.float32)
+    lead = np.array([END, END], np.int16)
+    rows = np.concatenate([np.stack([c[:-2], c[1:-1], c[2:]], 1) for c in (np.concatenate([lead, d]) for d in docs)])
+    steps = max(STEPS, -(-len(rows) // BATCH))
+    per_pass = -(-len(rows) // BATCH)
+    for step in range(steps):
+        at = step % per_pass * BATCH
+        m.train(rows[at : at + BATCH].astype(np.int64), squares, noise, rng)
+    return m, len(rows)
+
+
+def _learner(begin: Broadcast, noise: np.ndarray, turn: int):
+    """The function of one block: its model's parameters times its tokens. Without
+    hints, as Spark would judge by them."""
+
+    def learn(block):
+        order = np.argsort(block.column("place").to_numpy(), kind="stable")
+        texts = block.column("x").to_pylist()
+        number = block.column("block")[0].as_py()
+        m, seen = _train_block(begin.value, noise, [np.frombuffer(texts[i], np.int16) for i in order.tolist()], [SEED, turn, number])
+        return pa.table({"slot": pa.array([number % SUMS]), "w": pa.array([float(seen)]), "x": pa.array([(m.flat.astype(np.float64) * seen).tobytes()], pa.binary())})
+
+    return learn
+
+
+def fit(train: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Bilinear:
+    """Average of the blocks' models, weighted by tokens, after each round.
+    ``train``: id, text."""
     spark = train.sparkSession
     model = Bilinear(voc.size).start(voc.noise)
+    if not voc.total:
+        return model
     shared_voc = spark.sparkContext.broadcast(voc)
+    place = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    blocks = max(1, round(voc.total / BLOCK_TOKENS))
+    dealt = train.select(F.pmod(place, F.lit(blocks)).alias("block"), place.alias("place"), "text")
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared_voc.value
+        for batch in batches:
+            for piece in slices(batch):
+                x = [v.classes(*v.ranks(t)).tobytes() for t in piece.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(x, pa.binary())], names=["block", "place", "x"])
+
+    # Two bytes a token: what both rounds read instead of the texts.
+    classed = materialize(dealt.mapInArrow(classify, "block long, place long, x binary"), "lm-classes")
+    noise = voc.noise
     for turn in range(rounds):
         begin = spark.sparkContext.broadcast(model)
 
-        def learn(batches: Iterator[pa.RecordBatch], begin=begin, turn=turn) -> Iterator[pa.RecordBatch]:
-            v, m = shared_voc.value, Bilinear(begin.value.size).load(begin.value.flat)
-            rng = np.random.default_rng([SEED, turn])
-            squares, held, waiting, seen = np.full(len(m.flat), 1e-4, np.float32), [], 0, 0
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w, x = 0.0, None
             for batch in batches:
-                for piece in slices(batch):
-                    for t in piece.column(0).to_pylist():
-                        c = v.classes_of(t)
-                        held.append(np.stack([c[:-2], c[1:-1], c[2:]], 1))
-                        waiting += len(c) - 2
-                        if waiting >= BATCH:
-                            rows = np.concatenate(held)
-                            for at in range(0, len(rows) - BATCH + 1, BATCH):
-                                m.train(rows[at : at + BATCH], squares, v.noise, rng)
-                            seen += len(rows) // BATCH * BATCH
-                            held = [rows[len(rows) // BATCH * BATCH :]]
-                            waiting = len(held[0])
-            if waiting:
-                m.train(np.concatenate(held), squares, v.noise, rng)
-                seen += waiting
-            if seen:
-                blocks = [m.flat[i : i + 1024] for i in range(0, len(m.flat), 1024)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([float(seen)] * len(blocks)), pa.array([x.astype(float) for x in blocks], pa.list_(pa.float64()))], names=["block", "w", "x"])
-
-        got = (
-            train.select(text_col)
-            .mapInArrow(learn, "block int, w double, x array<double>")
-            .select("block", "w", F.posexplode("x").alias("i", "v"))
-            .groupBy("block", "i")
-            .agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
-            .toPandas()  # one row per parameter
-        )
-        if len(got):
-            flat = np.zeros(len(model.flat), np.float32)
-            flat[got["block"].to_numpy(dtype=np.int64) * 1024 + got["i"].to_numpy(dtype=np.int64)] = got["v"].to_numpy()
-            model = Bilinear(voc.size).load(flat)
+                for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    w, x = w + a, np.frombuffer(b) if x is None else x + np.frombuffer(b)
+            if x is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([w]), pa.array([x.tobytes()], pa.binary())], names=["w", "x"])
+
+        trained = classed.groupBy("block").applyInArrow(_learner(begin, noise, turn), "slot long, w double, x binary")
+        got = trained.repartition(SUMS, "slot").mapInArrow(add, "w double, x binary").collect()  # SUMS rows
+        begin.destroy()
+        flat = sum(np.frombuffer(r["x"]) for r in got) / sum(r["w"] for r in got)
+        model = Bilinear(voc.size).load(flat.astype(np.float32))
+    shared_voc.destroy()
     return model
 
 
 def frequent(counts: DataFrame, most: int = TOP) -> list[tuple[str, int]]:
-    """The tokens above a count that at most ``most`` short tokens exceed."""
-    short = counts.where(F.octet_length("token") <= TOP_BYTES)
+    """The tokens above a count that at most ``most`` tokens exceed."""
+    short = counts
     level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
     sizes = sorted(short.groupBy(level.alias("l")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect(), key=lambda r: -r["l"])  # about a thousand rows at most
     least, k = None, 0
@@ -278,11 +332,12 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     """Per row: id, ``training`` boolean, n_tokens, n_known, train_tokens,
     base_score, score (log10), as the module describes."""
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text_col).alias("text"))
-    train = docs.where("training").select("text")
+    train = docs.where("training").select("id", "text")
     counts = materialize(count_tokens(train, "text"), "lm-counts")
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    voc = Vocabulary(frequent(counts), whole["n"], whole["v"])
-    model = fit(train, "text", voc)
+    by_cluster = counts.where(F.col("token") != END_TOKEN).groupBy(cluster_column(F.col("token")).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # CLUSTERS rows
+    voc = Vocabulary(frequent(counts), whole["n"], whole["v"], {r["k"]: (r["n"], r["v"]) for r in by_cluster})
+    model = fit(train, voc)
     sums = model.log_sums()
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast((voc, model, sums))
@@ -301,10 +356,10 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
                     found = ranks[ranks >= 0]
                     base = float(v.log_count[found].sum()) - v.base_norm * len(found)
                     base += math.log10(v.ends + 1) - v.base_norm
-                    classes = v.classes(ranks)
+                    classes = v.classes(ranks, words)
                     s = float(m.log_probs(classes, z).sum(dtype=np.float64)) / math.log(10)
                     outside = found[found >= v.words]
-                    s += float(v.log_count[outside].sum()) - v.other_norm * len(outside)
+                    s += float(v.log_count[outside].sum()) - float(v.cluster_norm[v.class_of[outside] - v.first].sum())
                     rid.append(key)
                     head.append((len(words) + 1, len(found) + (v.ends > 0), base, s))
                     if len(found) < len(words):
@@ -321,14 +376,15 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     id_type = docs.schema["id"].dataType.simpleString()
     # Written once, so that row numbers stay what they are.
     rows = materialize(docs.mapInArrow(run, f"rid long, id {id_type}, training boolean, n_tokens long, n_known long, base double, score double, token string, tf long"), "lm-rows")
-    rare = rows.where("token is not null").select("rid", "token", "tf").join(counts, "token", "left")
+    rare = meet(rows.where("token is not null").select("rid", "token", "tf"), counts, "token", "left")
+    norm = F.element_at(F.array(*(F.lit(float(x)) for x in voc.cluster_norm)), (cluster_column(F.col("token")) + 1).cast("int"))
     log_c = F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))
     rare = rare.groupBy("rid").agg(
         F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("k"),
         F.sum(F.col("tf") * (log_c - voc.base_norm)).alias("rare_base"),
-        F.sum(F.col("tf") * (log_c - voc.other_norm)).alias("rare_score"),
+        F.sum(F.col("tf") * (log_c - norm)).alias("rare_score"),
     )
-    out = rows.where("token is null").join(rare, "rid", "left")
+    out = meet(rows.where("token is null"), rare, "rid", "left")
     return out.select(
         F.col("id").alias(id_col),
         "training",
