@@ -8,21 +8,34 @@ agree in a sample with a chance equal to their generalised Jaccard similarity
 sum(min w) / sum(max w). ``SAMPLES`` samples make the fingerprint; its likeness
 is the share of equal samples.
 
-Plan: (ln a, hash of (term, t)) are packed into one long, so a sample is a
-plain ``min`` inside code generation. Documents are shuffled once, by ranges of
+Plan: (ln a, name of (term, t)) are packed into one long, so a sample is a
+plain ``min`` inside code generation. Documents are shuffled once, by *cells* of
 the id, so that neighbours meet; aggregation by (cell, row, term) and then by
-(cell, row) needs no further shuffle.
+(cell, row) needs no further shuffle. Quantiles of the id by rows bound the cells;
+an id that alone fills several cells is cut by the text's md5. Beyond ``RANGES`` cells
+a range of ids is cut evenly, and beyond ``MAX_CELLS`` cells of ``CELL_BYTES`` they grow
+(200 MB at 100 TB).
+
+Terms are the words of the lower-cased text; characters of scripts without spaces
+are terms of their own. Order of words plays no part.
 
 Defined results: a null text counts as empty; texts without terms have equal,
-empty fingerprints and likeness 1 among themselves, 0 to others.
+empty fingerprints and likeness 1 among themselves, 0 to others; an empty table
+gives no rows; one document is its own next; a very long text is taken whole; a
+null id sorts below all others, equal ids by the text's md5; extra columns are
+ignored. The id must be a whole number.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES, CELL_BYTES, MAX_CELLS, FAN = 32, 4 << 20, 1 << 14, 64
+SAMPLES, CELL_BYTES, RANGES, MAX_CELLS, FAN = 48, 4 << 20, 1 << 14, 1 << 19, 64
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+LEAST = -(1 << 63)
 
 
 def sample_key(term: Column, log_weight: Column, j: int) -> Column:
@@ -36,12 +49,14 @@ def sample_key(term: Column, log_weight: Column, j: int) -> Column:
     t = F.floor(log_weight / r + b)
     log_a = F.log(c) - r * (t - b) - r
     rank = F.floor((F.greatest(F.lit(-127.0), F.least(F.lit(127.0), log_a)) + 128) * F.lit(float(1 << 23)))
-    return F.shiftleft(rank, 32).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.shiftleft(rank, 32).bitwiseOR(term.bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def terms_of(text: Column) -> Column:
     """Terms of a text as an array (with repeats)."""
-    return F.filter(F.split(F.lower(text), r"[ \t-\r]+"), lambda w: w != "")
+    low = F.lower(text)
+    apart = F.when(low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
+    return F.filter(F.split(apart, r"[ \t-\r]+"), lambda w: w != "")
 
 
 def _signatures(exploded: DataFrame, keys: list[str], samples: int) -> DataFrame:
@@ -78,6 +93,30 @@ def _cell_of(key: Column, bounds: list[int]) -> Column:
     return F.when(upper == 0, 0).otherwise((upper - 1) * FAN + F.size(F.filter(F.element_at(fine, F.greatest(upper, F.lit(1))), lambda b: b <= key)))
 
 
+def _cells(place: Column, text: Column, cut: list[int], fine: int, top: int) -> Column:
+    """Cell numbers, rising with (id, md5). A value that comes several times among
+    the quantiles fills as many cells, by md5; other ranges are cut in ``fine``."""
+    times = Counter(cut)
+    bounds = sorted(times)
+    hot = {v: n for v, n in times.items() if n > 1}
+    wide = [(hot.get(v, 0), fine) for v in [None, *bounds]]  # cells of the bound itself, and behind it
+    base = [0]
+    for a, b in wide:
+        base.append(base[-1] + a + b)
+    edges = [LEAST, *bounds, top + 1]
+    r = _cell_of(place, bounds)
+    at = lambda xs, kind="bigint": F.element_at(F.array(*(F.lit(x) for x in xs)).cast(f"array<{kind}>"), r + 1)
+    inside = F.lit(0).cast("bigint")
+    if fine > 1:
+        lo, hi = at(edges[:-1], "double"), at(edges[1:], "double")
+        inside = F.least(F.lit(fine - 1), F.greatest(F.lit(0), F.floor((place.cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * fine))).cast("bigint")
+    if not hot:
+        return at(base[:-1]) + inside
+    n = at([a for a, _ in wide])
+    share = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return at(base[:-1]) + F.when((n > 0) & (place == at(edges[:-1])), F.floor(share * n)).otherwise(n + inside)
+
+
 def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every text and of its edited text (the last third
     replaced by the start of the next document in descending id, after the last
@@ -90,22 +129,24 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("o"), text.alias("t"))
-    whole = rows.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
-    cells = min(MAX_CELLS, max(1, -(-whole // CELL_BYTES)))
-    # At most MAX_CELLS numbers.
-    cut = rows.agg(F.percentile_approx("o", [i / cells for i in range(1, cells)], F.lit(20 * cells)).alias("q")).first()["q"] if cells > 1 else []
-    bounds = sorted(set(cut or []))
-    rows = rows.withColumn("cell", _cell_of(F.coalesce("o", F.lit(-(1 << 63))), bounds).cast("int"))
-    tops = sorted(rows.groupBy("cell").agg(F.max("o").alias("o")).collect(), key=lambda r: r["cell"])  # one row per cell
+    place = F.coalesce("o", F.lit(LEAST))
+    whole = rows.agg(F.sum(F.octet_length("t")).alias("b"), F.max(place).alias("top")).first()
+    cells = min(MAX_CELLS, max(1, -(-(whole["b"] or 0) // CELL_BYTES)))
+    ranges = min(RANGES, cells)
+    # At most RANGES numbers.
+    cut = rows.agg(F.percentile_approx(place, [i / ranges for i in range(1, ranges)], F.lit(20 * ranges)).alias("q")).first()["q"] if ranges > 1 else []
+    rows = rows.withColumn("cell", _cells(place, F.col("t"), cut or [], -(-cells // ranges), whole["top"] or 0).cast("int"))
+    tops = sorted(rows.groupBy("cell").agg(F.max(F.struct(F.col("o"), F.md5("t").alias("m"))).alias("x")).collect(), key=lambda r: r["cell"])  # one row per cell
     # The highest row of a cell is also needed, as a guest, at the end of the next
     # cell up; that of the top cell at the end of the lowest one.
-    guest_of = [(tops[i]["o"], tops[(i + 1) % len(tops)]["cell"]) for i in range(len(tops))]
-    guests = F.broadcast(spark.createDataFrame(guest_of, "top long, to int"))
+    guest_of = [(tops[i]["cell"], tops[i]["x"]["o"], tops[i]["x"]["m"], tops[(i + 1) % len(tops)]["cell"]) for i in range(len(tops))]
+    guests = F.broadcast(spark.createDataFrame(guest_of, "of int, top long, m string, to int"))  # one row per cell
     own = F.struct(F.col("cell").alias("cell"), F.lit(0).alias("guest"))
     both = F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("cell"), F.lit(1).alias("guest"))))
     # The two uses below need the same columns, so that they share one shuffle.
-    dealt = rows.join(guests, F.col("o").eqNullSafe(F.col("top")), "left").select("o", "t", F.explode(both).alias("x")).select("x.cell", "x.guest", "o", "t").where("cell is not null")
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("cell"))  # one task per cell, as cells are even
+    dealt = rows.join(guests, (F.col("cell") == F.col("of")) & F.col("o").eqNullSafe(F.col("top")) & (F.md5("t") == F.col("m")), "left").select("o", "t", F.explode(both).alias("x")).select("x.cell", "x.guest", "o", "t").where("cell is not null")
+    if tops and tops[-1]["cell"] < 2 * RANGES:
+        dealt = dealt.repartitionById(tops[-1]["cell"] + 1, F.col("cell"))  # one task per cell, as cells are even
     order = Window.partitionBy("cell").orderBy("guest", F.desc("o"), F.desc(F.md5("t")))
     near = dealt.select("cell", "guest", "o", "t", F.row_number().over(order).alias("rid"), F.lead("t").over(order).alias("next"))
     n = F.length("t")
