@@ -27,21 +27,50 @@ def test_quotas_reshare():
     assert source_mix.quotas([5], [3]) == [7.5] and source_mix.quotas([0, 4], [3, 1]) == [0.0, 6.0]
 
 
+def _repeat_cost(words, once, cap=1 << 30):
+    """Cost of taking ``words`` of a pattern: copy levels of 1, 1, 2, 4, ... times its texts."""
+    cost, level, width = 0, 1, 1
+    while words > 0 and once:
+        cost += level * min(words, width * once)
+        words -= width * once
+        width, level = (1 if level == 1 else 2 * width), level + 1
+    return cost
+
+
 def test_flow_is_cheapest():
     """Against all integer routings of small overlapping patterns."""
     rnd = random.Random(1)
-    for _ in range(40):
-        sizes = [rnd.randint(0, 3) for _ in range(3)]
-        patterns = [[0], [1], [0, 1]]
-        targets = [rnd.randint(0, 6), rnd.randint(0, 6)]
-        got = source_mix.route(patterns, sizes, targets)
+    for _ in range(60):
+        once = [rnd.randint(0, 2) for _ in range(3)]
+        # Pattern 0 in source 0, 1 in source 1, 2 in both: two cells and a row that is in both.
+        cells = [(0, [0], once[0]), (1, [1], once[1]), (2, [0], once[2]), (2, [1], once[2] * rnd.randint(0, 1)), (2, [0, 1], once[2] * rnd.randint(0, 1))]
+        targets = [rnd.randint(0, 5), rnd.randint(0, 5)]
+        got = source_mix.route(once, cells, targets)
+        room = [2 * c[2] for c in cells]
         best = None
-        for a, b, c0, c1 in itertools.product(range(7), repeat=4):
-            use = [a, b, c0 + c1]
-            if a + c0 <= targets[0] and b + c1 <= targets[1] and all(u <= 2 * s for u, s in zip(use, sizes, strict=True)):
-                key = (-sum(use), sum(max(0, u - s) for u, s in zip(use, sizes, strict=True)))
-                best = key if best is None else min(best, key)
-        assert (-sum(got), sum(max(0, u - s) for u, s in zip(got, sizes, strict=True))) == best
+        for use in itertools.product(*(range(r + 1) for r in room)):
+            both = use[4]
+            a, b = use[0] + use[2], use[1] + use[3]
+            if a > targets[0] or b > targets[1] or a + b + both > sum(targets):
+                continue
+            key = (-sum(use), sum(_repeat_cost(sum(u for u, c in zip(use, cells, strict=True) if c[0] == p), once[p]) for p in range(3)))
+            best = key if best is None else min(best, key)
+        cost = sum(_repeat_cost(sum(u for u, c in zip(got, cells, strict=True) if c[0] == p), once[p]) for p in range(3))
+        assert (-sum(got), cost) == best and all(u <= r for u, r in zip(got, room, strict=True))
+
+
+def test_flow_of_many_patterns():
+    rnd = random.Random(2)
+    patterns, cells = [], []
+    for p in range(4000):
+        own = sorted(rnd.sample(range(20), rnd.choice([1, 2, 2, 3])))
+        patterns.append(rnd.randint(1, 1000))
+        cells += [(p, [s], patterns[-1] * rnd.randint(1, 3)) for s in own]
+    sizes = [sum(c[2] for c in cells if c[1] == [s]) for s in range(20)]
+    targets = [round(x) for x in source_mix.quotas(sizes, [(3, 1, 2)[i % 3] for i in range(20)])]
+    got = source_mix.route(patterns, cells, targets)
+    assert [sum(w for w, c in zip(got, cells, strict=True) if c[1] == [s]) for s in range(20)] == targets
+    assert all(w <= 2 * c[2] for w, c in zip(got, cells, strict=True))
 
 
 def test_mix_rows(spark):
@@ -65,6 +94,51 @@ def test_mix_rows(spark):
     assert source_mix.mix(empty(spark)).count() == 0
 
 
+def shared_texts():
+    """Texts of one to three sources, some many times."""
+    rnd = random.Random(5)
+    out = []
+    for t in range(120):
+        text = f"t{t} " + "w " * rnd.randint(1, 30)
+        for s in rnd.sample("abcd", rnd.choice([1, 1, 2, 3])):
+            out += [(len(out) + k, text, s) for k in range(rnd.choice([1, 1, 1, 6]))]
+    return [(i, t, s) for i, (_, t, s) in enumerate(out)]
+
+
+def test_mix_of_shared_texts(spark, monkeypatch):
+    """The flow decides: words per cell against ``route`` on patterns found by brute
+    force; shared texts are repeated less than others, sources meet their targets."""
+    docs = shared_texts()
+    member, sizes = {}, Counter()
+    for _, t, s in docs:
+        member.setdefault(t, set()).add(s)
+        sizes[s] += _words(t)
+    cells, once = Counter(), Counter()
+    for _, t, s in docs:
+        cells[tuple(sorted(member[t])), s] += _words(t)
+    for t, m in member.items():
+        once[tuple(sorted(m))] += _words(t)
+    patterns, keys = sorted(once), sorted(cells)
+    targets = source_mix.quotas([sizes[s] for s in "abcd"], [3, 1, 2, 3])
+    words = dict(zip(keys, source_mix.route([once[p] for p in patterns], [(patterns.index(p), ["abcd".index(s)], cells[p, s]) for p, s in keys], [round(x) for x in targets]), strict=True))
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    calls, real = [], source_mix.min_cost_flow
+    monkeypatch.setattr(source_mix, "min_cost_flow", lambda *a: calls.append(1) or real(*a))
+    for few in (200_000, 0):
+        monkeypatch.setattr(source_mix, "BROADCAST_TEXTS", few)
+        got = source_mix.mix(df, keep=("text", "source")).collect()
+        taken, by_source = Counter(), Counter()
+        for r in got:
+            taken[tuple(sorted(member[r["text"]])), r["source"]] += r["taken"]
+            by_source[r["source"]] += r["taken"]
+        assert all(abs(taken[k] - words[k]) <= 16 for k in keys if len(k[0]) > 1)
+        assert all(abs(by_source[s] - t) <= 16 for s, t in zip("abcd", targets, strict=True))
+    assert calls
+    monkeypatch.setattr(source_mix, "MAX_PATTERNS", 3)
+    split = source_mix.mix(df, keep=("source",)).collect()
+    assert len(split) == len(docs) and all(abs(sum(r["taken"] for r in split if r["source"] == s) - t) <= 16 for s, t in zip("abcd", targets, strict=True))
+
+
 def test_mix_cells_agree(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     one = Counter(map(tuple, source_mix.mix(df).collect()))
@@ -73,7 +147,7 @@ def test_mix_cells_agree(spark, monkeypatch):
 
 
 def test_mix_overlapping(spark):
-    df = spark.createDataFrame([(i, "w " * 10, ["a"] if i < 5 else ["b"] if i < 10 else ["a", "b"]) for i in range(20)], "doc_id long, text string, ss array<string>")
+    df = spark.createDataFrame([(i, f"w{i} " * 10, ["a"] if i < 5 else ["b"] if i < 10 else ["a", "b"]) for i in range(20)], "doc_id long, text string, ss array<string>")
     got = source_mix.mix(df, sources=F.col("ss"), weights=(1,), share=0.5).collect()
     assert abs(sum(r["taken"] for r in got) - 0.5 * 300) <= 30
 
@@ -108,20 +182,77 @@ def test_base_spans(spark):
     assert secret_scan.scan(clashing(spark)).count() == len(rows())
 
 
-def test_battery_separates(spark):
+def planted():
+    """Ordinary texts, half of them with a random string of some kind."""
     rnd = random.Random(4)
+    u, lo, d = secret_scan.UPPER, secret_scan.LOWER, secret_scan.DIGITS
+    kinds = [(u + lo + d, 24), (u + lo + d, 40), (u + lo, 32), (d + lo[:6], 31), (lo + d, 28), (u + "234567", 32), (u + lo + d + "+/", 44), (lo, 40)]
+    common = "the of and report number people sentence another understand international government information state".split()
+    out = []
+    for i in range(400):
+        words = rnd.choices(common, k=60) + [rnd.choice(["representativeness", "internationalisation", "the-quick-brown-fox-and-others", "annual_report_of_the_state_1999", "abcdefghijklmnopqrstuvwxyz", "1234567890123456", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"])]
+        if i % 2:
+            alphabet, n = kinds[i // 2 % len(kinds)]
+            s = "".join(rnd.choice(alphabet) for _ in range(n))
+            s = "-".join(s[k : k + 8] for k in range(0, n, 8)) if i % 16 == 3 else s + "=" * (i % 5 == 0)
+            words.insert(rnd.randrange(60), s)
+            out.append((i, " ".join(words), s))
+        else:
+            out.append((i, " ".join(words), None))
+    return out
+
+
+def test_planted_secrets(spark):
+    docs = planted()
+    df = spark.createDataFrame(docs, "doc_id long, text string, s string")
+    at = F.expr("transform(added, x -> substring(text, x.start + 1, x.end - x.start))")
+    got = {r["doc_id"]: r["a"] for r in secret_scan.scan(df, keep=("doc_id", "text")).select("doc_id", at.alias("a")).collect()}
+    found = sum(s is not None and s in got[i] for i, _, s in docs)
+    # Distinct strings, as the step counts them. (One of the texts is nearly a pangram.)
+    false = {x for i, _, s in docs for x in got[i] if x != s}
+    assert found >= 0.9 * 200, found
+    assert len(false) <= 0.05 * (found + len(false)), false
+
+
+def test_battery_p_values(spark):
+    """Random strings are seldom rejected; p-values of chi-squared under text fit a simulation."""
+    rnd = random.Random(6)
     alphabet = secret_scan.UPPER + secret_scan.LOWER + secret_scan.DIGITS
-    rand = ["".join(rnd.choice(alphabet) for _ in range(n)) for n in (24, 32, 40, 64) for _ in range(50)]
-    text = [w[:n] for n in (24, 32, 40, 64) for w in ("annualreportofthe2department4ofthestateandthecentreforthearts1addendum", "aaaaaaaa1aaaaaaaaaaaaaa2aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "abcdefgh12345678" * 5)]
-    df = spark.createDataFrame([(s, True) for s in rand] + [(s, False) for s in text], "s string, r boolean").select("s", "r", secret_scan.randomness_p(F.col("s")).alias("p"))
-    got = df.collect()
-    ps = [x["p"] for x in got if x["r"]]
-    assert sum(p > 0.05 for p in ps) > 0.85 * len(ps)  # near uniform under randomness
-    assert all(x["p"] < 0.01 for x in got if not x["r"] and len(x["s"]) >= 32)
-    docs = spark.createDataFrame([(i, f"some words {s} and others") for i, s in enumerate(rand + text * 20)], "doc_id long, text string")
-    added = {r["doc_id"]: len(r["added"]) for r in secret_scan.scan(docs).collect()}
-    assert sum(added[i] for i in range(len(rand))) > 0.85 * len(rand)
-    assert sum(added[i] for i in added if i >= len(rand)) < 0.2 * len(text) * 20
+    weights = [1] * 26 + [20 if c in "etaoinshr" else 5 for c in secret_scan.LOWER] + [1] * 10
+    counts = dict(zip(alphabet, (100_000 * w for w in weights), strict=True)) | {"+": 10, "/": 10}
+    moments = secret_scan.text_moments(counts)
+    rand = ["".join(rnd.choices(alphabet, k=40)) for _ in range(300)]
+    text = ["".join(rnd.choices(alphabet, weights, k=40)) for _ in range(300)]
+    df = spark.createDataFrame([(s, True) for s in rand] + [(s, False) for s in text], "s string, r boolean")
+    got = df.select("r", secret_scan.battery(F.col("s"), moments).alias("p")).select("r", "p.*").collect()
+    assert sum(x["random"] > 0.05 for x in got if x["r"]) > 0.9 * 300 and sum(x["random"] < 0.001 for x in got if x["r"]) <= 3
+    for p in (0.5, 0.1, 0.02):
+        assert sum(x["text"] <= p for x in got if not x["r"]) <= 300 * p + 3 * (300 * p) ** 0.5
+    assert sum(x["text"] < 0.05 for x in got if x["r"]) > 0.9 * 300
+
+
+def test_running_folds(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "BLOCK", 4)
+    xs = [list(range(n, 0, -1)) for n in (0, 1, 4, 5, 23)]
+    got = spark.createDataFrame([(x,) for x in xs], "x array<int>").select("x", secret_scan._scan(F.col("x"), lambda a, b: a + b, 0).alias("s"), secret_scan._scan(F.col("x"), lambda a, b: F.greatest(a, b), 0).alias("m")).collect()
+    for r in got:
+        assert r["s"] == list(itertools.accumulate(r["x"])) and r["m"] == list(itertools.accumulate(r["x"], max))
+    text = "password=abcdefgh12 " * 60
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = secret_scan.scan(one, keep=("doc_id", "text"))
+    assert found.select(secret_scan.span_text(F.col("base")).alias("s")).first()["s"] == base_spans(text)
+    assert found.select(secret_scan.redact(F.col("text"), F.col("base")).alias("s")).first()["s"] == "[SECRET] " * 60
+
+
+def test_secret_query(spark):
+    got = queries.op3_secret_scan(spark, "/root/testdata/sf0.001").collect()
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(got) == len(text)
+    for r in got:
+        base = base_spans(text[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x.startswith(k + ":") for x in base.split(",")) for k in ("assign", "access", "hex")]
+        assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
 
 
 def test_redact(spark):
@@ -149,6 +280,58 @@ def test_likeness_estimates_generalised_jaccard(spark):
     assert abs(sum(errors) / len(errors)) < 0.02 and max(map(abs, errors)) < 0.2
 
 
+def _brute_signature(text, samples):
+    """The samples of one text, term by term, from the definition."""
+    import math
+
+    import xxhash
+
+    terms = Counter(w for w in re.split(r"[ \t-\r]+", text.lower()) if w)
+    best = [None] * samples
+    for w, n in terms.items():
+        term = xxhash.xxh64_intdigest(w.encode(), 42)
+        seed = xxhash.xxh64_intdigest(term.to_bytes(8, "little"), 42)
+        for j in range(samples):
+            h, g = (xxhash.xxh64_intdigest(k.to_bytes(4, "little"), seed) for k in (2 * j, 2 * j + 1))
+            unit = lambda x, shift: ((x >> shift & (1 << 25) - 1) + 0.5) / (1 << 25)
+            r, c = -math.log(unit(h, 0) * unit(h, 25)), -math.log(unit(g, 0) * unit(g, 25))
+            b = ((h >> 50) * (1 << 14) + (g >> 50)) / (1 << 28)
+            t = math.floor(math.log(n) / r + b)
+            rank = math.floor((max(-127.0, min(127.0, math.log(c) - r * (t - b) - r)) + 128) * (1 << 23))
+            key = rank << 32 | (term ^ t) & 0xFFFFFFFF
+            best[j] = key if best[j] is None else min(best[j], key)
+    return "".join(f"{x & 0xFFFFFFFF:08x}" for x in best) if terms else ""
+
+
+def test_fingerprint_query_against_brute_force(spark):
+    got = queries.op6_weighted_fingerprint(spark, "/root/testdata/sf0.001").orderBy(F.desc("doc_id")).collect()
+    src = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy(F.desc("doc_id")).collect()
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in src]
+    like = lambda a, b: sum(a[i : i + 8] == b[i : i + 8] for i in range(0, len(a), 8)) / 48 if a and b else float(a == b)
+    for i in range(0, len(src), 9):
+        t, nxt = src[i]["text"], src[(i + 1) % len(src)]["text"]
+        k = len(t) // 3
+        a, b, c = (_brute_signature(x, 48) for x in (t, t[: len(t) - k] + nxt[:k], nxt))
+        assert got[i]["fingerprint"] == a and got[i]["edited_fingerprint"] == b
+        assert abs(got[i]["near_edited"] - like(a, b)) < 1e-9 and abs(got[i]["near_next"] - like(a, c)) < 1e-9
+
+
+def test_neighbours_of_hot_ids(spark, monkeypatch):
+    """One id on most rows, and ids cut finer than the ranges."""
+    docs = [(7, f"text number {i} " * 5) for i in range(120)] + [(i, f"other {i} " * 4) for i in range(20)] + [(None, f"none {i}") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = Counter(map(tuple, weighted_fingerprint.compare_neighbours(df).collect()))
+    monkeypatch.setattr(weighted_fingerprint, "CELL_BYTES", 400)
+    for ranges in (1 << 14, 4):
+        monkeypatch.setattr(weighted_fingerprint, "RANGES", ranges)
+        assert Counter(map(tuple, weighted_fingerprint.compare_neighbours(df).collect())) == whole
+
+
+def test_unspaced_scripts(spark):
+    got = spark.createDataFrame([("日本語 word ไทย",)], "t string").select(weighted_fingerprint.terms_of(F.col("t")).alias("w")).first()["w"]
+    assert got == ["日", "本", "語", "word", "ไ", "ท", "ย"]
+
+
 @pytest.mark.parametrize("cell_bytes", [500, 1 << 30])
 def test_neighbours(spark, monkeypatch, cell_bytes):
     monkeypatch.setattr(weighted_fingerprint, "CELL_BYTES", cell_bytes)
@@ -170,9 +353,11 @@ def test_neighbours(spark, monkeypatch, cell_bytes):
 # ---------------------------------------------------------------- shards
 
 
-@pytest.mark.parametrize("range_rows", [3, 1_000_000])
-def test_shards(spark, monkeypatch, range_rows):
+@pytest.mark.parametrize("range_rows,few", [(3, 2), (1_000_000, 5), (50, 8_000)])
+def test_shards(spark, monkeypatch, range_rows, few):
     monkeypatch.setattr(splitter_shards, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(splitter_shards, "FEW_ROWS", few)
+    monkeypatch.setattr(splitter_shards, "END_DRAWS", 1.0 if few < 10 else 64.0)
     hot = documents(spark).select("doc_id", "text").union(spark.range(1000, 1400).select("id", F.lit("one hot text of some length " * 3)))
     got = splitter_shards.shard_documents(hot, 5).collect()
     src = hot.collect()
@@ -196,6 +381,23 @@ def test_shards(spark, monkeypatch, range_rows):
     assert splitter_shards.shard_documents(clashing(spark), 5).count() == len(rows())
 
 
+def test_shard_query(spark):
+    got = queries.op7_splitter_shards(spark, "/root/testdata/sf0.001").collect()
+    assert {r["law"] for r in got} == {"bytes"} and all(r["grown_shard"] is None for r in got) and {r["shard"] for r in got} <= set(range(24))
+    sums = Counter()
+    for r in got:
+        sums[r["shard"]] += r["size"]
+    assert max(sums.values()) <= sum(sums.values()) / 24 + max(r["size"] for r in got)
+
+
+def test_shards_of_equal_rows(spark):
+    df = spark.createDataFrame([(1, "same")] * 50 + [(i, f"t{i}") for i in range(2, 30)], "doc_id long, text string")
+    got = splitter_shards.shard_documents(df, 4).collect()
+    assert len(got) == 78 and len({r["shard"] for r in got if r["doc_id"] == 1}) == 1
+    for s in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
@@ -277,6 +479,24 @@ def test_near_duplicates_beside_first_classes(spark):
     assert Counter(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize("seed,rare", [(1, 8), (2, 1), (3, 8)])
+def test_near_duplicates_of_grown_groups(spark, monkeypatch, seed, rare):
+    """Families as above with two to five members a group, and closings shared by many."""
+    monkeypatch.setattr(ngram_join, "RARE", rare)
+    rnd = random.Random(seed)
+    docs, late = [], [[f"z{k}_{j}" for j in range(4)] for k in range(8)]
+    for i in range(8):
+        w = lambda kind, n, i=i: [f"{kind}{i}_{j}" for j in range(n)]
+        common, x, y = w("c", 84), w("x", rnd.choice([4, 8])), w("y", 8)
+        for side in (x, y):
+            for _ in range(rnd.randint(2, 5)):
+                docs.append(common + side + sum(rnd.sample(late, 2), []))
+    docs += [sum(rnd.sample(late, 6), []) + [f"f{k}_{j}" for j in range(60)] for k in range(60)]
+    docs = [(n, " ".join(d)) for n, d in enumerate(docs)]
+    got = ngram_join.link_components(spark.createDataFrame(docs, "doc_id long, text string"), n=1, num=85, den=100)
+    assert Counter(map(tuple, got.collect())) == brute_components(docs, 1, 85, 100)
+
+
 def test_near_duplicates_odd_tables(spark):
     assert ngram_join.link_components(empty(spark)).count() == 0
     want = brute_components([(r[0], r[1]) for r in rows()], 5, 80, 100)

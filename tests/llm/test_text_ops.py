@@ -62,6 +62,33 @@ def test_prefix_counts_are_exact():
         assert counts[k] <= budget and (k == len(counts) - 1 or (counts[k + 1 :] > budget).all())
 
 
+def test_counts_with_controls_and_space():
+    """Control characters beside white space, against the library, prefix by prefix."""
+    import random
+
+    c, lib = token_counts.load_counter(FILE), tokenizers.Tokenizer.from_file(FILE)
+    n = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    rnd = random.Random(3)
+    pieces = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u2003", "\u180e", "\u200b", " ", "  ", "\n", "\t", "\r\n", "a", "word", "9", "'s", "'", "é", "日本", "<|endoftext|>", "."]
+    assert token_counts.total(c.table("a\n\n\x1c\n\nb")) == n("a\n\n\x1c\n\nb")
+    for k in range(1500):
+        t = "".join(rnd.choices(pieces, k=rnd.randint(1, 9)))
+        assert token_counts.total(c.table(t)) == n(t), repr(t)
+        if k % 10 == 0:
+            assert token_counts.prefix_counts(c.table(t)).tolist() == [n(t[:i]) for i in range(len(t) + 1)], repr(t)
+
+
+def test_token_query(spark):
+    lib = tokenizers.Tokenizer.from_file(FILE)
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = queries.op8_token_counts(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(text)
+    for r in got:
+        n = len(lib.encode(text[r["doc_id"]], add_special_tokens=False).ids)
+        assert (r["n_tokens"], r["over_limit"]) == (n, n > 512)
+        assert (r["fits_512"] < len(text[r["doc_id"]])) == r["over_limit"]
+
+
 def test_token_count_rows(spark):
     lib = tokenizers.Tokenizer.from_file(FILE)
     want = Counter((r[0], len((r[1] or "").encode()), len(lib.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows())
@@ -105,7 +132,32 @@ def test_language_model_against_brute_force(spark):
     for j, lang in enumerate(model.labels):
         total = sum(counts[lang].values()) + language_id.ALPHA * language_id.BUCKETS
         for b in list(counts[lang])[:200]:
-            assert math.isclose(model.log_prob[b, j], math.log((counts[lang][b] + language_id.ALPHA) / total), rel_tol=1e-9)
+            assert math.isclose(model.log_prob[j, b], math.log((counts[lang][b] + language_id.ALPHA) / total), rel_tol=1e-9)
+
+
+def test_posteriors_against_brute_force(spark, monkeypatch):
+    """Scores of a batch, cut into small pieces, against sums made one by one."""
+    model = language_id.fit(documents(spark))
+    texts = [t for t in [*TEXTS, "日本", "ein Wort", "12", None] if t is None or len(t) < 3000]
+    for piece in (1 << 17, 7):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        for t, (label, score) in zip(texts, model.predict_many(texts), strict=True):
+            if not any(ch.isalpha() for ch in t or ""):
+                assert (label, score) == ("und", 0.0)
+                continue
+            s = f" {t.lower()} "
+            logs = model.log_prior + sum(model.log_prob[:, _bucket(s[k : k + n])] for n in language_id.ORDERS for k in range(len(s) - n + 1))
+            want = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+            assert label == model.labels[int(logs.argmax())] and math.isclose(score, want.max(), rel_tol=1e-6)
+
+
+def test_many_labels_take_fewer_buckets(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_CELLS", 1 << 16)
+    model = language_id.fit(documents(spark))
+    assert model.log_prob.size <= 1 << 16 and {x for x, _ in model.predict_many(["el perro de la casa"])} <= {"en", "es", "de"}
+    monkeypatch.setattr(language_id, "MAX_LABELS", 2)
+    with pytest.raises(ValueError):
+        language_id.fit(documents(spark))
 
 
 def _bucket(gram: str) -> int:
@@ -151,8 +203,50 @@ def test_rare_tokens_join_gives_the_same(spark, monkeypatch):
     assert whole == {(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in bilinear_lm.score(documents(spark), crc_mod("doc_id", 7) != 2).collect()}
 
 
+def test_scores_do_not_depend_on_the_layout(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = [{r["doc_id"]: r for r in bilinear_lm.score(df.repartition(n), crc_mod("doc_id", 7) != 2).collect()} for n in (1, 16)]
+    for i, r in got[0].items():
+        assert math.isclose(r["score"], got[1][i]["score"], rel_tol=1e-5)
+    held = [r for r in got[0].values() if not r["training"]]
+    n = sum(r["n_tokens"] for r in held)
+    assert sum(r["score"] for r in held) / n > sum(r["base_score"] for r in held) / n + 0.1
+    assert sum(r["score"] > r["base_score"] for r in held) > 0.9 * len(held)
+
+
+def test_scores_against_brute_force(spark, monkeypatch):
+    """Every token's probability, normalised over all words there are, one by one."""
+    monkeypatch.setattr(bilinear_lm, "WORDS", 12)
+    kept = {}
+    real = bilinear_lm.fit
+    monkeypatch.setattr(bilinear_lm, "fit", lambda train, voc: kept.setdefault("m", (real(train, voc), voc))[0])
+    monkeypatch.setattr(bilinear_lm.Vocabulary.__init__, "__defaults__", (12,))
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in bilinear_lm.score(documents(spark), crc_mod("doc_id", 7) != 2).collect()}
+    m, voc = kept["m"]
+    learn = [r for r in rows() if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2]
+    c = Counter(w for r in learn for w in bilinear_lm.tokens(r[1]))
+    classed = {w for w, i in voc.rank.items() if i < voc.words}
+    assert voc.words == 12
+    for r in rows():
+        if r[1] is not None and len(r[1]) > 2000:
+            continue
+        seq = [*bilinear_lm.tokens(r[1]), b""]
+        cls = lambda w: 0 if w == b"" else voc.rank[w] + 1 if w in classed else voc.first + bilinear_lm.cluster(w)
+        c1 = c2 = 0
+        total = 0.0
+        for w in seq:
+            logits = m.p["q"].astype(float) @ (m.p["r"][c1] @ m.p["c1"] + m.p["r"][c2] @ m.p["c2"]) + m.p["b"]
+            total += (logits[cls(w)] - np.log(np.exp(logits).sum())) / math.log(10)
+            if w != b"" and w not in classed:
+                k = bilinear_lm.cluster(w)
+                own = [x for x in c if x not in classed and bilinear_lm.cluster(x) == k]
+                total += math.log10((c[w] + 1) / (sum(c[x] for x in own) + len(own) + 1))
+            c1, c2 = cls(w), c1
+        assert math.isclose(total, got[r[0], len(seq)], rel_tol=1e-3, abs_tol=1e-3)
+
+
 def test_log_sums_normalise():
-    voc = bilinear_lm.Vocabulary([("a", 9), ("b", 5), ("c", 2), ("", 4)], 30, 9)
+    voc = bilinear_lm.Vocabulary([("a", 9), ("b", 5), ("c", 2), ("", 4)], 30, 9, {})
     m = bilinear_lm.Bilinear(voc.size).start(voc.noise)
     z = m.log_sums()
     for c2 in range(voc.size):
@@ -164,7 +258,7 @@ def test_log_sums_normalise():
 def test_training_is_not_cut():
     """Steps of 8,192 tokens against 96 noise words, two rounds over all training tokens."""
     assert (bilinear_lm.NOISE, bilinear_lm.BATCH, bilinear_lm.ROUNDS) == (96, 8192, 2)
-    voc = bilinear_lm.Vocabulary([*((f"w{i}", 100) for i in range(300)), ("", 1)], 30_001, 301)
+    voc = bilinear_lm.Vocabulary([*((f"w{i}", 100) for i in range(300)), ("", 1)], 30_001, 301, {})
     m = bilinear_lm.Bilinear(voc.size).start(voc.noise)
     drawn, at = [], np.zeros((bilinear_lm.BATCH, 3), np.int64)
 
@@ -181,9 +275,9 @@ def test_training_beats_unigrams():
     """On a text with strong order, the trained model predicts better."""
     words = ["a", "b", "c", "d", "e", "f"]
     text = " ".join(words * 400)
-    voc = bilinear_lm.Vocabulary([*((w, 400) for w in words), ("", 1)], 2401, 7)
+    voc = bilinear_lm.Vocabulary([*((w, 400) for w in words), ("", 1)], 2401, 7, {})
     m = bilinear_lm.Bilinear(voc.size).start(voc.noise)
-    c = voc.classes_of(text)
+    c = np.concatenate([[0, 0], voc.classes(*voc.ranks(text))])
     data = np.stack([c[:-2], c[1:-1], c[2:]], 1)
     before = m.log_probs(c[2:].astype(int), m.log_sums()).mean()
     sq, rng = np.full(len(m.flat), 1e-4, np.float32), np.random.default_rng(1)

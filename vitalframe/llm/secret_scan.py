@@ -12,8 +12,8 @@ and below the middle, and lag-one serial correlation.
   just this length in this alphabet, and with them the p-value of a string that
   is as even as the candidate. A Benjamini-Hochberg step in each band of lengths
   picks the discoveries: of the strings reported, at most a share ``q`` is
-  expected to be ordinary text. p-values are counted in bins of their logarithm,
-  so the step needs some thousand counts and no global sort.
+  expected to be ordinary text. p-values of distinct strings are counted in bins
+  of their logarithm, so the step needs some thousand counts and no global sort.
 * A discovery must also pass as random: Fisher's joint p-value of the three
   tests, under randomness, is ``LEAST_RANDOM`` or more. That leaves out strings
   that are even but ordered (alphabets, counters, repeats).
@@ -54,7 +54,7 @@ ENCODINGS = (  # the first whose characters suffice, once marks of groups and pa
     (r"^[0-9A-Za-z]+$", UPPER + LOWER + DIGITS),
     (r"^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
 )
-FALSE_DISCOVERY, LEAST_RANDOM, LENGTH_BANDS, LEAST_LENGTH = 0.05, 0.001, (16, 20, 24, 32, 48, 64, 128), 16
+FALSE_DISCOVERY, LEAST_RANDOM, LENGTH_BANDS, LEAST_LENGTH = 0.05, 0.01, (16, 20, 24, 32, 48, 64, 128), 16
 BINS_PER_UNIT, MAX_BIN, BLOCK = 20, 4000, 512
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -89,6 +89,10 @@ def _spans(text: Column, pattern: str, kind: int, ok=None, group: int | None = N
 
 def _tail(z: Column) -> Column:
     """P(N > z) for any z (Abramowitz and Stegun 26.2.17)."""
+    return F.transform(F.array(z.cast("double")), _tail_of)[0]
+
+
+def _tail_of(z: Column) -> Column:
     x = F.least(F.abs(z), F.lit(37.0))
     t = 1 / (1 + 0.2316419 * x)
     # Fixed values of the approximation.
@@ -120,10 +124,12 @@ def character_counts(df: DataFrame, text: Column) -> dict[str, int]:
 
 def text_moments(counts: dict[str, int]) -> list[tuple[float, float]]:
     """Per encoding: sums of squares and cubes of the shares that its characters
-    have in ordinary text (each counted once more than it occurs)."""
+    have in ordinary text (each counted once more than it occurs). In an encoding
+    of one case a letter counts in both: text may stand in capitals."""
     out = []
     for _, alphabet in ENCODINGS:
-        n = [counts[c] + 1 for c in alphabet]
+        fold = not (set(UPPER) & set(alphabet) and set(LOWER) & set(alphabet))
+        n = [sum(counts[x] for x in ({c.lower(), c.upper()} if fold else {c})) + 1 for c in alphabet]
         out.append((sum((x / sum(n)) ** 2 for x in n), sum((x / sum(n)) ** 3 for x in n)))
     return out
 
@@ -198,10 +204,11 @@ def scan(df: DataFrame, text_col: str = "text", q: float = FALSE_DISCOVERY, keep
     found = found.select(*(f"__k{i}" for i in range(len(keep))), "__t", base.alias("base"), placed.alias("at"))
     piece = lambda s: bare(F.substring(F.col("__t"), s["start"] + 1, s["end"] - s["start"]))
     judged = F.transform("at", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.length(piece(s)).alias("n"), battery(piece(s), moments).alias("p")))
-    tested = F.transform(judged, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _band(s["n"]).alias("band"), F.least(F.lit(MAX_BIN), F.floor(-F.log(s["p"]["text"]) * BINS_PER_UNIT).cast("int")).alias("bin"), (s["p"]["random"] >= LEAST_RANDOM).alias("random")))
-    # Benjamini-Hochberg per band on counts: one row per band and bin. The
-    # texts are scanned again for the result, which is cheaper than keeping them.
-    counts = found.select(F.explode(tested).alias("x")).groupBy("x.band", "x.bin").agg(F.count("*").alias("n"))
+    tested = F.transform(judged, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _band(s["n"]).alias("band"), F.least(F.lit(MAX_BIN), F.floor(-F.log(s["p"]["text"]) * BINS_PER_UNIT).cast("int")).alias("bin"), (s["p"]["random"] >= LEAST_RANDOM).alias("random"), F.xxhash64(piece(s)).alias("h")))
+    # Benjamini-Hochberg per band on counts of distinct strings (copies are one
+    # test): one row per band and bin. The texts are scanned again for the result,
+    # which is cheaper than keeping them.
+    counts = found.select(F.explode(tested).alias("x")).select("x.band", "x.bin", "x.h").distinct().groupBy("band", "bin").agg(F.count("*").alias("n"))
     down = Window.partitionBy("band").orderBy(F.desc("bin"))
     ranked = counts.select("band", "bin", F.sum("n").over(down).alias("k"), F.sum("n").over(Window.partitionBy("band")).alias("m"))
     cut = ranked.where(F.exp(-F.col("bin") / BINS_PER_UNIT) <= q * F.col("k") / F.col("m")).groupBy("band").agg(F.min("bin").alias("cut")).collect()  # one row per band
