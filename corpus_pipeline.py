@@ -38,7 +38,9 @@ def _stage(f: Stage) -> Stage:
 
 @_stage
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a recognised language go."""
+    """Language ID: documents without a recognised language go: null, empty and
+    letterless texts, and those whose posterior is below ``LEAST_SCORE``. Equal
+    rows fare alike; very long texts are scored whole; other columns pass."""
     model = language_id.fit(docs)
     names = docs.columns
     labelled = language_id.predict(docs, model, label_out="__pred", score_out="__score")
@@ -48,9 +50,12 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group one document stays, that of least id
-    (null ids last; of rows that share an id, the one of least text hash)."""
+    (null ids last; of rows that share an id, the one of least text hash, then of
+    least hash of the other columns). Null or wordless texts link with nothing and
+    stay; rows that are equal in all columns stay once."""
     order = F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-    key = F.concat(F.coalesce(F.concat(F.lit("0"), order), F.lit("1")), F.md5(F.coalesce("text", F.lit(""))))
+    rest = F.md5(F.to_json(F.struct("lang", "source", "n_chars")))
+    key = F.concat(F.coalesce(F.concat(F.lit("0"), order), F.lit("1")), F.md5(F.coalesce("text", F.lit(""))), rest)
     keyed = docs.withColumn("__key", key)
     found = ngram_join.link_components(keyed, id_col="__key")
     stays = found.where(F.col("__key") == F.col("component_id")).select("__key")
@@ -59,7 +64,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @_stage
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scans: every span becomes a mark; the documents stay."""
+    """Secret scans: every span becomes a mark; the documents stay, equal rows as
+    often as they come. A null text becomes an empty one."""
     found = secret_scan.scan(docs, keep=COLUMNS)
     clean = secret_scan.redact(F.col("text"), F.array_sort(F.concat("base", "added")))
     # A name of its own first: an alias "text" would capture later uses of the column.
@@ -69,14 +75,17 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: a document appears as many times as the mix takes it."""
+    """Mixing: a document appears as many times as the mix takes it. Empty texts
+    have no words and are taken with their pattern's full copies, or not at all; a
+    null source is a source of its own."""
     mixed = source_mix.mix(docs, keep=("text", "lang", "source", "n_chars")).where("copies > 0")
     return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select(*COLUMNS)
 
 
 @_stage
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: token counts and digests of ids and decoded bytes."""
+    """Byte-level BPE: token counts and digests of ids and decoded bytes, one row
+    per row; a null text encodes like an empty one."""
     return bpe_codec.round_trip(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
