@@ -66,7 +66,7 @@ def test_entry_without_the_optional_part():
         "class Block:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name in ('corpus_pipeline',) or name.startswith('vitalframe.llm'):\n"
-        "            raise ModuleNotFoundError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Block())\n"
         "import __spark_entry__ as e\n"
         "assert not any(n.startswith('op') or n == 'pipeline' for n in e.queries()) and len(e.queries()) > 60 and set(e.oracle_sql()) <= set(e.queries())\n"
