@@ -41,7 +41,7 @@ def query(sql: str | None = None):
 
 def _profile(spark: SparkSession, d: str, names: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     tables = {n: table(spark, d, n) for n in names}
-    counts = profile.value_counts(analyze.nodes_of(tables))
+    counts = analyze.counts_of(tables)
     return counts, profile.fields(counts, analyze.row_counts(tables))
 
 
@@ -130,13 +130,13 @@ _TOP = "SELECT '{c}' AS path, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM
 @query("WITH v AS (" + " UNION ALL ".join(_TOP.format(t=t, c=c) for t, c in (("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("customer", "c_mktsegment"), ("part", "p_type"), ("part", "p_brand"))) + ") SELECT path, value, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, value) AS r FROM v) WHERE r <= 20")
 def top_values(spark, d):
     t = {"orders": table(spark, d, "orders").select("o_orderstatus", "o_orderpriority"), "customer": table(spark, d, "customer").select("c_mktsegment"), "part": table(spark, d, "part").select("p_type", "p_brand")}
-    return profile.top_values(profile.value_counts(analyze.nodes_of(t))).select("path", "value", "n", "rank")
+    return profile.top_values(analyze.counts_of(t)).select("path", "value", "n", "rank")
 
 
 @query("SELECT path, list_sort(list(value)) AS examples FROM (SELECT path, value, row_number() OVER (PARTITION BY path ORDER BY value) AS r FROM (SELECT DISTINCT 'n_name' AS path, n_name AS value FROM nation UNION SELECT DISTINCT 'r_name', r_name FROM region)) WHERE r <= 3 GROUP BY path")
 def examples(spark, d):
     t = {"nation": table(spark, d, "nation").select("n_name"), "region": table(spark, d, "region").select("r_name")}
-    return profile.examples(profile.value_counts(analyze.nodes_of(t))).select("path", "examples")
+    return profile.examples(analyze.counts_of(t)).select("path", "examples")
 
 
 _NUM = "SELECT '{c}' AS path, count(*) AS count, avg({c}) AS mean, stddev_pop({c}) AS std, min({c}) AS min, max({c}) AS max, quantile_cont({c}, 0.05) AS p5, quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.95) AS p95 FROM {t}"
@@ -198,7 +198,7 @@ def _pattern_sql() -> str:
 @query(_pattern_sql())
 def pattern_conformance(spark, d):
     t = {"customer": table(spark, d, "customer").select("c_name"), "part": table(spark, d, "part").select("p_brand"), "pages": table(spark, d, "pages").select("url"), "region": table(spark, d, "region").select("r_name"), "documents": table(spark, d, "documents").select("lang")}
-    shown = profile.value_counts(analyze.nodes_of(t)).where("value is not null").select("object", "path", "value")
+    shown = analyze.counts_of(t).where("value is not null").select("object", "path", "value")
     return quality.pattern_conformance(shown).select("path", "pattern", "conformance", "dominant")
 
 
@@ -249,7 +249,7 @@ def _sparse(spark, d):
 
 def _sparse_profile(spark, d):
     t = {"customer": _sparse(spark, d)}
-    counts = profile.value_counts(analyze.nodes_of(t))
+    counts = analyze.counts_of(t)
     return counts, profile.fields(counts, analyze.row_counts(t))
 
 
@@ -302,7 +302,7 @@ def common_fields(spark, d):
 @query("SELECT value, n FROM (SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT event_type, count(*) FROM events GROUP BY 1) ORDER BY n DESC, value LIMIT 10")
 def content_universe(spark, d):
     t = {"part": table(spark, d, "part").select("p_type"), "events": table(spark, d, "events").select("event_type")}
-    return profile.content_universe(profile.value_counts(analyze.nodes_of(t)), ("p_type", "event_type"))
+    return profile.content_universe(analyze.counts_of(t), ("p_type", "event_type"))
 
 
 @query("SELECT 'locale' AS dimension, lang AS value, count(*) AS n FROM documents GROUP BY lang")
@@ -343,7 +343,7 @@ def fk_integrity_orphans(spark, d):
 SELECT 'supplier' AS child, 's_nationkey' AS child_path, 'nation' AS parent, 'n_nationkey' AS parent_path, CAST(sum(s.n) AS BIGINT) AS child_occurrences, CAST(coalesce(sum(s.n) FILTER (t.k IS NULL), 0) AS BIGINT) AS orphan_occurrences FROM s LEFT JOIN t ON s.k = t.k""")
 def references_supplier(spark, d):
     t = {"supplier": table(spark, d, "supplier").select("s_nationkey", "s_name"), "nation": table(spark, d, "nation").select("n_nationkey", "n_name")}
-    counts = profile.value_counts(analyze.nodes_of(t))
+    counts = analyze.counts_of(t)
     r = relations.references(counts, profile.fields(counts, analyze.row_counts(t)))
     return r.where("rank = 1").select("child", "child_path", "parent", "parent_path", "child_occurrences", "orphan_occurrences")
 
@@ -360,7 +360,7 @@ _PAIR = "WITH a AS (SELECT {ac} AS v, count(*) AS n FROM {a} GROUP BY 1), b AS (
 @query(_PAIR.format(a="customer", ac="c_custkey", b="orders", bc="o_custkey") + " SELECT 'customer' AS a_object, 'c_custkey' AS a_path, 'orders' AS b_object, 'o_custkey' AS b_path, round(jaccard, 9) AS jaccard, round(contained, 9) AS contained, round(least(1.0, 0.7 * greatest(jaccard, contained) + 0.3 + 0.12), 9) AS confidence FROM s")
 def value_overlap_pairs(spark, d):
     t = {"customer": table(spark, d, "customer").select("c_custkey"), "orders": table(spark, d, "orders").select("o_custkey")}
-    counts = profile.value_counts(analyze.nodes_of(t))
+    counts = analyze.counts_of(t)
     j = relations.joins(counts, profile.fields(counts, analyze.row_counts(t)))
     return j.select("a_object", "a_path", "b_object", "b_path", *(F.round(c, 9).alias(c) for c in ("jaccard", "contained", "confidence")))
 
@@ -369,7 +369,7 @@ def value_overlap_pairs(spark, d):
 def shared_enums(spark, d):
     b = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("lstat")).union(spark.range(1).select(F.lit("P")))
     t = {"orders": table(spark, d, "orders").select(F.col("o_orderstatus").alias("ostat")), "events": b}
-    counts = profile.value_counts(analyze.nodes_of(t))
+    counts = analyze.counts_of(t)
     return relations.shared_enums(counts, profile.fields(counts, analyze.row_counts(t)), 0.1).select("a_object", "b_object", "shared", "jaccard")
 
 
@@ -385,7 +385,7 @@ def duplicate_fields(spark, d):
 @query("WITH a AS (SELECT DISTINCT s_nationkey AS v FROM supplier), b AS (SELECT DISTINCT (s_nationkey + 1) % 25 AS v FROM supplier) SELECT * FROM (SELECT 's_nationkey' AS field_a, 't_nationkey' AS field_b, count(*) FILTER (a.v IS NOT NULL AND b.v IS NOT NULL) / count(*) AS jaccard FROM a FULL JOIN b ON a.v = b.v) WHERE jaccard >= 0.6")
 def shared_domains(spark, d):
     t = {"supplier": table(spark, d, "supplier").select("s_nationkey", ((F.col("s_nationkey") + 1) % 25).alias("t_nationkey"))}
-    counts = profile.value_counts(analyze.nodes_of(t))
+    counts = analyze.counts_of(t)
     return relations.same_values(counts, profile.fields(counts, analyze.row_counts(t))).select("field_a", "field_b", "jaccard")
 
 
@@ -539,14 +539,14 @@ _SIDE = "SELECT '{c}' AS path, 100.0 * count({c}) / count(*) AS coverage, count(
 @query("WITH a AS (" + " UNION ALL ".join(_SIDE.format(c=c, t=_OLD) for c in ("o_orderkey", "o_orderstatus", "o_totalprice")) + "), b AS (" + " UNION ALL ".join(_SIDE.format(c=c, t=_NEW) for c in ("o_orderkey", "o_orderstatus")) + ") SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'common' END AS status, round(b.coverage - a.coverage, 6) AS delta FROM a FULL JOIN b ON a.path = b.path")
 def schema_diff(spark, d):
     a, b = _two(spark, d)
-    of = lambda t: profile.fields(profile.value_counts(analyze.nodes_of(t)), analyze.row_counts(t))
+    of = lambda t: profile.fields(analyze.counts_of(t), analyze.row_counts(t))
     return compare.profile_diff(of({"orders": a}), of({"orders": b.drop("o_totalprice")})).select("path", "status", F.round("delta", 6).alias("delta"))
 
 
 @query("SELECT 'o_totalprice' AS path, 'field_removed' AS kind, 'fail' AS severity UNION ALL SELECT 'o_orderstatus', 'type_changed', 'fail'")
 def schema_events(spark, d):
     a, _ = _two(spark, d)
-    of = lambda t: profile.fields(profile.value_counts(analyze.nodes_of(t)), analyze.row_counts(t))
+    of = lambda t: profile.fields(analyze.counts_of(t), analyze.row_counts(t))
     new = a.select("o_orderkey", F.length("o_orderstatus").alias("o_orderstatus"))
     return drift.schema_findings(compare.profile_diff(of({"orders": a}), of({"orders": new}))).select("path", "kind", "severity")
 
@@ -554,14 +554,14 @@ def schema_events(spark, d):
 @query("WITH a AS (" + " UNION ALL ".join(_SIDE.format(c=c, t=_OLD) for c in ("o_orderkey", "o_orderstatus", "o_totalprice")) + "), b AS (" + " UNION ALL ".join(_SIDE.format(c=c, t=_NEW) for c in ("o_orderkey", "o_orderstatus", "o_totalprice")) + ") SELECT path, round(0.3 * abs(b.coverage - a.coverage) / 100 + 0.2 * abs(a.d - b.d) / greatest(a.d, b.d), 9) AS divergence FROM a JOIN b USING (path)")
 def deep_diff(spark, d):
     a, b = _two(spark, d)
-    of = lambda t: profile.fields(profile.value_counts(analyze.nodes_of(t)), analyze.row_counts(t))
+    of = lambda t: profile.fields(analyze.counts_of(t), analyze.row_counts(t))
     return compare.deep_diff(of({"orders": a}), of({"orders": b})).select("path", F.round("divergence", 9).alias("divergence"))
 
 
 @query("WITH a AS (" + " UNION ALL ".join(_SIDE.format(c=c, t=_OLD) for c in ("o_orderkey", "o_orderstatus", "o_totalprice")) + "), b AS (" + " UNION ALL ".join(_SIDE.format(c=c, t=_NEW) for c in ("o_orderkey", "o_orderstatus", "o_totalprice")) + ") SELECT path, round(a.coverage, 6) AS old_coverage, round(b.coverage, 6) AS new_coverage FROM a JOIN b USING (path) WHERE abs(b.coverage - a.coverage) >= 1 AND abs(b.coverage - a.coverage) / a.coverage * 100 >= 5")
 def coverage_shifts(spark, d):
     a, b = _two(spark, d)
-    of = lambda t: profile.fields(profile.value_counts(analyze.nodes_of(t)), analyze.row_counts(t))
+    of = lambda t: profile.fields(analyze.counts_of(t), analyze.row_counts(t))
     return drift.coverage_shifts(compare.profile_diff(of({"orders": a}), of({"orders": b}))).select("path", F.round("old_coverage", 6).alias("old_coverage"), F.round("new_coverage", 6).alias("new_coverage"))
 
 
@@ -597,8 +597,11 @@ UNION ALL SELECT 'sku', 'required', 'fail' UNION ALL SELECT 'o_custkey', 'unexpe
 def contract_checks_orders(spark, d):
     from .operators import contract
 
-    counts, p = _profile(spark, d, ("orders",))
+    counts, _ = _profile(spark, d, ("orders",))
+    counts = counts.persist()  # the profile and the value rules both read them
+    p = profile.fields(counts, counts.where("path = 'o_orderkey'").groupBy("object").agg(F.sum("n").alias("rows")))
     rows = contract.checks(p, counts, [contract.parse(EXPECTED, "orders")])
+    counts.unpersist()
     return spark.createDataFrame([(r["field"], r["check"], r["status"]) for r in rows], "field string, check string, status string")
 
 
@@ -628,7 +631,7 @@ def coverage_expression(spark, d):
 def similar_fields(spark, d):
     li = table(spark, d, "lineitem").select(F.when(F.col("l_orderkey") % 2 == 0, F.col("l_linestatus")).alias("status"))
     t = {"orders": table(spark, d, "orders").select(F.col("o_orderstatus").alias("status")), "lineitem": li}
-    counts = profile.value_counts(analyze.nodes_of(t))
+    counts = analyze.counts_of(t)
     return relations.similar_fields(counts, profile.fields(counts, analyze.row_counts(t)))
 
 
@@ -642,7 +645,7 @@ _METRIC_PARTS += ["SELECT 'distinct', 'nation', 'n_regionkey', count(DISTINCT n_
 def run_metrics(spark, d):
     """The metrics of a run, but for derived scores."""
     t = {"supplier": table(spark, d, "supplier"), "nation": table(spark, d, "nation")}
-    counts = profile.value_counts(analyze.nodes_of(t))
+    counts = analyze.counts_of(t)
     p = profile.fields(counts, analyze.row_counts(t))
     refs = relations.references(counts, p)
     m = analyze.run_metrics(p, refs, quality.object_quality(p, "2024-01-01"), [("supplier", "s_nationkey")])
@@ -653,7 +656,7 @@ def run_metrics(spark, d):
 def category_sets(spark, d):
     """Value sets of category-like fields, kept with each run."""
     t = {"orders": table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")}
-    counts = profile.value_counts(analyze.nodes_of(t))
+    counts = analyze.counts_of(t)
     low = profile.fields(counts, analyze.row_counts(t)).where("low_cardinality").select("object", "path")
     return counts.join(low, ["object", "path"]).groupBy("path").agg(F.array_sort(F.collect_set("value")).alias("categories"))
 

@@ -31,8 +31,9 @@ def fields(counts: DataFrame, rows: DataFrame) -> DataFrame:
 
     ``rows``: (object, rows), the record counts, one row per object.
     """
+    _date = F.when(F.col("type") == "date", F.col("value"))
     per_type = counts.groupBy(*KEY, "type").agg(
-        F.sum("present").alias("present"), F.sum("empty").alias("empty"), F.sum("n").alias("n"), F.count("value").alias("values"), F.min("value").alias("lo"), F.max("value").alias("hi")
+        F.sum("present").alias("present"), F.sum("empty").alias("empty"), F.sum("n").alias("n"), F.count("value").alias("values"), F.min(_date).alias("lo"), F.max(_date).alias("hi")
     )
     out = per_type.groupBy(*KEY).agg(
         F.sum("present").alias("presence"),
@@ -40,8 +41,8 @@ def fields(counts: DataFrame, rows: DataFrame) -> DataFrame:
         F.sum("values").alias("distinct"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("types"),
         F.max_by("type", F.struct((F.col("type") != "null").cast("int"), "n", "type")).alias("main_type"),
-        F.min(F.when(F.col("type") == "date", F.col("lo"))).alias("first_date"),
-        F.max(F.when(F.col("type") == "date", F.col("hi"))).alias("last_date"),
+        F.min("lo").alias("first_date"),
+        F.max("hi").alias("last_date"),
     )
     filled = F.col("presence") - F.col("null_empty")
     return out.join(F.broadcast(rows), "object").select(  # one row per object

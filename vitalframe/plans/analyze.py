@@ -56,6 +56,20 @@ def nodes_of(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def counts_of(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Value counts of all tables: scalar columns by ``flat_counts``, the others node
+    by node."""
+    if not tables:
+        raise ValueError("no tables")
+    out = walk.flat_counts(dict(tables))
+    for name, df in tables.items():
+        rest = [f"`{f.name}`" for f in df.schema.fields if not walk._scalar(f.dataType)]
+        if rest:
+            nested = profile.value_counts(walk.typed_nodes(df.select(*rest), name))
+            out = nested if out is None else out.unionByName(nested)
+    return next(iter(tables.values())).sparkSession.createDataFrame([], walk.COUNTS) if out is None else out
+
+
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in tables.items():
@@ -117,7 +131,7 @@ def analyze(
     """Analyse a set of tables. Value counts are kept (memory and disk) while the
     run lives; call ``counts.unpersist()`` when done."""
     # A mark of its own: a later run over the same paths must not meet this run's cache.
-    counts = profile.value_counts(nodes_of(tables)).withColumn("run", F.lit(uuid.uuid4().hex)).drop("run").persist()
+    counts = counts_of(tables).withColumn("run", F.lit(uuid.uuid4().hex)).drop("run").persist()
     rows = row_counts(tables)
     p = profile.fields(counts, rows).persist()
     fields = [r.asDict() for r in p.collect()]  # one row per field
