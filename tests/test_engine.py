@@ -96,10 +96,20 @@ def test_names():
     assert names.useless_for_joins("status") and not names.useless_for_joins("batter_id")
 
 
-def test_pii():
-    assert privacy.detect("email", "email", {"email": 1.0})[0]["confidence"] == pytest.approx(0.99)
-    assert privacy.detect("company", "string", {}) == []
-    assert privacy.detect("name", "string", {})[0]["confidence"] == 0.4
+def test_pii(spark):
+    hints = spark.createDataFrame(privacy.name_hints([("o", f) for f in ("email", "company", "name", "tel", "first_name")]), privacy.HINTS)
+    shown = spark.createDataFrame([("o", "email", "email", 1.0), ("o", "code", "phone", 0.5), ("o", "tel", "phone", 0.2), ("o", "tel", "ssn", 0.4)], "object string, field string, type string, ratio double")
+    got = {(r["field"], r["type"]): (round(r["confidence"], 6), r["method"], r["high_risk"]) for r in privacy.detections(hints, shown).collect()}
+    assert got == {
+        ("email", "email"): (0.99, "name+value", True), ("name", "name"): (0.4, "name", False), ("first_name", "name"): (0.75, "name", False),
+        ("code", "phone"): (0.725, "value", False), ("tel", "phone"): (0.75, "name", False), ("tel", "ssn"): (0.68, "value", False),
+    }
+    values = [("phone", "+1 555-010-1234"), ("phone", "12"), ("email", "ann@x.org"), ("email", "none"), ("credit_card", "4111 1111 1111 1234"), ("ip_address", "10.1.2.3"), ("name", " Ann  Lee "), ("name", " "), ("address", "ab"), ("address", "abcd"), ("ssn", "1"), ("ssn", None)]
+    rows = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(values)], "i int, k string, v string")
+    masked = F.lit(None).cast("string")
+    for k in {k for k, _ in values}:
+        masked = F.when(F.col("k") == k, privacy.mask(F.col("v"), k)).otherwise(masked)
+    assert [r["m"] for r in rows.select("i", masked.alias("m")).orderBy("i").collect()] == ["***-***-1234", "***-***-****", "a***@x.org", "***@***.***", "****-****-****-1234", "10.***.***.**", "A*** L***", "***", "**", "a**d", "***-**-****", "***"]
     assert privacy.scrub("mail bob@x.org now", ["bob@x.org", "x"]) == "mail *** now"
 
 
@@ -131,12 +141,15 @@ def test_rolling_band_columns_match(spark):
     assert {r["i"]: r["n"] for r in drift.rolling_bands(left_out, "i", ["k"]).collect()}[7] == 5
 
 
-def test_rules_scopes():
+def test_rules_scopes(spark):
     r = drift.Rules({"defaults": {"coverage": {"drop_pct": {"warn": 1, "fail": 50}}}, "objects": {"orders*": {"row_count": {"drop_pct": 5}, "fields": {"addr.*": {"coverage": {"drop_pts": 2}}}}}})
-    assert r.judge("row_count", 100, 94, "orders_eu") == {"severity": "fail", "direction": "drop", "threshold": "drop_pct >= 5", "scope": "object"}
-    assert r.judge("coverage", 100, 97, "orders", "addr.city")["scope"] == "field"
-    assert r.judge("coverage", 100, 97, "other", "x")["severity"] == "warn" and r.judge("row_count", 100, 95)["severity"] == "ok"
-    assert {x["scope"] for x in r.table()} == {"builtin", "dataset", "object", "field"}
+    changes = [("row_count", "orders_eu", "", 100.0, 94.0), ("coverage", "orders", "addr.city", 100.0, 97.0), ("coverage", "other", "x", 100.0, 97.0), ("row_count", "other", "", 100.0, 95.0)]
+    df = spark.createDataFrame(changes, "metric string, object string, path string, old double, new double")
+    got = {(x["metric"], x["object"]): (x["severity"], x["direction"], x["threshold"], x["scope"]) for x in drift.bind_rules(df, r.frame(spark)).collect()}
+    assert got["row_count", "orders_eu"] == ("fail", "drop", "drop_pct >= 5", "object")
+    assert got["coverage", "orders"] == ("fail", "drop", "drop_pts >= 2", "field")
+    assert got["coverage", "other"][::3] == ("warn", "dataset") and got["row_count", "other"][::3] == ("ok", "builtin")
+    assert {x["scope"] for x in r.listed()} == {"builtin", "dataset", "object", "field"}
 
 
 def test_drift_between_runs(spark, league):
@@ -149,10 +162,41 @@ def test_drift_between_runs(spark, league):
     assert after.health["score"] < before.health["score"] and after.findings[0]["severity"] == "fail"
 
 
-def test_renames():
-    old = [{"path": "amount", "types": ["float"], "coverage": 100.0, "values": {"1", "2", "3"}}]
-    new = [{"path": "amount_usd", "types": ["float"], "coverage": 99.0, "values": {"1", "2", "3", "4"}}, {"path": "other", "types": ["int"], "coverage": 100.0, "values": {"1"}}]
-    assert drift.pair_renames(old, new) == [("amount", "amount_usd")]
+def test_renames(spark):
+    i = F.col("id")
+    old = spark.range(100).select(i, (i % 7).alias("amount"), (i % 5).cast("string").alias("kind"), F.struct((i % 3).alias("a")).alias("s"))
+    new = spark.range(100).select(i, (i % 8).alias("amount_usd"), (i % 5).alias("other"), F.struct((i % 3).alias("b")).alias("s"), (i % 3).alias("a"))
+    (oc, op), (nc, np_) = profiled({"o": old}), profiled({"o": new})
+    got = drift.renames(compare.profile_diff(op, np_), oc, nc).collect()
+    assert {(r["old_path"], r["new_path"]) for r in got} == {("amount", "amount_usd"), ("s.a", "s.b")}
+    run = analyze.analyze({"o": new}, "2024-01-01", reference=analyze.analyze({"o": old}, "2024-01-01"))
+    kinds = {(f["kind"], f["path"]) for f in run.findings}
+    assert ("field_renamed", "amount -> amount_usd") in kinds and ("field_removed", "kind") in kinds and ("field_added", "a") in kinds
+
+
+def test_composite_keys(spark):
+    i = F.col("id")
+    t = {"lines": spark.range(600).select((i / 6).cast("int").alias("order_id"), (i % 6).alias("line"), (i % 4).alias("q"))}
+    assert relations.primary_keys(t, profiled(t)[1]) == {"lines": ["order_id", "line"]}
+    t = {"flat": spark.range(50).select(i, (i % 2).alias("q"))}
+    assert relations.primary_keys(t, profiled(t)[1]) == {"flat": ["id"]}
+
+
+def test_walks_agree_on_nested_records(spark):
+    df = spark.sql("select id, array(named_struct('a', named_struct('b', id), 'ys', array(1, 2)), named_struct('a', null, 'ys', array(3))) xs, map('k', cast(id as int)) m, array(array(1), array(2, 3)) aa, transform(sequence(1, 150), x -> x) many from range(5)")
+    v = df.select(F.parse_json(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).alias("v"))
+    of = lambda nodes: sorted(map(tuple, nodes.groupBy("path").agg(F.sum("present"), F.sum("empty"), F.count("*"), F.countDistinct("value")).collect()))
+    typed = of(walk.typed_nodes(df, "t"))
+    assert typed == of(walk.variant_nodes(v, "t"))
+    assert {p for p, *_ in typed} == {"id", "xs", "xs[].a", "xs[].a.b", "xs[].ys", "xs[].ys[]", "m", "m.k", "aa", "aa[]", "aa[][]", "many", "many[]"}
+    assert dict((p, n) for p, _, _, n, _ in typed)["many[]"] == 750
+
+
+def test_flat_counts_equal_nodes(spark):
+    """Both ways to count scalar columns give the same rows."""
+    df = spark.sql("select id, if(id % 3 = 0, null, cast(id as double) / 4) d, if(id = 1, double('nan'), 1.5D) e, cast(id % 2 as boolean) b, timestamp '2024-01-01 00:00:00.5' + make_interval(0, 0, 0, cast(id as int)) t, date '2024-01-02' dt, cast(id as decimal(10, 2)) m, if(id % 2 = 0, '', 'x@y.org') s, cast('ab' as binary) raw, repeat('long ', 200) txt from range(9)")
+    rows = lambda c: sorted(map(repr, c.select("path", "type", "value", "number", "present", "empty", "n").collect()))
+    assert rows(walk.flat_counts({"t": df})) == rows(profile.value_counts(walk.typed_nodes(df, "t")))
 
 
 # ---------------------------------------------------------------- contracts and records
@@ -170,8 +214,7 @@ def test_contract(spark):
     fails = {k for k, v in got.items() if v == "fail"}
     assert fails == {("sku", "required"), ("title", "required"), ("status", "enum"), ("qty", "range")}
     assert got["country", "unexpected_fields"] == "warn" and got["id", "type"] == "pass"
-    values = {("orders", "status"): ["paid", "open", "lost"]}
-    made = contract.infer([r.asDict() for r in p.collect()], values, {("orders", "qty"): -1.0})["objects"]["orders"]
+    made = contract.infer(p, counts)["objects"]["orders"]
     assert made["properties"]["status"]["enum"] == ["lost", "open", "paid"] and "id" in made["required"] and "title" not in made["required"]
     assert made["properties"]["meta"]["properties"]["channel"]["type"] == "string" and "minimum" not in made["properties"]["qty"]
     again = contract.checks(p, counts, [contract.parse(made, "orders")])
@@ -336,7 +379,7 @@ def test_health_and_gates():
         decide.parse_gates("speed=1")
     pii = privacy.summary([{"object": "o", "field": "ssn", "type": "ssn", "confidence": 0.9, "high_risk": True, "method": "name"}])
     card = decide.compliance(pii, 200)
-    assert card["risk"] == "high" and card["checklist"]["masked"] == "fail" and decide.compliance(pii, 200, ["ssn"])["checklist"]["masked"] == "pass"
+    assert card["risk"] == "high" and card["checklist"]["masked"] == "fail" and decide.compliance(pii, 200, [("o", "ssn")])["checklist"]["masked"] == "pass" and decide.compliance(pii, 200, [("x", "ssn")])["checklist"]["masked"] == "fail"
     assert decide.fitness({"dqi": 85, "completeness": 90, "consistency": 95}) == ["ready for reporting", "ready for ml"]
 
 

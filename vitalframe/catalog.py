@@ -513,7 +513,7 @@ def threshold_findings(spark, d):
     m = spark.createDataFrame(rows, "metric string, object string, path string, old double, new double")
     n = spark.createDataFrame([("sampled", "orders", "", 1000.0)], "metric string, object string, path string, value double")
     side = lambda c: m.select("metric", "object", "path", F.col(c).alias("value")).union(n)
-    return drift.threshold_findings(side("new"), side("old"))
+    return drift.threshold_findings(side("new"), side("old")).drop("direction", "threshold", "scope")
 
 
 _OLD = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 0"

@@ -125,13 +125,7 @@ def _run(args: argparse.Namespace) -> int:
         if expected:
             print(json.dumps(contract.summary(run.checks), indent=1))
             return decide.EXIT_FAIL if any(c["status"] == "fail" for c in run.checks) else decide.EXIT_OK
-        fields = [r.asDict() for r in run.profile.collect()]
-        low = run.counts.where("value is not null").join(run.profile.where("low_cardinality").select("object", "path"), ["object", "path"])
-        values: dict = {}
-        for r in low.select("object", "path", "value").distinct().collect():  # at most 50 values a field
-            values.setdefault((r["object"], r["path"]), []).append(r["value"])
-        least = {(r["object"], r["path"]): r["min"] for r in profile.numeric(run.counts, ["object", "path"], run.counts["number"]).select("object", "path", "min").collect()}
-        print(json.dumps(contract.infer(fields, values, least), indent=1))
+        print(json.dumps(contract.infer(run.profile, run.counts), indent=1))
         return 0
     rules = drift.Rules(contract.drift_config(expected, _config(args.rules)))
     run = analyze.analyze(tables, args.as_of, expected, rules=rules, pii_ignore=args.pii_ignore)

@@ -78,20 +78,18 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def detect_pii(counts: DataFrame, fields: Sequence[dict], ignore: Sequence[str] = (), force: Mapping[str, str] | None = None) -> dict[str, Any]:
-    """Names and the share of distinct values that have a personal shape."""
-    ratios = {(r["object"], r["path"]): r for r in counts.where("value is not null").groupBy("object", "path").agg(*(privacy.value_ratio(F.col("value"), k).alias(k) for k in privacy.VALUE_SHAPES)).collect()}  # one row per field
-    found: list[dict] = []
-    for f in fields:
-        obj, path = f["object"], f["path"]
-        if privacy.listed(obj, path, ignore):
-            continue
-        if forced := privacy.listed(obj, path, force or {}):
-            found.append({"object": obj, "field": path, "type": (force or {})[forced], "confidence": 1.0, "method": "config", "high_risk": True})
-            continue
-        r = ratios.get((obj, path))
-        found += [{"object": obj, **d} for d in privacy.detect(path, f["main_type"], {k: r[k] for k in privacy.VALUE_SHAPES} if r else {})]
-    return privacy.summary(found)
+def detect_pii(counts: DataFrame, p: DataFrame, ignore: Sequence[str] = (), force: Mapping[str, str] | None = None) -> dict[str, Any]:
+    """Detections by name and by the share of distinct values of a personal shape."""
+    spark = counts.sparkSession
+    fields = [(r["object"], r["path"]) for r in p.select("object", "path").collect() if not privacy.listed(r["object"], r["path"], ignore)]  # one row per field
+    forced = {f: (force or {})[by] for f in fields if (by := privacy.listed(*f, force or {}))}
+    judged = [f for f in fields if f not in forced]
+    texts = p.where(F.col("main_type").isin(*privacy.TEXT_TYPES)).select("object", "path").join(spark.createDataFrame(judged, "object string, path string"), ["object", "path"])
+    ratios = counts.where("value is not null").join(F.broadcast(texts), ["object", "path"]).groupBy("object", "path").agg(*(privacy.value_ratio(F.col("value"), k).alias(k) for k in privacy.VALUE_SHAPES))
+    shown = ratios.select("object", F.col("path").alias("field"), F.explode(F.array(*(F.struct(F.lit(k).alias("type"), F.col(k).alias("ratio")) for k in privacy.VALUE_SHAPES))).alias("x")).select("object", "field", "x.*")
+    found = privacy.detections(spark.createDataFrame(privacy.name_hints(judged), privacy.HINTS), shown)
+    known = [{"object": o, "field": f, "type": kind, "confidence": 1.0, "method": "config", "high_risk": True} for (o, f), kind in forced.items()]
+    return privacy.summary([*known, *(r.asDict() for r in found.orderBy("object", "field", "type").collect())])  # few rows per field
 
 
 def run_metrics(p: DataFrame, references: DataFrame, q: DataFrame, fk: Sequence[tuple[str, str]]) -> DataFrame:
@@ -140,15 +138,19 @@ def analyze(
     q = quality.object_quality(p, as_of, acc).persist()
     refs = relations.references(counts, p).persist()
     links = [r.asDict() for r in refs.where("rank = 1").collect()]  # one row per reference
-    keys = relations.prefer_referenced(relations.primary_keys(fields), links)
-    pii = detect_pii(counts, fields, pii_ignore, pii_force)
+    keys = relations.prefer_referenced(relations.primary_keys(tables, p), links)
+    pii = detect_pii(counts, p, pii_ignore, pii_force)
     metrics = run_metrics(p, refs, q, [(x["child"], x["child_path"]) for x in links])
     checks = contract.checks(p, counts, expected) if expected else []
     findings: list[dict] = []
     if reference is not None:
         diff = compare.profile_diff(reference.profile, p)
         gone = diff.where("status != 'common'").select("object", "path")
+        same = drift.renames(diff, reference.counts, counts).persist()
+        moved_to = (rules or drift.Rules()).find("schema")[0].get("field_renamed", "warn")
         events = drift.schema_findings(diff, rules).select("kind", "object", "path", "severity")
+        events = events.join(F.broadcast(same.select("object", F.explode(F.array("old_path", "new_path")).alias("path"))), ["object", "path"], "left_anti").select("kind", "object", "path", "severity")
+        events = events.unionByName(same.select(F.lit("field_renamed").alias("kind"), "object", F.concat("old_path", F.lit(" -> "), "new_path").alias("path"), F.lit(moved_to).alias("severity")))
         moved = drift.threshold_findings(metrics, reference.metrics, rules).where("severity != 'ok'").join(F.broadcast(gone), ["object", "path"], "left_anti")
         shifts = _value_findings(reference, counts, p, rules)
         all_ = events.unionByName(moved.select(F.col("metric").alias("kind"), "object", "path", "severity")).unionByName(shifts)
