@@ -118,7 +118,7 @@ class Vocabulary:
         self.noise = freq / freq.sum()
         self.base_norm = math.log10(total + 1 * (types + 1))
         # Share of a word in its cluster: add-one, with one more for all unknown words.
-        self.cluster_norm = np.log10(tokens_in + types_in + 1.0)
+        self.cluster_norm = np.log10(np.maximum(0, tokens_in) + np.maximum(0, types_in) + 1.0)
         self.log_count = np.log10(self.count + 1.0)
 
     def ranks(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
