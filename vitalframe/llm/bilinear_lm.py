@@ -251,7 +251,7 @@ def _train_block(model: Bilinear, noise: np.ndarray, docs: list[np.ndarray], see
     per_pass = -(-len(rows) // BATCH)
     for step in range(steps):
         at = step % per_pass * BATCH
-        m.train(rows[at : at + BATCH].astype(np.int64), squares, noise, rng)
+        m.train(rows[at : at + BATCH], squares, noise, rng)  # 16 bits: sorted by radix
     return m, len(rows)
 
 
