@@ -307,11 +307,11 @@ def test_fingerprint_query_against_brute_force(spark):
     got = queries.op6_weighted_fingerprint(spark, "/root/testdata/sf0.001").orderBy(F.desc("doc_id")).collect()
     src = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy(F.desc("doc_id")).collect()
     assert [r["doc_id"] for r in got] == [r["doc_id"] for r in src]
-    like = lambda a, b: sum(a[i : i + 8] == b[i : i + 8] for i in range(0, len(a), 8)) / 48 if a and b else float(a == b)
+    like = lambda a, b: sum(a[i : i + 8] == b[i : i + 8] for i in range(0, len(a), 8)) / weighted_fingerprint.SAMPLES if a and b else float(a == b)
     for i in range(0, len(src), 9):
         t, nxt = src[i]["text"], src[(i + 1) % len(src)]["text"]
         k = len(t) // 3
-        a, b, c = (_brute_signature(x, 48) for x in (t, t[: len(t) - k] + nxt[:k], nxt))
+        a, b, c = (_brute_signature(x, weighted_fingerprint.SAMPLES) for x in (t, t[: len(t) - k] + nxt[:k], nxt))
         assert got[i]["fingerprint"] == a and got[i]["edited_fingerprint"] == b
         assert abs(got[i]["near_edited"] - like(a, b)) < 1e-9 and abs(got[i]["near_next"] - like(a, c)) < 1e-9
 

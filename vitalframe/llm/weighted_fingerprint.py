@@ -33,7 +33,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES, CELL_BYTES, RANGES, MAX_CELLS, FAN = 48, 4 << 20, 1 << 14, 1 << 19, 64
+SAMPLES, CELL_BYTES, RANGES, MAX_CELLS, FAN = 32, 4 << 20, 1 << 14, 1 << 19, 64
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 LEAST = -(1 << 63)
 
