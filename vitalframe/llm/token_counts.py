@@ -68,18 +68,21 @@ class PrefixCounter:
             self.rank[raw(a), raw(b)] = i
         special = {t["content"] for t in spec["added_tokens"]}
         tokens = sorted(raw(t) for t in model["vocab"] if t not in special)
-        self.ids = {t: i + 1 for i, t in enumerate(tokens)}  # 0: no token before
+        number = {t: i + 1 for i, t in enumerate(tokens)}  # 0: no token before
+        # By bytes: the token's number, 0 for what is only the end of a longer token.
+        self.ids = {t[k:]: 0 for t in tokens for k in range(1, len(t))} | number
         self.bytes_of = [b"", *tokens]
-        self.longest = max(map(len, tokens))
+        self.pair_rank = {number[a] << 32 | number[b]: i for (a, b), i in self.rank.items()}
+        self._made: list[tuple[int, int, int] | None] = [None] * len(self.bytes_of)
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
         self._pairs: dict[int, bool] = {}
         self._units: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
-    def _merged(self, piece: bytes) -> list[bytes]:
-        """BPE of a short byte string, merge by merge."""
+    def _merged(self, piece: bytes, least: int = 1) -> list[bytes]:
+        """BPE of a short byte string, merge by merge, until ``least`` parts are left."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > least:
             best = min(range(len(parts) - 1), key=lambda i: (self.rank.get((parts[i], parts[i + 1]), 1 << 60), i))
             pair = (parts[best], parts[best + 1])
             if pair not in self.rank:
@@ -99,18 +102,48 @@ class PrefixCounter:
         """Whether the two tokens' bytes encode to them (left 0: none before)."""
         if len(self._pairs) > 2_000_000:
             self._pairs.clear()
-        a, b = (b"" if first else self.bytes_of[left]), self.bytes_of[token]
-        known = self._pairs[key] = self._merged(a + b) == ([b] if first else [a, b])
+        known = self._pairs[key] = self._last_merge(token)[0] > -2 and (first or self._stay_apart(left, token))
         return known
 
+    def _last_merge(self, token: int) -> tuple[int, int, int]:
+        """Rank and the two tokens of the merge that completes a token. Rank -1: a
+        single byte; -2: its bytes encode otherwise."""
+        made = self._made[token]
+        if made is None:
+            piece = self.bytes_of[token]
+            made = (-1, 0, 0)
+            if len(piece) > 1:
+                parts = self._merged(piece, 2)
+                rank = self.rank.get(tuple(parts), -2)
+                made = (rank, self.ids[parts[0]], self.ids[parts[1]]) if rank >= 0 else (-2, 0, 0)
+            self._made[token] = made
+        return made
+
+    def _stay_apart(self, left: int, right: int) -> bool:
+        """Whether no merge crosses the border of two tokens. The merges of both are
+        undone, latest first (of equal ones the right one, as merging goes from the
+        left); what then meets at the border must not merge before the one undone."""
+        until = 1 << 60
+        while self.pair_rank.get(left << 32 | right, until) >= until:
+            (rank_l, _, end), (rank_r, begin, _) = self._last_merge(left), self._last_merge(right)
+            if rank_l < 0 and rank_r < 0:
+                return True
+            if rank_l > rank_r:
+                until, left = rank_l, end
+            else:
+                until, right = rank_r + 1, begin
+        return False
+
     def piece_counts(self, piece: bytes) -> list[int]:
         """Tokens of ``piece[:i]`` for i from 0 to its length."""
-        n, ids, pairs, longest = len(piece), self.ids, self._pairs, self.longest
+        n, ids, pairs = len(piece), self.ids, self._pairs
         last, count = [0] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for j in range(i - 1, max(-1, i - longest - 1), -1):
+            for j in range(i - 1, -1, -1):
                 token = ids.get(piece[j:i])
-                if token is None:
+                if not token:
+                    if token is None:  # no token ends like this
+                        raise ValueError("the vocabulary doesn't cover these bytes")
                     continue
                 key = last[j] << 32 | token
                 ok = pairs.get(key)
