@@ -78,6 +78,22 @@ def test_counts_with_controls_and_space():
             assert token_counts.prefix_counts(c.table(t)).tolist() == [n(t[:i]) for i in range(len(t) + 1)], repr(t)
 
 
+def test_border_check_against_merging():
+    """Two tokens stay apart just where merging their joined bytes gives them back."""
+    import random
+
+    c, rnd = token_counts.load_counter(FILE), random.Random(11)
+    assert all(c._merged(c.bytes_of[t]) == [c.bytes_of[t]] for t in rnd.sample(range(1, len(c.bytes_of)), 2000) if c._last_merge(t)[0] > -2)
+    pairs = [(rnd.randrange(1, len(c.bytes_of)), rnd.randrange(1, len(c.bytes_of))) for _ in range(5000)]
+    for whole in rnd.sample(c.bytes_of[1:], 5000):  # borders inside tokens, most of which merge
+        pairs += [(c.ids.get(whole[:k], 0), c.ids.get(whole[k:], 0)) for k in range(1, len(whole))]
+    pairs += [(t, t) for t in rnd.sample(range(1, len(c.bytes_of)), 500)]
+    pairs = [(a, b) for a, b in pairs if a and b and min(c._last_merge(a)[0], c._last_merge(b)[0]) > -2]
+    apart = [c._stay_apart(a, b) for a, b in pairs]
+    assert apart == [c._merged(c.bytes_of[a] + c.bytes_of[b]) == [c.bytes_of[a], c.bytes_of[b]] for a, b in pairs]
+    assert 500 < sum(apart) < len(apart) - 500
+
+
 def test_token_query(spark):
     lib = tokenizers.Tokenizer.from_file(FILE)
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
