@@ -1,5 +1,6 @@
 """Fixtures with known answers, for each part of the engine."""
 
+import datetime
 import gzip
 import json
 import zipfile
@@ -472,3 +473,29 @@ def test_legacy_coverage_limits_and_rule_table(spark):
     rules = drift.Rules({"objects": {"o": {"coverage": {"drop_pct": 5}}}})
     t = {(r["metric"], r["scope"]): r["fired"] for r in drift.rules_in_effect(rules, [{"kind": "coverage", "object": "o", "path": "f", "severity": "fail"}, {"kind": "field_removed", "object": "z", "path": "q", "severity": "fail"}])}
     assert t["coverage", "object"] == 1 and t["coverage", "builtin"] == 0 and t["schema", "builtin"] == 1
+
+
+def test_seen_in_window_counts_earlier_runs(spark):
+    rows = [(r, p) for r in range(1, 6) for p in (("a", "b") if r in (1, 4) else ("a",))]
+    got = {(x["run"], x["path"]): (x["present"], x["seen"], x["runs"]) for x in drift.seen_in_window(spark.createDataFrame(rows, "run int, path string"), "run", ["path"], window=2).collect()}
+    assert got[1, "a"] == (True, 0, 0) and got[5, "a"] == (True, 2, 2)
+    assert got[2, "b"] == (False, 1, 1) and got[4, "b"] == (True, 0, 2) and got[5, "b"] == (False, 1, 2)
+    assert drift.seen_in_window(spark.createDataFrame([], "run int, path string"), "run", ["path"]).count() == 0
+
+
+def test_timeline_of_the_last_run(spark):
+    rows = [(f"t{d:02}", datetime.date(2024, 1, d), "x", float(d)) for d in range(1, 11)] + [("t02", datetime.date(2024, 1, 2), "gone", 1.0), ("t10", datetime.date(2024, 1, 10), "new", 1.0)]
+    rows += [("t09", datetime.date(2024, 1, 9), "late", 4.0), ("t10", datetime.date(2024, 1, 10), "late", 9.0)]
+    schema = "tag string, day date, object string, value double"
+    got = {r["object"]: r for r in drift.timeline(spark.createDataFrame(rows, schema), ["object"], points=3).collect()}
+    assert set(got) == {"x", "late"}  # one has no present point, one no earlier point
+    assert got["x"][1:] == ([8.0, 9.0, 10.0], 1.0, 9.0, 10.0, 1.0, 7.0, None)
+    assert got["late"]["delta_1"] == 5.0 and got["late"]["delta_7"] is None  # the run of seven days ago lacks it
+    assert drift.timeline(spark.createDataFrame([], schema), ["object"]).count() == 0
+
+
+def test_relationships_and_statistics_of_nothing(spark):
+    counts = analyze.counts_of({"t": spark.createDataFrame([], "parent_id string")})
+    p = profile.fields(counts, analyze.row_counts({"t": spark.createDataFrame([], "parent_id string")}))
+    assert profile.statistics_summary(p).where("object is not null").count() == 0
+    assert relations.relationship_summary(relations.relationships(counts, p)).count() == 0

@@ -714,3 +714,49 @@ def nested_array_fields(spark, d):
     t = table(spark, d, "orders").select(F.when(k > 0, F.transform(F.sequence(F.lit(1), k.cast("int")), lambda i: F.struct(i.alias("k")))).otherwise(F.array().cast("array<struct<k:int>>")).alias("tags"))
     n = walk.typed_nodes(t, "orders").where("path = 'tags[].k'")
     return n.groupBy("path").agg(F.sum("present").cast("long").alias("presence"), F.count("*").alias("elements"))
+
+
+_DATED = "count(*) FILTER (TRY_CAST(CAST({c} AS VARCHAR) AS TIMESTAMP) IS NOT NULL) > 0"
+_NUMBERED = "count(*) FILTER (TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) IS NOT NULL) > 0"
+_SUMMARISED = ("nation", "supplier", "orders")
+
+
+@query("SELECT object, count(*) FILTER (numbered) AS numeric_fields, count(*) FILTER (dated) AS temporal_fields FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS object, {_NUMBERED.format(c=c)} AS numbered, {_DATED.format(c=c)} AS dated FROM {t}" for t in _SUMMARISED for c in COLUMNS[t]) + ") GROUP BY ROLLUP (object)")
+def statistics_summary(spark, d):
+    return profile.statistics_summary(_profile(spark, d, _SUMMARISED)[1])
+
+
+_SERIES = "SELECT DISTINCT date_trunc('hour', ts) AS run, event_type || '-' || (user_id % 50) AS path FROM events"
+
+
+@query(f"WITH o AS ({_SERIES}), r AS (SELECT run, row_number() OVER (ORDER BY run) AS i FROM (SELECT DISTINCT run FROM o)), k AS (SELECT i, path FROM o JOIN r USING (run)) SELECT r.run, k.path, bool_or(k.i = r.i) AS present, count(*) FILTER (k.i < r.i) AS seen, CAST(least(r.i - 1, 14) AS INTEGER) AS runs FROM r JOIN k ON k.i BETWEEN r.i - 14 AND r.i GROUP BY r.run, r.i, k.path")
+def seen_in_window(spark, d):
+    """Series that come and go: each hour is a run."""
+    h = table(spark, d, "events").select(F.date_trunc("hour", "ts").alias("run"), F.concat("event_type", F.lit("-"), (F.col("user_id") % 50).cast("string")).alias("path"))
+    return drift.seen_in_window(h, "run", ["path"])
+
+
+_DELTA = "current - (SELECT value FROM h WHERE h.object = x.object AND h.day = (SELECT max(day) FROM h WHERE day <= (SELECT max(day) FROM h) - {n})) AS delta_{n}"
+_TIMES = "SELECT strftime(ts, '%Y%m%d') AS tag, CAST(ts AS DATE) AS day, event_type AS object, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY ALL"
+
+
+@query(f"WITH h AS ({_TIMES}), p AS (SELECT object, value, day, row_number() OVER (PARTITION BY object ORDER BY day DESC) AS back FROM h), c AS (SELECT object, value AS current FROM h WHERE day = (SELECT max(day) FROM h)), x AS (SELECT object, list(value ORDER BY day) FILTER (back <= 30) AS points, min(value) FILTER (back > 1) AS low, max(value) FILTER (back > 1) AS high FROM p GROUP BY object HAVING count(*) > 1) SELECT x.object, points, low, high, current, " + ", ".join(_DELTA.format(n=n) for n in (1, 7, 30)) + " FROM x JOIN c ON x.object = c.object")
+def timeline(spark, d):
+    """Row counts by day and event type, as runs."""
+    h = table(spark, d, "events").groupBy(F.date_format("ts", "yyyyMMdd").alias("tag"), F.to_date("ts").alias("day"), F.col("event_type").alias("object")).agg(F.count("*").cast("double").alias("value"))
+    return drift.timeline(h, ["object"])
+
+
+_ENUMS = "SELECT count(*) FILTER (a.v IS NOT NULL AND b.v IS NOT NULL) / count(*) AS jaccard FROM (SELECT DISTINCT o_orderstatus AS v FROM orders) a FULL JOIN (SELECT DISTINCT l_linestatus AS v FROM lineitem UNION SELECT 'P') b ON a.v = b.v"
+_RELATED = "SELECT 'value_join' AS kind, 'customer' AS source, 'orders' AS target FROM s WHERE jaccard >= 0.15 OR contained >= 0.8"
+_RELATED += f" UNION ALL SELECT 'shared_enum', 'events', 'orders' FROM ({_ENUMS}) WHERE jaccard >= 0.6 UNION ALL SELECT 'hierarchy', 'orders', 'orders'"
+
+
+@query(_PAIR.format(a="customer", ac="c_custkey", b="orders", bc="o_custkey") + f", r AS ({_RELATED}) SELECT object, kind, CAST(sum(o) AS BIGINT) AS outgoing, CAST(sum(1 - o) AS BIGINT) AS incoming FROM (SELECT source AS object, kind, 1 AS o FROM r UNION ALL SELECT target, kind, 0 FROM r) GROUP BY 1, 2")
+def relationship_summary(spark, d):
+    """Joins, shared value sets and parents, by object and kind."""
+    orders = table(spark, d, "orders").select("o_custkey", F.col("o_orderstatus").alias("ostat"), F.concat(F.lit("p"), (F.col("o_custkey") % 7).cast("string")).alias("parent_key"))
+    events = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("lstat")).union(spark.range(1).select(F.lit("P")))
+    t = {"customer": table(spark, d, "customer").select("c_custkey"), "orders": orders, "events": events}
+    counts = analyze.counts_of(t)
+    return relations.relationship_summary(relations.relationships(counts, profile.fields(counts, analyze.row_counts(t))))

@@ -146,6 +146,13 @@ def mixed_types(profile: DataFrame) -> DataFrame:
     return profile.select(*KEY, F.size(kinds).alias("kinds")).where("kinds > 1")
 
 
+def statistics_summary(profile: DataFrame) -> DataFrame:
+    """Fields with numbers and fields with dates, per object and, under a null
+    object, in all."""
+    has = lambda *kinds: F.arrays_overlap(F.map_keys("types"), F.array(*map(F.lit, kinds)))
+    return profile.rollup("object").agg(F.count_if(has("int", "float")).alias("numeric_fields"), F.count_if(has("date")).alias("temporal_fields"))
+
+
 def material_types(types: Column, share: float = 0.02) -> Column:
     """Types with at least max(1, share) of the non-null values, sorted."""
     filled = F.map_filter(types, lambda t, n: t != "null")

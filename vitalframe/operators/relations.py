@@ -221,6 +221,24 @@ def hierarchies(objects: dict[str, Sequence[str]]) -> list[dict]:
     return [{"object": o, "path": p, "confidence": 0.8} for o, ps in objects.items() for p in ps if shaped(p.split(".")[-1].lower().replace("_", ""))]
 
 
+RELATIONS = "kind string, source string, source_path string, target string, target_path string, confidence double"
+
+
+def relationships(counts: DataFrame, profile: DataFrame) -> DataFrame:
+    """All relations found: joins that values confirm, shared value sets, and fields
+    that point to a parent in their own object."""
+    row = lambda df, kind, sure: df.select(F.lit(kind).alias("kind"), F.col("a_object").alias("source"), F.col("a_path").alias("source_path"), F.col("b_object").alias("target"), F.col("b_path").alias("target_path"), F.col(sure).alias("confidence"))
+    paths = {r["object"]: r["paths"] for r in profile.groupBy("object").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()}  # field names
+    up = [("hierarchy", h["object"], h["path"], h["object"], None, h["confidence"]) for h in hierarchies(paths)]
+    return row(joins(counts, profile), "value_join", "confidence").unionByName(row(shared_enums(counts, profile), "shared_enum", "jaccard")).unionByName(counts.sparkSession.createDataFrame(up, RELATIONS))
+
+
+def relationship_summary(found: DataFrame) -> DataFrame:
+    """Relations that leave and that reach each object, by kind."""
+    ends = found.select("kind", F.explode(F.array(F.struct(F.col("source").alias("object"), F.lit(1).alias("out")), F.struct(F.col("target").alias("object"), F.lit(0).alias("out")))).alias("e"))
+    return ends.groupBy("e.object", "kind").agg(F.sum("e.out").alias("outgoing"), F.sum(1 - F.col("e.out")).alias("incoming"))
+
+
 def similar_fields(counts: DataFrame, profile: DataFrame) -> DataFrame:
     """Low-cardinality fields of one name in several objects: shared values, the
     side to prefer (more values, then fuller), and whether coverage falls off
