@@ -332,6 +332,13 @@ def test_unspaced_scripts(spark):
     assert got == ["日", "本", "語", "word", "ไ", "ท", "ย"]
 
 
+def test_scripts_are_looked_up_only_where_they_may_be(spark):
+    scripts = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+    chars = spark.range(0x110000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "utf-32").alias("c"))
+    got = chars.select(F.col("c").rlike(scripts).alias("a"), F.col("c").rlike(weighted_fingerprint.UNSPACED).alias("b"), F.col("c").rlike(weighted_fingerprint.MAY_BE_UNSPACED).alias("m"))
+    assert got.where("a != b or (a and not m)").count() == 0 and got.where("a").count() > 90_000 and got.where("not m").count() > 6_000
+
+
 @pytest.mark.parametrize("cell_bytes", [500, 1 << 30])
 def test_neighbours(spark, monkeypatch, cell_bytes):
     monkeypatch.setattr(weighted_fingerprint, "CELL_BYTES", cell_bytes)

@@ -34,7 +34,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES, CELL_BYTES, RANGES, MAX_CELLS, FAN = 32, 4 << 20, 1 << 14, 1 << 19, 64
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Where the scripts below lie, at most. A range is quick to test, a script is not.
+MAY_BE_UNSPACED = r"[\x{0E00}-\x{1FFF}\x{2E80}-\x{10FFFF}]"
+UNSPACED = rf"[{MAY_BE_UNSPACED}&&[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsThai}}\p{{IsLao}}\p{{IsKhmer}}\p{{IsMyanmar}}]]"
 LEAST = -(1 << 63)
 
 
@@ -55,7 +57,7 @@ def sample_key(term: Column, log_weight: Column, j: int) -> Column:
 def terms_of(text: Column) -> Column:
     """Terms of a text as an array (with repeats)."""
     low = F.lower(text)
-    apart = F.when(low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
+    apart = F.when((F.octet_length(low) > F.char_length(low)) & low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
     return F.filter(F.split(apart, r"[ \t-\r]+"), lambda w: w != "")
 
 
