@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as C
@@ -76,6 +77,19 @@ def test_run_equals_stages_and_repeats(spark, at, tmp_path):
     assert one and one == Counter(map(tuple, C.run(spark, str(tmp_path)).collect()))
 
 
+def test_arrow_batches_are_bounded(spark, at):
+    spark.conf.unset(C.BATCH_CONF)
+    docs = at(spark.range(0, 3000, 1, 1).selectExpr("id doc_id", "repeat(md5(string(id)), 320) text", "'en' lang", "'a' source", "10240L n_chars"))
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes], "rows": [b.num_rows]}) for b in batches)
+    C.STAGES[-1][1](spark, docs, "")
+    got = docs.mapInArrow(sizes, "n long, rows long").collect()
+    assert sum(r["rows"] for r in got) == 3000 and max(r["n"] for r in got) < 2 * C.BATCH_BYTES
+    spark.conf.set(C.BATCH_CONF, "1m")  # what is lower stays
+    C.STAGES[-1][1](spark, docs, "")
+    assert spark.conf.get(C.BATCH_CONF) in ("1m", "1048576b")
+    spark.conf.unset(C.BATCH_CONF)
+
+
 def test_empty(spark, at, tmp_path):
     at(empty(spark))
     assert C.run(spark, str(tmp_path)).count() == 0
