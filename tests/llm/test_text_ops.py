@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -287,6 +288,37 @@ def test_training_is_not_cut():
     assert drawn == [96]
 
 
+def test_a_training_step_is_the_plain_formula_in_cached_pieces():
+    """The gradient in doubles, row by row; and no table of all rows by all noise words."""
+    rng, noise = np.random.default_rng(3), 1 / np.arange(1, 1280)
+    noise /= noise.sum()
+    batch = rng.choice(1279, (8192, 3), p=noise).astype(np.int16)
+    m = bilinear_lm.Bilinear(1279).start(noise)
+    old, p = m.flat.astype(float), {k: v.astype(float) for k, v in m.p.items()}
+    squares = np.full(len(m.flat), 1e-4, np.float32)
+    tracemalloc.start()
+    m.train(batch, squares, noise, np.random.default_rng(5))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    c2, c1, w = batch.T.astype(int)
+    drawn = np.searchsorted(np.cumsum(noise), np.random.default_rng(5).random(96)).clip(max=1278)
+    h, bias = p["r"][c1] @ p["c1"] + p["r"][c2] @ p["c2"], p["b"] - np.log(96 * noise)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    up, down = -sigmoid(-((h * p["q"][w]).sum(1) + bias[w])), sigmoid(h @ p["q"][drawn].T + bias[drawn])
+    dh = up[:, None] * p["q"][w] + down @ p["q"][drawn]
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    np.add.at(g["r"], c1, dh @ p["c1"].T)
+    np.add.at(g["r"], c2, dh @ p["c2"].T)
+    g["c1"], g["c2"] = p["r"][c1].T @ dh, p["r"][c2].T @ dh
+    np.add.at(g["q"], w, up[:, None] * h)
+    np.add.at(g["q"], drawn, down.T @ h)
+    np.add.at(g["b"], w, up)
+    np.add.at(g["b"], drawn, down.sum(0))
+    flat = np.concatenate([g[k].reshape(-1) for k in p]) / len(batch)
+    np.testing.assert_allclose(m.flat, old - bilinear_lm.RATE * flat / (np.sqrt(1e-4 + flat**2) + 1e-5), atol=1e-5)
+    assert most < 2 * 8192 * 96 * 4
+
+
 def test_training_beats_unigrams():
     """On a text with strong order, the trained model predicts better."""
     words = ["a", "b", "c", "d", "e", "f"]

@@ -36,6 +36,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,7 @@ from .common import materialize, meet, slices
 
 WORDS, CLUSTERS, DIM, NOISE, ROUNDS, RATE, BATCH, SEED = 1022, 256, 24, 96, 2, 0.15, 8192, 7
 BLOCK_TOKENS, STEPS, SUMS = 1 << 22, 160, 16
+CACHED = 1024  # rows against the noise words at a time, so that they stay in the cache
 TOP, TOP_BYTES, ENDING, FLUSH = 131_072, 64, 3, 400_000
 END = 0  # class numbers; words start at 1, clusters follow
 END_TOKEN = ""  # no word is empty
@@ -55,7 +57,7 @@ END_TOKEN = ""  # no word is empty
 def tokens(text: str | None) -> list[bytes]:
     """Words in order, without the end. No word holds a space, a digest's name does."""
     words = (text or "").encode().lower().split()
-    if any(len(w) > TOP_BYTES for w in words):
+    if max(map(len, words), default=0) > TOP_BYTES:
         words = [w if len(w) <= TOP_BYTES else b" " + hashlib.md5(w).hexdigest().encode() for w in words]
     return words
 
@@ -74,7 +76,7 @@ def count_tokens(train: DataFrame, text_col: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["token", "n"])
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
         for batch in batches:
             for piece in slices(batch):
                 for t in piece.column(0).to_pylist():
@@ -123,8 +125,8 @@ class Vocabulary:
 
     def ranks(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
         """Rank of each word, -1 if not among the frequent ones; the words."""
-        words, get = tokens(text), self.rank.get
-        return np.array([get(w, -1) for w in words], np.int64), words
+        words = tokens(text)
+        return np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words)), words
 
     def classes(self, ranks: np.ndarray, words: list[bytes]) -> np.ndarray:
         """Class of each token, the end included."""
@@ -144,7 +146,7 @@ class Bilinear:
         self.size, self.dim = size, dim
         self.shapes = {"r": (size, dim), "c1": (dim, dim), "c2": (dim, dim), "q": (size, dim), "b": (size,)}
         self.flat = np.zeros(sum(math.prod(s) for s in self.shapes.values()), np.float32)
-        self._first: np.ndarray | None = None  # contexts times matrices, for scoring
+        self._first: np.ndarray | None = None  # contexts against classes, for scoring
         self._views()
 
     def _views(self) -> None:
@@ -174,28 +176,32 @@ class Bilinear:
 
     def train(self, batch: np.ndarray, squares: np.ndarray, noise: np.ndarray, rng: np.random.Generator, rate: float = RATE, k: int = NOISE) -> None:
         """One noise-contrastive step (Adagrad) on rows (c2, c1, target)."""
-        p, (c2, c1, w) = self.p, batch.T
+        p, d, n = self.p, self.dim, len(batch)
+        c2, c1, w = np.ascontiguousarray(batch.T)
         drawn = np.searchsorted(np.cumsum(noise), rng.random(k)).clip(max=self.size - 1)
         log_noise = (np.log(noise) + math.log(k)).astype(np.float32)
-        r1, r2 = p["r"][c1], p["r"][c2]
-        h = r1 @ p["c1"] + r2 @ p["c2"]
-        qw, qn = p["q"][w], p["q"][drawn]
-        data = np.einsum("ij,ij->i", h, qw) + p["b"][w] - log_noise[w]
-        other = h @ qn.T + (p["b"][drawn] - log_noise[drawn])
-        up = -_sigmoid(-data)  # slope of the loss
-        down = _sigmoid(other)
-        n = np.float32(len(w))
-        dh = up[:, None] * qw + down @ qn
-        grad = Bilinear(self.size, self.dim)
+        # Products with a matrix are made once a class, not once a row. A last column
+        # of ones (of biases) lets the products below add the biases and their slopes.
+        h, out = np.ones((n, d + 1), np.float32), np.column_stack([p["q"], p["b"] - log_noise])
+        np.add((p["r"] @ p["c1"]).take(c1, 0), (p["r"] @ p["c2"]).take(c2, 0), out=h[:, :d])
+        qw, qn = out.take(w, 0), out[drawn]
+        up = -_sigmoid(-np.einsum("ij,ij->i", h, qw))  # slope of the loss
+        qw *= up[:, None]
+        dh, dn = qw, np.zeros((k, d + 1), np.float32)
+        for at in range(0, n, CACHED):
+            part = h[at : at + CACHED]
+            down = _sigmoid(part @ qn.T)
+            dh[at : at + CACHED] += down @ qn
+            dn += down.T @ part
+        h *= up[:, None]
+        dq, by_c1, by_c2 = _sum_rows(h, w, self.size), _sum_rows(dh, c1, self.size)[:, :d], _sum_rows(dh, c2, self.size)[:, :d]
+        np.add.at(dq, drawn, dn)
+        grad = Bilinear(self.size, d)
         g = grad.p
-        g["c1"][:], g["c2"][:] = r1.T @ dh, r2.T @ dh
-        _add_rows(g["r"], c1, dh @ p["c1"].T)
-        _add_rows(g["r"], c2, dh @ p["c2"].T)
-        _add_rows(g["q"], w, up[:, None] * h)
-        np.add.at(g["q"], drawn, down.T @ h)
-        g["b"][:] = np.bincount(w, up, self.size)
-        np.add.at(g["b"], drawn, down.sum(axis=0))
-        grad.flat /= n
+        g["c1"][:], g["c2"][:] = p["r"].T @ by_c1, p["r"].T @ by_c2
+        g["r"][:] = by_c1 @ p["c1"].T + by_c2 @ p["c2"].T
+        g["q"][:], g["b"][:] = dq[:, :d], dq[:, d]
+        grad.flat /= np.float32(n)
         squares += grad.flat**2
         self.flat -= np.float32(rate) * grad.flat / (np.sqrt(squares) + 1e-5)
 
@@ -217,12 +223,14 @@ class Bilinear:
     def log_probs(self, classes: np.ndarray, sums: np.ndarray) -> np.ndarray:
         """Natural log probability of each class after the two before it."""
         if self._first is None:
-            self._first, self._second = self.p["r"] @ self.p["c1"], self.p["r"] @ self.p["c2"]
-        c1 = np.concatenate([[END], classes[:-1]])
-        c2 = np.concatenate([[END], c1[:-1]])
-        h = self._first[c1]
-        h += self._second[c2]
-        return np.einsum("ij,ij->i", h, self.p["q"][classes]) + self.p["b"][classes] - sums[c2, c1]
+            self._first = (self.p["r"] @ self.p["c1"]) @ self.p["q"].T + self.p["b"]
+            self._second = (self.p["r"] @ self.p["c2"]) @ self.p["q"].T
+        c = np.concatenate([[END, END], classes]).astype(np.int64)
+        c2, c1, w = c[:-2] * self.size, c[1:-1], c[2:]
+        out = self._first.take(c1 * self.size + w)
+        out += self._second.take(c2 + w)
+        out -= sums.take(c2 + c1)
+        return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -233,12 +241,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """Add each row to the row of ``out`` that ``at`` names."""
+def _sum_rows(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows by the number in ``at``: (size, columns)."""
+    out = np.zeros((size, rows.shape[1]), np.float32)
     order = np.argsort(at, kind="stable")
     to = at[order]
     first = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1])
-    out[to[first]] += np.add.reduceat(rows[order], first, axis=0)
+    out[to[first]] = np.add.reduceat(rows.take(order, 0), first, axis=0)
+    return out
 
 
 def _train_block(model: Bilinear, noise: np.ndarray, docs: list[np.ndarray], seed: list[int]) -> tuple[Bilinear, int]:
@@ -348,7 +358,7 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
         names = ["rid", "id", "training", "n_tokens", "n_known", "base", "score", "token", "tf"]
         for batch in batches:
             for piece in slices(batch, 4 << 20):
-                rid, head, rare = [], [], []
+                rid, head, rare_key, rare, rare_n = [], [], [], [], []
                 for t in piece.column(2).to_pylist():
                     key = part << 33 | row
                     row += 1
@@ -363,15 +373,16 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
                     rid.append(key)
                     head.append((len(words) + 1, len(found) + (v.ends > 0), base, s))
                     if len(found) < len(words):
-                        few = Counter(w for w, r in zip(words, ranks.tolist(), strict=True) if r < 0)
-                        rare += [(key, w.decode(), n) for w, n in few.items()]
+                        few = Counter(words[i] for i in np.flatnonzero(ranks < 0).tolist())
+                        rare_key += [key] * len(few)
+                        rare += few.keys()
+                        rare_n += few.values()
                 k = len(rid)
                 cols = list(zip(*head, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), piece.column(0), piece.column(1), *(pa.array(c, pa.int64() if i < 2 else pa.float64()) for i, c in enumerate(cols)), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())], names=names)
                 if rare:
-                    r, w, n = zip(*rare, strict=True)
-                    k = len(r)
-                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.nulls(k, piece.column(0).type), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(w, pa.string()), pa.array(n, pa.int64())], names=names)
+                    k = len(rare)
+                    yield pa.RecordBatch.from_arrays([pa.array(rare_key, pa.int64()), pa.nulls(k, piece.column(0).type), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(rare, pa.binary()).cast(pa.string()), pa.array(rare_n, pa.int64())], names=names)
 
     id_type = docs.schema["id"].dataType.simpleString()
     # Written once, so that row numbers stay what they are.
