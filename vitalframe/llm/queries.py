@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bilinear_lm, bpe_codec, language_id, ngram_join, secret_scan, source_mix, splitter_shards, token_counts, webp, weighted_fingerprint
+from . import bilinear_lm, bpe_codec, importance_resample, language_id, ngram_join, phrase_growth, piece_codec, secret_scan, source_mix, splitter_shards, token_counts, webp, weighted_fingerprint
 from . import oracle
 from .common import crc_mod, documents
 
-RANK_FILE, TOKENIZER_FILE = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+RANK_FILE, TOKENIZER_FILE, PIECE_FILE = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +71,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_webp, op2_source_mix, op3_secret_scan, op4_bilinear_lm, op5_bpe_codec, op6_weighted_fingerprint, op7_splitter_shards, op8_token_counts, op9_ngram_join, op10_language_id)}
-ORACLE: dict[str, str] = {"op7_splitter_shards": oracle.OP7, "op9_ngram_join": oracle.OP9}
+def op11_phrase_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_growth.collocations(documents(spark, sf_dir)).withColumnRenamed("g", "lang")
+
+
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trip(documents(spark, sf_dir), public_tokenizers.path(PIECE_FILE))
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = importance_resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return scored.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_webp, op2_source_mix, op3_secret_scan, op4_bilinear_lm, op5_bpe_codec, op6_weighted_fingerprint, op7_splitter_shards, op8_token_counts, op9_ngram_join, op10_language_id, op11_phrase_growth,
+        op12_piece_codec, op13_importance_resample,
+    )
+}
+ORACLE: dict[str, str] = {"op7_splitter_shards": oracle.OP7, "op9_ngram_join": oracle.OP9, "op11_phrase_growth": oracle.OP11, "op13_importance_resample": oracle.OP13}
