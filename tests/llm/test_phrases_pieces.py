@@ -87,8 +87,12 @@ def test_phrases_flushed_often_and_without_hot_parts(spark, monkeypatch):
         for p, n in held.merged(3):
             counts.update(dict(zip([(g, x) for x in p], n.tolist(), strict=True)))
     assert sum(counts.values()) == sum(len(re.findall(r"[^ \t.,;:!?\n\x0b\x0c\r]+", t)) for _, t in pairs)
-    docs = spark.createDataFrame(pairs, "lang string, text string").repartition(3)
-    assert _plain(phrase_growth.collocations(docs, 3, 5)) == mine([(g or "und", t) for g, t in pairs], 3, 5, 50, 2000)
+    docs, size = spark.createDataFrame(pairs, "lang string, text string").repartition(3), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for rows_a_batch in ("2", "7", "10000"):  # projections that go on over many batches
+        spark.conf.set(size, rows_a_batch)
+        got = _plain(phrase_growth.collocations(docs, 4, 5))
+        spark.conf.unset(size)
+        assert got == mine([(g or "und", t) for g, t in pairs], 4, 5, 50, 2000)
 
 
 def test_phrase_query_on_awkward_documents(spark, tmp_path):

@@ -8,9 +8,9 @@ first, as long as it is frequent.
 * A task reads texts once and merges equal pointers (at most ``most`` words) of
   ``FLUSH`` words at a time to one with a count, before anything is shuffled.
 * Pointers are dealt by their first two words, and sorted: a task has the
-  whole projection of each of its two-word prefixes, even of a hot one's as no more
+  whole projection of each of its two-word prefixes, a hot one's as no more
   rows than it has distinct continuations a flush, and grows patterns while
-  it reads them in order (``grow``). It holds one open prefix per length, whatever a
+  it reads them in order (``Growth``). It holds a batch and one open prefix, whatever a
   projection's size. Only the counts of single words are summed up afterwards.
 * Scores need the counts of a phrase's parts, which are frequent themselves: a join
   of the frequent phrases with themselves. Parts that hold at least one in ``HOT``
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,9 +57,9 @@ class Pointers:
         self.parts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
         self.size += len(words)
 
-    def merged(self, most: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    def merged(self, most: int, before: bytes = b"") -> Iterator[tuple[list[bytes], np.ndarray]]:
         """Distinct pointers (of ``most`` > 1 words at most, each followed by a space)
-        and their counts."""
+        behind ``before``, and their counts."""
         words = list(self.numbers)
         at = np.concatenate([*self.parts, np.zeros(most, np.int64)])
         alive = np.flatnonzero(at[: len(at) - most + 1])
@@ -72,23 +73,25 @@ class Pointers:
         count, spaced = np.bincount(code), [b"", *(w + b" " for w in words[1:])]
         for first in range(0, len(count), 1 << 16):
             row, tail = np.arange(first, min(len(count), first + (1 << 16))), []
-            for before, word in reversed(chain):
+            for shorter, word in reversed(chain):
                 tail.append(word[row])
-                row = before[row]
-            columns = ([spaced[i] for i in c.tolist()] for c in (row, *reversed(tail)))
+                row = shorter[row]
+            columns = [[before + spaced[i] for i in row.tolist()], *([spaced[i] for i in c.tolist()] for c in reversed(tail))]
             yield list(map(b"".join, zip(*columns, strict=True))), count[first : first + (1 << 16)]
 
 
 def pointers(docs: DataFrame, text_col: str, group: Column, most: int) -> DataFrame:
-    """``g`` string, ``p`` binary (each word followed by a space), ``n`` long."""
+    """``p`` string, ``n`` long: the group in hexadecimal, a line break, and the pointer's
+    words, each followed by a space. Of pointers in order, those with the same first
+    words are neighbours, whatever characters words have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Pointers] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             for g, found in held.items():
-                for p, n in found.merged(most):
-                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(g), len(p)), pa.array(p, pa.binary()), pa.array(n.astype(np.int64))], names=["g", "p", "n"])
+                for p, n in found.merged(most, g.encode().hex().encode() + b"\n"):
+                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.binary()).view(pa.string()), pa.array(n.astype(np.int64))], names=["p", "n"])
             held.clear()
 
         size = 0
@@ -106,76 +109,137 @@ def pointers(docs: DataFrame, text_col: str, group: Column, most: int) -> DataFr
         yield from flush()
 
     rows = docs.select(F.coalesce(group.cast("string"), F.lit(NO_GROUP)).alias("g"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "g string, p binary, n long")
+    return rows.mapInArrow(run, "p string, n long")
 
 
 class Growth:
-    """Depth-first growth over the pointers of one group in order. ``open`` holds
-    the words of the current prefix and ``count`` what has been read of it."""
+    """Depth-first growth over pointers in order, batch by batch.
+
+    A two-word prefix whose projection lies inside a batch is grown by recursion
+    over ranges of the batch (``_grow``), if it is frequent at all. A projection
+    that touches a batch's border is read pointer by pointer: ``open`` holds the words
+    of the prefix being read and ``count`` what has been seen of it, so a hot prefix
+    may go on over any number of batches."""
 
     def __init__(self, most: int, least: int):
         self.most, self.least = most, least
-        self.open: list[bytes] = []
+        self.open: list[str] = []
         self.count: list[int] = []
-        self.found: list[tuple[bytes, int, int]] = []  # phrase, words, count
+        self.word, self.seen = "", 0  # the single word being read
+        self.found: list[tuple[str, int, int]] = []  # pointer, words, count
 
-    def back_to(self, depth: int) -> None:
-        """Close prefixes longer than ``depth``. Single words are handed on with
-        what this task has seen of them, frequent or not."""
+    def _close(self, depth: int) -> None:
+        """Close prefixes longer than ``depth``."""
         while len(self.open) > depth:
             n = self.count.pop()
-            if n >= self.least or len(self.open) == 1:
-                self.found.append((b" ".join(self.open), len(self.open), n))
+            if n >= self.least and len(self.open) > 1:
+                self.found.append((" ".join(self.open) + " ", len(self.open), n))
             self.open.pop()
             if self.open:
                 self.count[-1] += n
 
-    def read(self, pointer: bytes, n: int) -> None:
-        words = pointer.split(b" ")[:-1]
+    def _read(self, pointer: str, n: int) -> None:
+        words = pointer.split(" ")[:-1]
         same = 0
         for a, b in zip(words, self.open):  # noqa: B905  either may be longer
             if a != b:
                 break
             same += 1
-        self.back_to(same)
+        self._close(same)
         for w in words[same:]:
             self.open.append(w)
             self.count.append(0)
         self.count[-1] += n
 
+    def _grow(self, low: int, high: int, depth: int, total: int) -> None:
+        """Rows ``low`` to ``high`` are the projection of a frequent prefix."""
+        self.found.append((self.heads[depth][low].as_py(), depth, total))
+        if depth == self.most:
+            return
+        starts = np.concatenate([[low], low + 1 + np.flatnonzero(self.new[depth + 1][low + 1 : high])])
+        sums = np.add.reduceat(self.n[low:high], starts - low)
+        for at in np.flatnonzero((sums >= self.least) & (self.words[starts] > depth)).tolist():
+            self._grow(int(starts[at]), int(starts[at + 1]) if at + 1 < len(starts) else high, depth + 1, int(sums[at]))
+
+    def _single(self, word: str, n: int) -> None:
+        if word != self.word:
+            self.end_word()
+            self.word = word
+        self.seen += n
+
+    def end_word(self) -> None:
+        if self.seen:
+            self.found.append((self.word, 1, self.seen))
+        self.word, self.seen = "", 0
+
+    def read(self, p: pa.StringArray, n: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+        """Take a batch in; returns the single words that end in it, with what this
+        task has seen of each, frequent or not."""
+        rows = len(p)
+        at = np.frombuffer(p.buffers()[1], np.int32)[p.offset : p.offset + rows + 1].astype(np.int64)
+        spaces = np.flatnonzero(np.frombuffer(p.buffers()[2], np.uint8)[: at[-1]] == 32)
+        first = np.searchsorted(spaces, at)
+        self.n, self.words = n, np.diff(first)
+        self.heads, self.new = [None], [None]
+        for d in range(1, self.most + 1):
+            ends = np.where(self.words >= d, spaces[np.minimum(first[:-1] + d - 1, len(spaces) - 1)] + 1, at[1:])
+            # Each pointer cut in two, and the first parts taken.
+            cuts = np.append(np.stack([at[:-1], ends], axis=1).ravel(), at[-1]).astype(np.int32)
+            both = pa.StringArray.from_buffers(2 * rows, pa.py_buffer(cuts), p.buffers()[2])
+            head = both.take(pa.array(np.arange(0, 2 * rows, 2)))
+            self.heads.append(head)
+            self.new.append(np.append(True, pc.not_equal(head[1:], head[:-1]).to_numpy(zero_copy_only=False)))
+        units = np.append(np.flatnonzero(self.new[2]), rows)
+        sums = np.add.reduceat(n, units[:-1])
+        edge = {0, len(sums) - 1}
+        for u in sorted(edge):
+            for pointer, k in zip(p[units[u] : units[u + 1]].to_pylist(), n[units[u] : units[u + 1]].tolist(), strict=True):
+                self._read(pointer, k)
+        for u in np.flatnonzero((sums >= self.least) & (self.words[units[:-1]] > 1)).tolist():
+            if u not in edge:
+                self._grow(int(units[u]), int(units[u + 1]), 2, int(sums[u]))
+        starts = np.flatnonzero(self.new[1])
+        seen = np.add.reduceat(n, starts)
+        names = self.heads[1].take(pa.array(starts))
+        self._single(names[0].as_py(), int(seen[0]))
+        if len(starts) > 1:
+            self._single(names[-1].as_py(), int(seen[-1]))
+        return names[1:-1], seen[1:-1]
+
+    def end(self) -> None:
+        self._close(0)
+        self.end_word()
+
 
 def frequent_phrases(docs: DataFrame, text_col: str, group: Column, most: int, least: int) -> tuple[DataFrame, DataFrame]:
     """(``g``, ``p``, ``k`` words, ``f``) of all contiguous phrases of up to ``most`` words
     that occur ``least`` times, and (``g``, ``n``): all words of each group. Written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, now = Growth(most, least), None
+        state = Growth(most, least)
+        names = ["p", "k", "f"]
 
-        def out() -> pa.RecordBatch:
-            p, k, f = zip(*state.found, strict=True)
-            state.found.clear()
-            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(now), len(p)), pa.array(p, pa.binary()).cast(pa.string()), pa.array(k, pa.int32()), pa.array(f, pa.int64())], names=["g", "p", "k", "f"])
+        def out() -> Iterator[pa.RecordBatch]:
+            if state.found:
+                p, k, f = zip(*state.found, strict=True)
+                state.found.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(k, pa.int32()), pa.array(f, pa.int64())], names=names)
 
         for batch in batches:
-            for g, p, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if g != now or len(state.found) >= 1 << 16:
-                    if g != now:
-                        state.back_to(0)
-                    if state.found:
-                        yield out()
-                    now = g
-                state.read(p, n)
-        state.back_to(0)
-        if state.found:
-            yield out()
-
-    first = F.substring_index(F.col("p").cast("string"), " ", 2)
-    dealt = pointers(docs, text_col, group, most).repartition("g", first).sortWithinPartitions("g", "p")
-    grown = materialize(dealt.mapInArrow(run, "g string, p string, k int, f long"), "grown")
-    single = grown.where("k = 1").groupBy("g", "p").agg(F.sum("f").alias("f"))
-    totals = single.groupBy("g").agg(F.sum("f").alias("n"))
-    longer = grown.where("k > 1")
-    return materialize(longer.union(single.where(F.col("f") >= least).select("g", "p", F.lit(1).alias("k"), "f")), "frequent"), totals
+            if batch.num_rows:
+                words, seen = state.read(batch.column(0), batch.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.ones(len(words), np.int32)), pa.array(seen)], names=names)
+                yield from out()
+        state.end()
+        yield from out()
+
+    dealt = pointers(docs, text_col, group, most).repartition(F.substring_index("p", " ", 2)).sortWithinPartitions("p")
+    grown = materialize(dealt.mapInArrow(run, "p string, k int, f long"), "grown")
+    single = grown.where("k = 1").groupBy("p").agg(F.sum("f").alias("f"))
+    parts = [F.unhex(F.substring_index("p", "\n", 1)).cast("string").alias("g"), F.rtrim(F.substring_index("p", "\n", -1)).alias("p")]
+    totals = single.select(parts[0], "f").groupBy("g").agg(F.sum("f").alias("n"))
+    every = grown.where("k > 1").union(single.where(F.col("f") >= least).select("p", F.lit(1).alias("k"), "f"))
+    return materialize(every.select(*parts, "k", "f"), "frequent"), totals
 
 
 def _counts_of(rows: DataFrame, part: str, out: str, frequent: DataFrame, hot: DataFrame) -> DataFrame:
