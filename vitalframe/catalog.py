@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import privacy, scores
 from .functions.patterns import PATTERNS
 from .functions.values import infer_type, is_empty
-from .operators import compare, drift, filters, profile, quality, relations, sampling, walk
+from .operators import compare, drift, filters, profile, quality, relations, runs, sampling, walk
 from .plans import analyze
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -504,16 +504,104 @@ def asof_run_delta(spark, d):
     return drift.as_of(runs)
 
 
-_RUNS = "SELECT 'row_count' AS metric, 'orders' AS object, '' AS path, 100.0 AS old, 60.0 AS new UNION ALL SELECT 'coverage', 'orders', 'a', 99.0, 70.0 UNION ALL SELECT 'coverage', 'orders', 'b', 90.0, 91.0 UNION ALL SELECT 'dqi', '', '', 90.0, 86.0 UNION ALL SELECT 'orphan_pct', 'orders', 'c', 0.0, 1.0"
+# Runs made of days: what came of each event type, who sent it, and how many values are above 20. Of
+# the 30th, two thirds of some types are missing; every sixth day counts as a breach.
+_LOST = "NOT (day(ts) = 30 AND event_id % 3 <> 0 AND event_type < 'm')"
+_DAYS = f"""WITH d AS (SELECT strftime(ts, '%Y%m%d') AS tag, event_type AS object, count(*)::DOUBLE AS n, count(DISTINCT user_id)::DOUBLE AS users, 100.0 * count(*) FILTER (value > 20) / count(*) AS filled FROM events WHERE {_LOST} GROUP BY 1, 2),
+v AS (SELECT tag, object, n, unnest(['row_count', 'coverage', 'distinct']) AS metric, unnest(['', 'value', 'user_id']) AS path, unnest([n, filled, users]) AS value FROM d)"""
+_SE = "100 * sqrt(greatest(({p}) / 100 * (1 - ({p}) / 100), 1 / (4 * {n} * {n})) / {n})"
+_MOVED = f"""j AS (SELECT c.metric, c.object, c.path, c.n AS n_new, r.n AS n_old, r.value AS old, c.value AS new, abs(c.value - r.value) AS gap, CASE WHEN r.value <> 0 THEN abs(c.value - r.value) / abs(r.value) * 100 ELSE 100 END AS pct FROM v c JOIN v r USING (metric, object, path) WHERE c.tag = {{now}} AND r.tag = {{then}}),
+t AS (SELECT metric AS kind, object, path, old, new, CASE WHEN new < old THEN 'drop' WHEN new > old THEN 'increase' ELSE 'unchanged' END AS direction, CASE
+ WHEN metric = 'row_count' AND new < old THEN CASE WHEN pct >= 25 THEN 'fail' WHEN pct >= 10 THEN 'warn' ELSE 'ok' END
+ WHEN metric = 'row_count' AND new > old THEN CASE WHEN pct >= 200 THEN 'fail' WHEN pct >= 50 THEN 'warn' ELSE 'ok' END
+ WHEN least(n_old, n_new) < 20 THEN 'ok'
+ WHEN metric = 'coverage' THEN CASE WHEN gap <= 3 * sqrt(power({_SE.format(p="(old + new) / 2", n="n_old")}, 2) + power({_SE.format(p="(old + new) / 2", n="n_new")}, 2)) OR gap < 1 OR pct < CASE WHEN new < old THEN 25 ELSE 50 END THEN 'ok' ELSE 'fail' END
+ WHEN metric = 'distinct' AND gap >= 3 AND pct >= 25 THEN 'warn' ELSE 'ok' END AS severity FROM j)"""
+_FIRST, _LAST, _BEFORE = "(SELECT min(tag) FROM v)", "(SELECT max(tag) FROM v)", "(SELECT max(tag) FROM v WHERE tag < (SELECT max(tag) FROM v))"
+_TOLD = "kind, object, path, severity, round(old, 6) AS old, round(new, 6) AS new, direction"
+
+
+def _days(spark, d):
+    e = table(spark, d, "events").where("not (day(ts) = 30 and event_id % 3 <> 0 and event_type < 'm')")
+    day = e.groupBy(F.date_format("ts", "yyyyMMdd").alias("tag"), F.to_date("ts").alias("run_date"), F.col("event_type").alias("object")).agg(
+        F.count("*").cast("double").alias("n"), F.countDistinct("user_id").cast("double").alias("users"), (100.0 * F.count_if(F.col("value") > 20) / F.count("*")).alias("filled")
+    )
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(p).alias("path"), F.col(c).alias("value")) for m, p, c in (("row_count", "", "n"), ("sampled", "", "n"), ("coverage", "value", "filled"), ("distinct", "user_id", "users"))))
+    return day.select("tag", "run_date", "object", F.explode(each).alias("m")).select("tag", "run_date", "m.metric", "object", "m.path", "m.value", (F.dayofmonth("run_date") % 6 == 0).alias("breached"))
+
+
+def _day_findings(spark, d, mode):
+    """The last day against the day before, the first day, or bands of all days before."""
+    v = _days(spark, d)
+    tags = sorted(r["tag"] for r in v.select("tag").distinct().collect())  # a row per day
+    of = lambda t: v.where(F.col("tag") == t).select("metric", "object", "path", "value")
+    reference = runs.Stored(of(tags[0] if mode.startswith("baseline") else tags[-2]), None, None)
+    past = runs.Past(reference, mode=mode, metrics=v.where(F.col("tag") < tags[-1]), recent=tags[-2::-1])
+    return runs.metric_findings(of(tags[-1]), past).withColumns({c: F.round(c, 6) for c in ("old", "new", "lower", "upper")})
+
+
+@query(f"{_DAYS}, {_MOVED.format(now=_LAST, then=_BEFORE)} SELECT {_TOLD} FROM t WHERE severity <> 'ok'")
+def drift_previous(spark, d):
+    return _day_findings(spark, d, "previous").select("kind", "object", "path", "severity", "old", "new", "direction")
+
+
+@query(f"{_DAYS}, {_MOVED.format(now=_LAST, then=_FIRST)} SELECT {_TOLD} FROM t WHERE severity <> 'ok'")
+def drift_baseline(spark, d):
+    return _day_findings(spark, d, "baseline:first").select("kind", "object", "path", "severity", "old", "new", "direction")
+
 
+_MEDIAN = "list_aggregate({x}, 'median')"
+_ROLLED = f"""p AS (SELECT metric, object, path, value, row_number() OVER (PARTITION BY metric, object, path ORDER BY tag DESC) AS back FROM v WHERE tag < {_LAST} AND CAST(tag AS INTEGER) % 100 % 6 <> 0),
+s AS (SELECT metric, object, path, list(value) AS seen FROM p WHERE back <= 14 GROUP BY ALL),
+c AS (SELECT v.*, coalesce(seen, []) AS seen FROM v LEFT JOIN s USING (metric, object, path) WHERE tag = {_LAST}),
+m AS (SELECT *, {_MEDIAN.format(x="seen")} AS median, list_sort(seen)[len(seen) // 2 + 1] AS middle FROM c),
+a AS (SELECT *, {_MEDIAN.format(x="list_transform(seen, lambda x: abs(x - median))")} AS mad, CASE metric WHEN 'coverage' THEN {_SE.format(p="middle", n="n")} ELSE 1.0 END AS floor FROM m),
+g AS (SELECT *, greatest(1.4826 * mad, floor, 0.05 * abs(median)) AS sigma FROM a),
+b AS (SELECT *, greatest(0, least(median - 3 * sigma, list_min(seen) - 0.05 * abs(list_min(seen)))) AS lower, least(CASE metric WHEN 'coverage' THEN 100 ELSE 1e18 END, greatest(median + 3 * sigma, list_max(seen) + 0.05 * abs(list_max(seen)))) AS upper FROM g)"""
 
-@query(f"SELECT metric, object, path, old, new, new - old AS delta, CASE WHEN metric = 'row_count' THEN 'fail' WHEN path = 'a' THEN 'fail' WHEN path = 'b' THEN 'ok' ELSE 'warn' END AS severity FROM ({_RUNS})")
+
+@query(f"""{_DAYS}, {_MOVED.format(now=_LAST, then=_BEFORE)}, {_ROLLED}
+SELECT metric AS kind, object, path, CASE WHEN abs(value - median) / sigma > 3 THEN 'fail' ELSE 'warn' END AS severity, round(median, 6) AS old, round(value, 6) AS new, CASE WHEN value < median THEN 'drop' ELSE 'increase' END AS direction, round(lower, 6) AS lower, round(upper, 6) AS upper, 'rolling' AS scope FROM b WHERE len(seen) >= 3 AND NOT value BETWEEN lower AND upper
+UNION ALL SELECT {_TOLD}, NULL, NULL, 'builtin' FROM t JOIN b ON b.metric = t.kind AND b.object = t.object AND b.path = t.path WHERE len(seen) < 3 AND severity <> 'ok'""".replace(f"SELECT {_TOLD}, NULL", "SELECT t.kind, t.object, t.path, t.severity, round(t.old, 6), round(t.new, 6), t.direction, NULL"))
+def drift_rolling(spark, d):
+    return _day_findings(spark, d, "rolling").select("kind", "object", "path", "severity", "old", "new", "direction", "lower", "upper", "scope")
+
+
+@query(f"{_DAYS}, {_ROLLED} SELECT metric, object, path, CAST(len(seen) AS INTEGER) AS n, round(value, 6) AS value, round(lower, 6) AS lower, round(upper, 6) AS upper, CASE WHEN len(seen) < 3 THEN 'cold' WHEN value BETWEEN lower AND upper THEN 'ok' WHEN abs(value - median) / sigma > 3 THEN 'fail' ELSE 'warn' END AS severity FROM b")
+def rolling_scores(spark, d):
+    """Every series of the last day with its learned band, in order or not."""
+    v = _days(spark, d)
+    last = v.agg(F.max("tag")).first()[0]
+    got = runs.scored_by_bands(v.where(F.col("tag") == last).select("metric", "object", "path", "value"), v.where(F.col("tag") < last), drift.Rules())
+    return got.select("metric", "object", "path", F.col("n").cast("int").alias("n"), *(F.round(c, 6).alias(c) for c in ("value", "lower", "upper")), "severity")
+
+
+@query(f"{_DAYS}, {_MOVED.format(now=_LAST, then=_BEFORE)} SELECT kind AS metric, object, path, old, new, new - old AS delta, severity FROM t")
 def threshold_findings(spark, d):
-    rows = [("row_count", "orders", "", 100.0, 60.0), ("coverage", "orders", "a", 99.0, 70.0), ("coverage", "orders", "b", 90.0, 91.0), ("dqi", "", "", 90.0, 86.0), ("orphan_pct", "orders", "c", 0.0, 1.0)]
-    m = spark.createDataFrame(rows, "metric string, object string, path string, old double, new double")
-    n = spark.createDataFrame([("sampled", "orders", "", 1000.0)], "metric string, object string, path string, value double")
-    side = lambda c: m.select("metric", "object", "path", F.col(c).alias("value")).union(n)
-    return drift.threshold_findings(side("new"), side("old")).drop("direction", "threshold", "scope")
+    """All metrics of the last day against the day before, also those that are in order."""
+    v = _days(spark, d)
+    tags = sorted(r["tag"] for r in v.select("tag").distinct().collect())[-2:]  # a row per day
+    side = lambda t: v.where(F.col("tag") == t).select("metric", "object", "path", "value")
+    return drift.threshold_findings(side(tags[1]), side(tags[0])).drop("direction", "threshold", "scope")
+
+
+_CDF = "CASE WHEN len(list_filter({q}, lambda v: v {op} x)) = 0 THEN 0 WHEN len(list_filter({q}, lambda v: v {op} x)) = 21 THEN 1 ELSE (len(list_filter({q}, lambda v: v {op} x)) - 1) * 0.05 + 0.05 * (x - {q}[len(list_filter({q}, lambda v: v {op} x))]) / ({q}[len(list_filter({q}, lambda v: v {op} x)) + 1] - {q}[len(list_filter({q}, lambda v: v {op} x))]) END"
+_BOTH = ", ".join(f"CASE WHEN i = 1 THEN {_CDF.format(q=q, op='<')} ELSE {_CDF.format(q=q, op='<=')} END AS {q}c" for q in ("o", "n"))
+_LEVELS = str([i / 20 for i in range(21)])
+
+
+@query(f"""WITH q AS (SELECT event_type, quantile_cont(value, {_LEVELS}) FILTER (event_id % 5 <> 0) AS o, quantile_cont(value * 1.3, {_LEVELS}) FILTER (event_id % 5 = 0) AS n FROM events GROUP BY 1),
+e AS (SELECT *, list_sort(list_distinct(list_transform(range(1, 22, 2), lambda i: o[i]))) AS e FROM q),
+x AS (SELECT event_type, o, n, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM e),
+c AS (SELECT event_type, i, {_BOTH} FROM x UNION ALL SELECT event_type, len(e) + 1, 1, 1 FROM e),
+s AS (SELECT event_type, greatest(greatest(oc - lag(oc, 1, 0) OVER w, 0), 1e-4) AS a, greatest(greatest(nc - lag(nc, 1, 0) OVER w, 0), 1e-4) AS b FROM c WINDOW w AS (PARTITION BY event_type ORDER BY i))
+SELECT event_type, round(sum((b - a) * ln(b / a)), 3) AS psi FROM s GROUP BY 1""")
+def quantile_psi(spark, d):
+    """Numeric drift from the 21 quantiles that a run keeps of each number."""
+    e = table(spark, d, "events")
+    of = lambda df, x, name: profile.numeric(df, ["event_type"], x).select("event_type", F.col("quantiles").alias(name))
+    met = of(e.where("event_id % 5 <> 0"), F.col("value"), "o").join(of(e.where("event_id % 5 = 0"), F.col("value") * 1.3, "n"), "event_type")
+    return met.select("event_type", F.round(runs.quantile_psi(F.col("o"), F.col("n")), 3).alias("psi"))
 
 
 _OLD = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 0"
@@ -565,10 +653,14 @@ def coverage_shifts(spark, d):
     return drift.coverage_shifts(compare.profile_diff(of({"orders": a}), of({"orders": b}))).select("path", F.round("old_coverage", 6).alias("old_coverage"), F.round("new_coverage", 6).alias("new_coverage"))
 
 
-@query("SELECT 'customer' AS object, 'removed' AS status UNION ALL SELECT 'orders', 'common' UNION ALL SELECT 'part', 'added'")
+_BY_DAY = "SELECT DISTINCT 'user' || user_id AS object FROM events WHERE day(ts) {w}"
+
+
+@query(f"SELECT coalesce(a.object, b.object) AS object, CASE WHEN b.object IS NULL THEN 'removed' WHEN a.object IS NULL THEN 'added' ELSE 'common' END AS status FROM ({_BY_DAY.format(w='<= 3')}) a FULL JOIN ({_BY_DAY.format(w='>= 28')}) b ON a.object = b.object")
 def object_sets(spark, d):
-    side = lambda *names: spark.createDataFrame([(n,) for n in names], "object string")
-    return compare.object_diff(side("customer", "orders"), side("orders", "part"))
+    """Users of the first and of the last days, as objects of two runs."""
+    side = lambda when: table(spark, d, "events").where(when).select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("object"))
+    return compare.object_diff(side("day(ts) <= 3"), side("day(ts) >= 28"))
 
 
 # ---------------------------------------------------------------- contracts and the whole plan
@@ -696,11 +788,9 @@ def flatten_leaves(spark, d):
     return nested.select(k, leaf["a.b"].cast("long").alias("a_b"), leaf["xs[].s"].alias("xs_first"))
 
 
-@query("SELECT kind, severity, CAST(row_number() OVER () AS INTEGER) AS place FROM (VALUES ('row_count', 'fail'), ('coverage', 'fail'), ('dqi', 'fail'), ('categories_new', 'warn'), ('field_added', 'info')) t(kind, severity)")
+@query(f"{_DAYS}, {_MOVED.format(now=_LAST, then=_FIRST)} SELECT kind, object, path, severity, CAST(row_number() OVER (ORDER BY CASE severity WHEN 'fail' THEN 1 WHEN 'warn' THEN 2 ELSE 3 END, CASE kind WHEN 'row_count' THEN 1 WHEN 'coverage' THEN 2 ELSE 3 END, object, path) AS INTEGER) AS place FROM t WHERE severity <> 'ok'")
 def finding_order(spark, d):
-    rows = [("field_added", "o", "x", "info"), ("dqi", "", "", "fail"), ("coverage", "o", "a", "fail"), ("categories_new", "o", "b", "warn"), ("row_count", "o", "", "fail")]
-    got = drift.ordered(spark.createDataFrame(rows, "kind string, object string, path string, severity string")).collect()
-    return spark.createDataFrame([(r["kind"], r["severity"], i) for i, r in enumerate(got, 1)], "kind string, severity string, place int")
+    return drift.placed(_day_findings(spark, d, "baseline:first")).select("kind", "object", "path", "severity", "place")
 
 
 @query("SELECT s_suppkey, CASE WHEN s_acctbal >= 90 THEN 'A' WHEN s_acctbal >= 80 THEN 'B' WHEN s_acctbal >= 70 THEN 'C' WHEN s_acctbal >= 60 THEN 'D' ELSE 'F' END AS grade FROM supplier")

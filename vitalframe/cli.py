@@ -1,4 +1,4 @@
-"""Command line: analyze, history, drift, scores, schema, compare, ask, glossary."""
+"""Command line: analyze, history, drift, schema, compare, ask, glossary, sources, version."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from datetime import date
 
 from . import session
-from .operators import compare, contract, drift, profile
+from .operators import compare, contract, drift, profile, runs
 from .operators.filters import flatten, run_query
 from .plans import analyze, decide
 from .sinks import history, notify, report
@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--tag")
     a.add_argument("--out")
     a.add_argument("--rules", help="drift rules, JSON or YAML")
+    a.add_argument("--compare-to", help="previous, baseline:<tag> or rolling; the rules' compare_to unless given")
     a.add_argument("--fail-on", default="never", choices=("never", "warn", "fail"))
     a.add_argument("--min-score")
     a.add_argument("--max-drop")
@@ -107,8 +108,8 @@ def _run(args: argparse.Namespace) -> int:
         return 0
     if args.command == "drift":
         h = history.History(spark, args.root)
-        found = drift.threshold_findings(h.read("metrics", args.new).drop("breached", "run_date"), h.read("metrics", args.old).drop("breached", "run_date"))
-        rows = [r.asDict() for r in found.where("severity != 'ok'").collect()]  # findings are few
+        found = runs.findings(h.stored(args.new), runs.Past(h.stored(args.old), args.old))
+        rows = [r.asDict() for r in drift.ordered(found).collect()]  # findings are few
         print(json.dumps(rows, indent=1, default=str))
         return decide.EXIT_FAIL if any(r["severity"] == "fail" for r in rows) else decide.EXIT_OK
     if args.command == "compare":
@@ -128,22 +129,17 @@ def _run(args: argparse.Namespace) -> int:
         print(json.dumps(contract.infer(run.profile, run.counts), indent=1))
         return 0
     rules = drift.Rules(contract.drift_config(expected, _config(args.rules)))
-    run = analyze.analyze(tables, args.as_of, expected, rules=rules, pii_ignore=args.pii_ignore)
     tag = args.tag or args.as_of
+    h = history.History(spark, args.history) if args.history else None
+    past = h.past(args.compare_to or rules.mode, tag, args.as_of, int(rules.rolling["window"])) if h else None
+    run = analyze.analyze(tables, args.as_of, expected, past, rules, pii_ignore=args.pii_ignore)
     summary = report.run_summary(run, tag, args.as_of)
     before: dict[str, float] = {}
-    if args.history:
-        h = history.History(spark, args.history)
-        past = [t for t, _ in h.runs() if t != tag]
-        if past:
-            old = h.read("metrics", past[0])
-            found = drift.threshold_findings(run.metrics, old.drop("breached", "run_date"), rules).where("severity != 'ok'").collect()  # findings are few
-            run.findings += [{"kind": r["metric"], "object": r["object"], "path": r["path"], "severity": r["severity"]} for r in found]
-            before = {("dqi" if not r["path"] else r["path"]) if r["metric"] == "dqi" else "health": r["value"] for r in old.where("object = '' and metric in ('dqi', 'health')").collect()}
-            summary["drift"] = next((s for s in ("fail", "warn") if any(f["severity"] == s for f in run.findings)), "ok")
-        breached = [(f["kind"], f["object"], f["path"]) for f in run.findings if f["severity"] == "fail"]
-        low = run.masked_values().join(run.profile.where("low_cardinality").select("object", "path"), ["object", "path"]).select("object", "path", "value")
-        h.save(tag, args.as_of, run.metrics, run.profile, low, breached, {"health": run.health})
+    if h:
+        if past and past.reference:
+            old = past.reference.metrics.where("object = '' and metric in ('dqi', 'health')").collect()  # a row per dimension
+            before = {("dqi" if not r["path"] else r["path"]) if r["metric"] == "dqi" else "health": r["value"] for r in old}
+        h.save_run(tag, args.as_of, run.stored, run.findings, {"health": run.health})
     if args.out:
         report.write_artifacts(args.out, summary, run.findings, run.checks)
     print(json.dumps(summary, indent=1, default=str))

@@ -7,12 +7,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import privacy
 from ..functions.names import is_identifier
-from ..operators import compare, contract, drift, profile, quality, relations, walk
+from ..operators import compare, contract, drift, profile, quality, relations, runs, walk
+from ..session import settle
 from . import decide
 
 MASK_CONFIDENCE = privacy.HIGH_RISK
@@ -20,8 +21,8 @@ MASK_CONFIDENCE = privacy.HIGH_RISK
 
 @dataclass
 class Run:
-    """Tables and decisions of one analysis; ``counts`` holds raw values and is
-    never written, the other tables are."""
+    """Tables and decisions of one analysis. ``counts`` and ``profile`` hold raw values
+    and are never written; ``stored`` is what may be."""
 
     rows: DataFrame
     counts: DataFrame
@@ -32,6 +33,7 @@ class Run:
     keys: dict[str, list[str]]
     health: dict[str, Any]
     metrics: DataFrame
+    stored: runs.Stored
     findings: list[dict] = field(default_factory=list)
     checks: list[dict] = field(default_factory=list)
     actions: list[dict] = field(default_factory=list)
@@ -121,67 +123,50 @@ def analyze(
     tables: Mapping[str, DataFrame],
     as_of: str,
     expected: Sequence[contract.ExpectedObject] = (),
-    reference: Run | None = None,
+    reference: Run | runs.Past | None = None,
     rules: drift.Rules | None = None,
     pii_ignore: Sequence[str] = (),
     pii_force: Mapping[str, str] | None = None,
 ) -> Run:
-    """Analyse a set of tables. Value counts are kept (memory and disk) while the
-    run lives; call ``counts.unpersist()`` when done."""
+    """Analyse a set of tables, and judge them against ``reference``: another run of
+    this session, or stored runs (``History.past``). Value counts are kept (memory and
+    disk) while the run lives; call ``counts.unpersist()`` when done."""
     # A mark of its own: a later run over the same paths must not meet this run's cache.
     counts = counts_of(tables).withColumn("run", F.lit(uuid.uuid4().hex)).drop("run").persist()
     rows = row_counts(tables)
-    p = profile.fields(counts, rows).persist()
+    p = settle(profile.fields(counts, rows))
     fields = [r.asDict() for r in p.collect()]  # one row per field
     shown = profile.top_values(counts).select("object", "path", "value")
     acc = quality.accuracy(quality.pattern_conformance(shown))
-    q = quality.object_quality(p, as_of, acc).persist()
-    refs = relations.references(counts, p).persist()
+    q = settle(quality.object_quality(p, as_of, acc))
+    refs = settle(relations.references(counts, p))
     links = [r.asDict() for r in refs.where("rank = 1").collect()]  # one row per reference
     keys = relations.prefer_referenced(relations.primary_keys(tables, p), links)
     pii = detect_pii(counts, p, pii_ignore, pii_force)
-    metrics = run_metrics(p, refs, q, [(x["child"], x["child_path"]) for x in links])
+    metrics = settle(run_metrics(p, refs, q, [(x["child"], x["child_path"]) for x in links]))
     checks = contract.checks(p, counts, expected) if expected else []
+    spark: SparkSession = p.sparkSession
+    personal = [(f["object"], f["field"], f["type"]) for f in pii["fields"] if f["confidence"] >= MASK_CONFIDENCE]
+    personal = spark.createDataFrame(personal, "object string, path string, masked string").groupBy("object", "path").agg(F.min("masked").alias("masked"))
+    linked = spark.createDataFrame([(x["child"], x["child_path"]) for x in links], "object string, path string")
+    kept = settle(runs.stored_profile(counts, p, personal, linked))
+    stored = runs.Stored(metrics, kept, settle(runs.kept_categories(counts, kept)))
     findings: list[dict] = []
+    past: runs.Past | None = None
     if reference is not None:
-        diff = compare.profile_diff(reference.profile, p)
-        gone = diff.where("status != 'common'").select("object", "path")
-        same = drift.renames(diff, reference.counts, counts).persist()
-        moved_to = (rules or drift.Rules()).find("schema")[0].get("field_renamed", "warn")
-        events = drift.schema_findings(diff, rules).select("kind", "object", "path", "severity")
-        events = events.join(F.broadcast(same.select("object", F.explode(F.array("old_path", "new_path")).alias("path"))), ["object", "path"], "left_anti").select("kind", "object", "path", "severity")
-        events = events.unionByName(same.select(F.lit("field_renamed").alias("kind"), "object", F.concat("old_path", F.lit(" -> "), "new_path").alias("path"), F.lit(moved_to).alias("severity")))
-        moved = drift.threshold_findings(metrics, reference.metrics, rules).where("severity != 'ok'").join(F.broadcast(gone), ["object", "path"], "left_anti")
-        shifts = _value_findings(reference, counts, p, rules)
-        all_ = events.unionByName(moved.select(F.col("metric").alias("kind"), "object", "path", "severity")).unionByName(shifts)
-        findings = [r.asDict() for r in drift.ordered(all_).collect()]  # findings are few
+        raw = isinstance(reference, Run)
+        past = runs.Past(reference.stored) if raw else reference
+        same = settle(drift.renames(compare.profile_diff(reference.profile, p), reference.counts, counts)) if raw else None
+        findings = [r.asDict() for r in drift.ordered(runs.findings(stored, past, rules, same)).collect()]  # findings are few
     levels = {s: sum(f["severity"] == s for f in findings) for s in ("fail", "warn", "info")}
     mixed = [r.asDict() for r in profile.mixed_types(p).collect()]  # one row per mixed field
     dqi = q.agg(F.avg("dqi")).first()[0]
     verdict = decide.health(dqi, len(pii["high_risk_fields"]), decide.drift_severity(levels), sum(c["status"] == "fail" for c in checks), len(mixed))
     sparse = [f for f in fields if f["coverage"] < 80]
     actions = decide.next_steps({"pii": pii, "drift": findings, "contract": checks, "references": links, "mixed_types": mixed, "sparse": sparse})
-    spark: SparkSession = p.sparkSession
-    metrics = metrics.union(spark.createDataFrame([("health", "", "", float(verdict["score"]))], "metric string, object string, path string, value double"))
-    return Run(rows, counts, p, q, refs, pii, keys, verdict, metrics, findings, checks, actions)
+    score = spark.createDataFrame([("health", "", "", float(verdict["score"]))], metrics.schema)
+    if past is not None:
+        findings += [r.asDict() for r in runs.metric_findings(score, past, rules).collect()]  # one at most
+    stored.metrics = metrics.union(score)
+    return Run(rows, counts, p, q, refs, pii, keys, verdict, stored.metrics, stored, findings, checks, actions)
 
-
-def _value_findings(reference: Run, counts: DataFrame, p: DataFrame, rules: drift.Rules | None) -> DataFrame:
-    """Category and distribution drift of category-like fields in both runs."""
-    rules = rules or drift.Rules()
-    ids = [r["path"] for r in p.select("path").distinct().collect() if is_identifier(r["path"])]  # one row per name
-    like = lambda x: x.where("low_cardinality").where((F.col("filled") >= rules.min_rows) & (F.col("coverage") >= 1) & (F.col("distinct") < 0.5 * F.col("filled"))).where(~F.map_contains_key("types", "date")).where(~F.col("path").isin(*ids) if ids else F.lit(True)).select("object", "path")
-    both = F.broadcast(like(p).join(like(reference.profile), ["object", "path"], "left_semi"))  # one row per field
-    of = lambda c: c.where("value is not null").join(both, ["object", "path"]).groupBy("object", "path", "value").agg(F.sum("n").alias("n"))
-    changes = drift.category_changes(of(reference.counts), of(counts))
-    total = F.sum("new_n").over(Window.partitionBy("object", "path"))
-    changes = changes.withColumn("total", total)
-    psi = drift.categorical_psi(changes)
-    rule = rules.find("distribution")[0]
-    shift = psi.select(F.lit("distribution").alias("kind"), "object", "path", drift.psi_severity(F.col("psi"), F.col("noise"), float(rule.get("psi_warn", 0.1)), float(rule.get("psi_fail", 0.25))).alias("severity")).where("severity != 'ok'")
-    cat = rules.find("categories")[0]
-    new = changes.where("status = 'new'").groupBy("object", "path").agg(F.min(((F.col("new_n") <= 2) & (F.col("new_share") < 0.01) & (F.col("total") < 1000)).cast("int")).alias("rare"))
-    gone = changes.where("status = 'vanished'").where((F.col("old_share") >= 0.005) & (F.col("old_share") * F.col("total") >= 5)).select("object", "path").distinct()
-    new = new.select(F.lit("categories_new").alias("kind"), "object", "path", F.when(F.col("rare") == 1, "info").otherwise(cat.get("new", "warn")).alias("severity"))
-    gone = gone.select(F.lit("categories_vanished").alias("kind"), "object", "path", F.lit(cat.get("vanished", "warn")).alias("severity"))
-    return shift.unionByName(new).unionByName(gone)

@@ -9,6 +9,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import drift
+from ..operators.runs import Past, Stored
+
 TABLES = ("metrics", "profile", "categories", "meta")
 
 
@@ -28,13 +31,44 @@ class History:
 
     def save(self, tag: str, run_date: str, metrics: DataFrame, profile: DataFrame, categories: DataFrame, breached: Sequence[tuple[str, str, str]] = (), meta: dict[str, Any] | None = None) -> None:
         bad = self.spark.createDataFrame(list(breached), "metric string, object string, path string").distinct().withColumn("breached", F.lit(True))
-        kept = metrics.join(F.broadcast(bad), ["metric", "object", "path"], "left").na.fill(False, ["breached"]).withColumn("run_date", F.to_date(F.lit(run_date)))
+        kept = metrics.join(F.broadcast(bad), ["metric", "object", "path"], "left").na.fill(False, ["breached"]).withColumns({"run_date": F.to_date(F.lit(run_date)), "tag": F.lit(tag)})
         kept.write.mode("overwrite").parquet(self._at("metrics", tag))
         profile.write.mode("overwrite").parquet(self._at("profile", tag))
-        categories.write.mode("overwrite").parquet(self._at("categories", tag))
+        categories.withColumn("tag", F.lit(tag)).write.mode("overwrite").parquet(self._at("categories", tag))
         row = self.spark.createDataFrame([(run_date, json.dumps(meta or {}))], "run_date string, meta string")
         row.coalesce(1).write.mode("overwrite").parquet(self._at("meta", tag))
 
+    def save_run(self, tag: str, run_date: str, stored: Stored, findings: Sequence[dict[str, Any]] = (), meta: dict[str, Any] | None = None) -> None:
+        """Write a run's stored tables. Metrics that failed are marked, so that bands are not
+        learned from them."""
+        failed = [(f["kind"], f["object"], f["path"]) for f in findings if f["severity"] == "fail" and f["kind"] in drift.THRESHOLD_METRICS]
+        self.save(tag, run_date, stored.metrics, stored.profile, stored.categories, failed, meta)
+
+    def stored(self, tag: str) -> Stored:
+        at = lambda table: self.spark.read.parquet(self._at(table, tag))
+        return Stored(at("metrics").select("metric", "object", "path", "value"), at("profile"), at("categories").select("object", "path", "value", "n"))
+
+    def past(self, mode: str = "previous", tag: str | None = None, run_date: str | None = None, window: int = drift.ROLLING["window"]) -> Past | None:
+        """What a run (``tag``, ``run_date``) is compared with: ``previous``, ``baseline:<tag>`` or
+        ``rolling`` (the last run, and bands over all runs before this one). None if
+        there is nothing."""
+        kind, _, wanted = mode.partition(":")
+        if kind not in ("previous", "baseline", "rolling"):
+            raise ValueError(f"unknown mode {mode}: previous, baseline:<tag> or rolling")
+        runs = [(t, d) for t, d in self.runs() if t != tag]
+        if kind == "baseline":
+            found = [t for t, _ in runs if t.lower() == (wanted or "baseline").lower()]
+            if not found:
+                raise ValueError(f"no run {wanted or 'baseline'} in {self.root}")
+            return Past(self.stored(found[0]), found[0], mode)
+        runs = [t for t, d in runs if run_date is None or d <= run_date]
+        if not runs:
+            return None
+        if kind == "previous":
+            return Past(self.stored(runs[0]), runs[0], mode)
+        every = lambda table: self.spark.read.option("mergeSchema", "true").parquet(*(self._at(table, t) for t in runs))
+        return Past(self.stored(runs[0]), runs[0], mode, every("metrics"), runs[:window], every("categories"))
+
     def read(self, table: str, tag: str | None = None) -> DataFrame:
         df = self.spark.read.parquet(self._at(table))
         return df if tag is None else df.where(F.col("run").cast("string") == tag).drop("run")
