@@ -621,6 +621,21 @@ def record_diff_orders(spark, d):
     return compare.record_changes(a, b, ["o_orderkey"]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+_PARTS_OLD = "SELECT l_orderkey % 50 || '|' AS a, l_partkey || '|' || l_suppkey || '|' || l_linenumber || '|' || l_orderkey AS b, l_quantity AS q FROM lineitem WHERE l_orderkey % 10 <> 0"
+_PARTS_NEW = "SELECT CASE WHEN l_orderkey % 50 <> 7 THEN l_orderkey % 50 || '|' END AS a, l_partkey || '|' || l_suppkey || '|' || l_linenumber || '|' || l_orderkey AS b, l_quantity + CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE 0 END AS q FROM lineitem WHERE l_orderkey % 9 <> 0"
+
+
+@query(f"""WITH o AS (SELECT a, b, max(q) AS q FROM ({_PARTS_OLD}) GROUP BY ALL), w AS (SELECT a, b, max(q) AS q FROM ({_PARTS_NEW}) GROUP BY ALL)
+SELECT kind, count(*) AS n FROM (SELECT CASE WHEN w.b IS NULL THEN 'only_in_1' WHEN o.b IS NULL THEN 'only_in_2' WHEN o.q <> w.q THEN 'modified' END AS kind FROM o FULL JOIN w ON o.b = w.b AND o.a IS NOT DISTINCT FROM w.a) WHERE kind IS NOT NULL GROUP BY 1""")
+def record_diff_composite(spark, d):
+    """Keys of two parts, which hold separators and may be null."""
+    li, k = table(spark, d, "lineitem"), F.col("l_orderkey")
+    a, b = F.concat((k % 50).cast("string"), F.lit("|")), F.concat_ws("|", "l_partkey", "l_suppkey", "l_linenumber", "l_orderkey").alias("b")
+    old = li.where("l_orderkey % 10 <> 0").select(a.alias("a"), b, F.col("l_quantity").alias("q"))
+    new = li.where("l_orderkey % 9 <> 0").select(F.when(k % 50 != 7, a).alias("a"), b, (F.col("l_quantity") + F.when(k % 7 == 0, 1).otherwise(0)).alias("q"))
+    return compare.record_changes(old, new, ["a", "b"]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 _SIDE = "SELECT '{c}' AS path, 100.0 * count({c}) / count(*) AS coverage, count(DISTINCT {c}) AS d FROM ({t})"
 
 

@@ -36,9 +36,9 @@ def leaves(df: DataFrame, skip: Sequence[str] = ()) -> list[tuple[str, Column]]:
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``k`` and a map of leaf texts; of repeated keys one row stays (the
-    greatest leaves, so that reruns agree)."""
-    k = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in keys))
+    """``k`` (the key's parts, which stay apart and may be null) and the leaf texts; of
+    repeated keys one row stays (the greatest leaves, so that reruns agree)."""
+    k = F.struct(*(F.col(f"`{c}`").cast("string").alias(f"k{i}") for i, c in enumerate(keys)))
     fields = leaves(df, keys)
     pairs = F.array(*(F.struct(F.lit(p).alias("p"), v.alias("v")) for p, v in fields)) if fields else F.array().cast("array<struct<p:string,v:string>>")
     return df.select(k.alias("k"), pairs.alias("f")).groupBy("k").agg(F.max("f").alias("f"))
@@ -46,9 +46,15 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def record_changes(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per key on one side only (``only_in_1``, ``only_in_2``) or per
-    changed leaf: key, kind, field, old, new."""
-    x, y = _keyed(a, keys).withColumnRenamed("f", "fa"), _keyed(b, keys).withColumnRenamed("f", "fb")
-    met = x.join(y, "k", "full_outer")
+    changed leaf: key, kind, field, old, new. A key of several parts is shown as a JSON
+    list; a null part meets a null part alone."""
+    x, y = _keyed(a, keys).select(F.col("k").alias("ka"), F.col("f").alias("fa")), _keyed(b, keys).select(F.col("k").alias("kb"), F.col("f").alias("fb"))
+    # Parts are compared one by one, null-safely: Spark joins on each of them.
+    same = [F.col(f"ka.k{i}").eqNullSafe(F.col(f"kb.k{i}")) for i in range(len(keys))]
+    met = x.join(y, same, "full_outer")
+    part = lambda i: F.col("k")[f"k{i}"]
+    shown = part(0) if len(keys) == 1 else F.to_json(F.array(*(part(i) for i in range(len(keys)))))
+    met = met.withColumn("k", F.coalesce("ka", "kb")).withColumn("k", shown)
     table = lambda f: F.map_from_entries(f)
     sided = F.when(F.col("fb").isNull(), "only_in_1").when(F.col("fa").isNull(), "only_in_2")
     alone = met.where(sided.isNotNull()).select("k", sided.alias("kind"), *(F.lit(None).cast("string").alias(c) for c in ("field", "old", "new")))

@@ -18,6 +18,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import delimited
 from .registry import Dataset
 
 FORMATS = {".csv", ".json", ".jsonl", ".ndjson", ".xml", ".xlsx", ".xls", ".parquet", ".orc"}
@@ -31,9 +32,13 @@ def _fs(spark: SparkSession, path: str):
 
 
 def head_bytes(spark: SparkSession, path: str, n: int = SNIFF_BYTES) -> bytes:
-    """The first bytes of a file, decompressed if it is gzipped."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n if not path.endswith(".gz") else 1 << 20).alias("c")).first()
-    data = bytes(row["c"]) if row else b""
+    """The first bytes of a file, decompressed if it is gzipped; no more is read."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        data = bytes(stream.readNBytes(n if not path.endswith(".gz") else 1 << 20))
+    finally:
+        stream.close()
     if path.endswith(".gz"):
         import zlib
 
@@ -127,20 +132,49 @@ def sniff(text: str) -> tuple[str, str, bool]:
     try:
         d = csv.Sniffer().sniff(text)
         sep, quote = d.delimiter, d.quotechar or '"'
+        if sep in "\r\n":
+            raise csv.Error("a line break separates no fields")
     except csv.Error:
         sep, quote = ",", '"'
     try:
         header = csv.Sniffer().has_header(text)
-    except csv.Error:
+    except (csv.Error, ValueError):
         header = True
     return sep, quote, header
 
 
+def _dialect(start: str, spec: Mapping[str, Any] | None) -> tuple[str, str, bool]:
+    """As ``sniff``; what ``spec`` says of ``sep``, ``quote`` and ``header`` holds."""
+    found = dict(zip(("sep", "quote", "header"), sniff(start), strict=True))
+    given = {k: v for k, v in (spec or {}).items() if k in found and v is not None}
+    return tuple((found | given).values())
+
+
+def _named(start: str, sep: str, quote: str, header: bool) -> list[str]:
+    """Column names from the first record; repeated and empty ones get their place."""
+    first = next(csv.reader(io.StringIO(start, newline=""), delimiter=sep, quotechar=quote), [])
+    if not header:
+        return [f"col_{i + 1}" for i in range(len(first))]
+    names = [n if n else f"col_{i + 1}" for i, n in enumerate(first)]
+    return [n if names.count(n) == 1 else f"{n}_{i + 1}" for i, n in enumerate(names)]
+
+
 def read_csv(spark: SparkSession, path: str, spec: Mapping[str, Any] | None = None) -> DataFrame:
-    """All columns as strings; without a header they are col_1, col_2, ..."""
-    sep, quote, header = sniff(head_bytes(spark, path).decode("utf-8-sig", "replace"))
-    df = spark.read.csv(path, sep=sep, quote=quote, escape=quote, header=header, inferSchema=False, enforceSchema=False, multiLine=True, nullValue="\u0001", encoding="UTF-8")
-    return df if header else df.toDF(*(f"col_{i + 1}" for i in range(len(df.columns))))
+    """All columns as strings; without a header they are col_1, col_2, ... A file is cut
+    into records by many tasks, whatever line breaks its quotes hold. The header is the first
+    record, and no other row is left out for looking like it."""
+    start = head_bytes(spark, path).decode("utf-8-sig", "replace")
+    sep, quote, header = _dialect(start, spec)
+    names = _named(start, sep, quote, header)
+    if not names:
+        return spark.createDataFrame([], "col_1 string")
+    rows = delimited.records(spark, path, sep, quote)
+    rows = rows.withColumn("text", F.when((F.col("block") == 0) & F.coalesce(F.col("i") == 0, F.lit(True)), F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text")))
+    if header:  # the first record of the file; if it goes on over blocks, it has no number
+        whole = delimited.begins_whole(rows)
+        first = F.col("i").eqNullSafe(F.lit(0) if whole else F.lit(None).cast("long"))
+        rows = rows.where(~((F.col("block") == 0) & first))
+    return delimited.parsed(rows, names, sep, quote)
 
 
 def read_jsonl(spark: SparkSession, path: str, spec: Mapping[str, Any] | None = None) -> DataFrame:
@@ -165,9 +199,28 @@ def _object(v):
     return F.when(F.schema_of_variant(v).startswith("OBJECT"), v).otherwise(F.parse_json(F.concat(F.lit('{"value":'), F.to_json(v), F.lit("}"))))
 
 
+def _row_tag(spark: SparkSession, path: str) -> str:
+    """The name of the first child of a document's element, from the file's start; of
+    the element itself if it has none."""
+    import xml.etree.ElementTree as ET
+
+    pull, open_ = ET.XMLPullParser(["start"]), []
+    try:
+        pull.feed(head_bytes(spark, path))
+        open_ = [e.tag for _, e in pull.read_events()]
+    except ET.ParseError as e:
+        raise ValueError(f"{path} is no XML: {e}") from e
+    if not open_:
+        raise ValueError(f"{path} has no element in its beginning")
+    return open_[min(1, len(open_) - 1)].rpartition("}")[2]
+
+
 def read_xml(spark: SparkSession, path: str, spec: Mapping[str, Any] | None = None) -> DataFrame:
-    """Elements named ``root``; attributes under ``@attributes``, text in ``#text``."""
-    tag = (spec or {}).get("root", "record")
+    """Elements named ``root``, by default the children of the document's element;
+    attributes under ``@attributes``, text in ``#text``."""
+    tag = (spec or {}).get("root") or "*"
+    if tag == "*":
+        tag = _row_tag(spark, path)
     df = spark.read.format("xml").options(rowTag=tag, attributePrefix="@", valueTag="#text", inferSchema="false").load(path)
     attributes = [c for c in df.columns if c.startswith("@")]
     if not attributes:
@@ -175,31 +228,61 @@ def read_xml(spark: SparkSession, path: str, spec: Mapping[str, Any] | None = No
     return df.select(F.struct(*(F.col(f"`{c}`").alias(c[1:]) for c in attributes)).alias("@attributes"), *(F.col(f"`{c}`") for c in df.columns if c not in attributes))
 
 
+def _zip_start(spark: SparkSession, path: str, member: str, size: int = 1 << 16) -> str:
+    """The beginning of a member, unpacked by a task."""
+
+    def start(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for data in pdf["content"]:
+                with zipfile.ZipFile(io.BytesIO(data)) as z, z.open(member) as raw:
+                    yield pd.DataFrame({"v": [raw.read(size)]})
+
+    got = spark.read.format("binaryFile").load(path).select("content").mapInPandas(start, "v binary").first()["v"]
+    return bytes(got).decode("utf-8-sig", "replace")
+
+
 def _zipped(spark: SparkSession, path: str, kind: str, member: str, spec: Mapping[str, Any]) -> DataFrame:
     """A member of a zip archive as lines, read by one task per archive."""
 
-    def lines(batches):
-        import pandas as pd
+    import pandas as pd
+
+    def _packed(texts):
+        held, first, size = [], 0, 0
+        for x in texts:
+            held.append(x)
+            size += len(x)
+            if size > 4 << 20 or len(held) >= 10_000:
+                yield pd.DataFrame({"i": range(first, first + len(held)), "value": held})
+                first, held, size = first + len(held), [], 0
+        if held:
+            yield pd.DataFrame({"i": range(first, first + len(held)), "value": held})
 
+    def lines(batches):
         for pdf in batches:
             for data in pdf["content"]:
                 with zipfile.ZipFile(io.BytesIO(data)) as z, z.open(member) as raw:
-                    text = io.TextIOWrapper(raw, encoding="utf-8-sig")
+                    text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline="\n")
                     if kind == ".json":
-                        yield pd.DataFrame({"value": [text.read()]})
+                        yield pd.DataFrame({"i": [0], "value": [text.read()]})
+                        continue
+                    if kind == ".csv":
+                        yield from _packed(x for k, x in delimited.cut((line.rstrip("\n") for line in text), False, sep, quote))
                         continue
-                    while block := text.readlines(1 << 20):
-                        yield pd.DataFrame({"value": [x.rstrip("\r\n") for x in block]})
+                    yield from _packed(x.rstrip("\r\n") for x in text)
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "value string")
+    sep = quote = ""
+    if kind == ".csv":
+        start = _zip_start(spark, path, member)
+        sep, quote, header = _dialect(start, spec)
+        names = _named(start, sep, quote, header)
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "i long, value string")
     if kind == ".csv":
-        first = "\n".join(r["value"] for r in rows.limit(50).collect())
-        sep, quote, header = sniff(first)
-        names = next(csv.reader([first.split("\n")[0]], delimiter=sep, quotechar=quote))
-        cols = names if header else [f"col_{i + 1}" for i in range(len(names))]
-        schema = ", ".join(f"`{c}` string" for c in cols)
-        parsed = rows.where(F.col("value") != first.split("\n")[0]) if header else rows
-        return parsed.select(F.from_csv("value", schema, {"sep": sep, "quote": quote, "escape": quote}).alias("r")).select("r.*")
+        if not names:
+            return spark.createDataFrame([], "col_1 string")
+        rows = rows.select("i", F.col("value").alias("text"))
+        return delimited.parsed(rows.where("i > 0") if header else rows, names, sep, quote)
     if kind in (".jsonl", ".ndjson"):
         return rows.where(F.trim("value") != "").select(_object(F.parse_json("value")).alias("v"))
     if kind == ".json":
