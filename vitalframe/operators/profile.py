@@ -2,8 +2,8 @@
 
 ``value_counts`` is the one large shuffle, pre-aggregated on the map side by
 (object, path, type, value); coverage, type histograms, exact distinct counts,
-top values and low-cardinality flags all come from it. Quantiles are exact per
-field (``percentile`` merges counts of equal values).
+top values and low-cardinality flags all come from it. Quantiles are exact, and no
+task holds a field's distinct values for them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import coverage_pct
 from ..functions.values import parse_date
+from . import quantiles
 
 LOW_CARDINALITY, TOP_VALUES, EXAMPLES, QUANTILE_STEP = 50, 20, 3, 5
 KEY = ("object", "path")
@@ -69,24 +70,31 @@ def examples(counts: DataFrame, k: int = EXAMPLES) -> DataFrame:
 
 
 def numeric(source: DataFrame, keys: Sequence[str], value: Column, weight: Column | None = None) -> DataFrame:
-    """Count, mean, population deviation, extremes and 21 exact quantiles."""
+    """Count, mean, population deviation, extremes and 21 exact quantiles (see ``quantiles``:
+    they are worked out at once, over a few passes)."""
     w = F.lit(1) if weight is None else weight
-    rows = source.select(*keys, value.cast("double").alias("x"), w.alias("w")).where("x is not null and not isnan(x) and abs(x) < double('infinity')")
-    points = F.array(*(F.lit(q / 100) for q in range(0, 101, QUANTILE_STEP)))
+    rows = source.select(*keys, value.cast("double").alias("x"), w.cast("long").alias("w")).where("x is not null and not isnan(x) and abs(x) < double('infinity')")
     mean = F.sum(F.col("x") * F.col("w")) / F.sum("w")
     square = F.sum(F.col("x") * F.col("x") * F.col("w")) / F.sum("w")
     spread = F.stddev_pop("x") if weight is None else F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
-    return rows.groupBy(*keys).agg(F.sum("w").alias("count"), mean.alias("mean"), spread.alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.percentile("x", points, F.col("w")).alias("quantiles"))
+    out = rows.groupBy(*keys).agg(F.sum("w").alias("count"), mean.alias("mean"), spread.alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return _with_quantiles(out, rows, keys, [q / 100 for q in range(0, 101, QUANTILE_STEP)])
+
+
+def _with_quantiles(out: DataFrame, rows: DataFrame, keys: Sequence[str], points: Sequence[float]) -> DataFrame:
+    """``out``, a row per group, with the exact ``quantiles`` of the rows' ``x``."""
+    found = F.broadcast(quantiles.exact(rows, keys, points).withColumnsRenamed({k: f"__{k}" for k in keys}))  # a row per group
+    return out.join(found, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*(f"__{k}" for k in keys))
 
 
 def numeric_stats(source: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
     """Sample deviation, five quantiles, counts by sign and a skew label."""
-    rows = source.select(*keys, value.cast("double").alias("x")).where("x is not null")
-    q = F.percentile("x", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95, 0.99))))
+    rows = source.select(*keys, value.cast("double").alias("x"), F.lit(1).cast("long").alias("w")).where("x is not null and not isnan(x)")
     out = rows.groupBy(*keys).agg(
-        F.count("*").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stddev"), q.alias("q"),
+        F.count("*").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stddev"),
         F.count_if(F.col("x") == 0).alias("zeros"), F.count_if(F.col("x") < 0).alias("negatives"), F.count_if(F.col("x") > 0).alias("positives"),
     )
+    out = _with_quantiles(out, rows, keys, (0.25, 0.5, 0.75, 0.95, 0.99)).withColumnRenamed("quantiles", "q")
     median = F.col("q")[1]
     label = (
         F.when(F.col("count") < 10, "unknown").when(F.abs(F.col("mean") - median) < 0.01 * F.abs(F.col("mean")), "uniform").when(F.col("mean") > median, "skewed_right").otherwise("skewed_left")
