@@ -464,9 +464,9 @@ def test_legacy_coverage_limits_and_rule_table(spark):
     a = spark.range(100).select(F.when(F.col("id") < 80, "x").alias("f"), F.lit("y").alias("g"))
     b = spark.range(100).select(F.when(F.col("id") < 60, "x").alias("f"), F.when(F.col("id") < 95, "y").alias("g"))
     d = compare.profile_diff(profiled({"o": a})[1], profiled({"o": b})[1])
-    assert [(r["path"], r["scope"]) for r in drift.coverage_breaches(d, {})] == [("f", "default")]
-    assert [(r["path"], r["scope"]) for r in drift.coverage_breaches(d, {"dataset": 50, "fields": {"o": {"g": 2}}})] == [("g", "field")]
-    assert drift.coverage_breaches(d, {}, drops=False) == []
+    assert [(r["path"], r["scope"]) for r in drift.coverage_breaches(d, {}).collect()] == [("f", "default")]
+    assert [(r["path"], r["scope"]) for r in drift.coverage_breaches(d, {"dataset": 50, "fields": {"o": {"g": 2}}}).collect()] == [("g", "field")]
+    assert drift.coverage_breaches(d, {}, drops=False).collect() == []
     rules = drift.Rules({"objects": {"o": {"coverage": {"drop_pct": 5}}}})
     t = {(r["metric"], r["scope"]): r["fired"] for r in drift.rules_in_effect(rules, [{"kind": "coverage", "object": "o", "path": "f", "severity": "fail"}, {"kind": "field_removed", "object": "z", "path": "q", "severity": "fail"}])}
     assert t["coverage", "object"] == 1 and t["coverage", "builtin"] == 0 and t["schema", "builtin"] == 1
