@@ -527,3 +527,10 @@ def test_word_hashes_across_pieces(monkeypatch):
     ngram_join._powers.cache_clear()
     assert ngram_join.word_hashes(text).tolist() == whole
     ngram_join._powers.cache_clear()
+
+
+def test_slots_are_gapless_where_all_sizes_are_zero(spark, monkeypatch):
+    monkeypatch.setattr(splitter_shards, "RANGE_ROWS", 10)
+    records = spark.range(100).select(F.format_string("%04d", F.col("id") * 37 % 100).alias("k"), F.lit(0).cast("long").alias("size")).repartition(4)
+    got = splitter_shards.shard_by_splitters(records, "size", "k", 5).orderBy("k").collect()
+    assert [r["slot"] for r in got] == list(range(100)) and {r["shard"] for r in got} == {0} and set(got[0].asDict()) == {"k", "size", "shard", "slot"}

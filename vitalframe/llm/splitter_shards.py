@@ -15,7 +15,8 @@ records of its shard's ranges before. No window sees more than one range.
 No shard is more than one record's size over its share. Keys should be unique (a
 text hash followed by the id is), so that a hot text can be cut between ids.
 Defined results: an empty table gives no rows; a record larger than a shard's
-share fills one alone and others may then be empty; a null text has size 0
+share fills one alone and others may then be empty; records that all have size 0 are
+one shard; a null text has size 0
 before the constant; a very long one is one record; rows with equal keys (same
 text, same id) are interchangeable and stay in one shard; other columns are
 ignored, whatever their names.
@@ -165,9 +166,10 @@ def shard_by_splitters(records: DataFrame, size: str, key: str, shards: int) ->
     rows = materialize(records, "shard-records")
     whole = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     total = whole["b"]
-    if not total:
-        order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1 if whole["n"] <= RANGE_ROWS else F.monotonically_increasing_id()
-        return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long") if not whole["n"] else order.cast("long")})
+    if not whole["n"]:
+        return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+    if not total:  # nothing to balance: one shard, its ranges of equal counts
+        return shard_by_splitters(rows.withColumn("__one", F.lit(1).cast("long")), "__one", key, 1).drop("__one")
     ranges = min(MOST_RANGES, max(4 * shards, -(-whole["n"] // RANGE_ROWS)))
     bounds, sums = _even_ranges(rows, key, size, total, ranges)
     ends = _shard_ends(rows, key, size, bounds, sums, total, shards)
