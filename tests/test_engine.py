@@ -3,6 +3,7 @@
 import datetime
 import gzip
 import json
+import random
 import statistics
 import zipfile
 
@@ -139,6 +140,26 @@ def test_rolling_band_columns_match(spark):
     assert {r["i"]: r["n"] for r in drift.rolling_bands(left_out, "i", ["k"]).collect()}[7] == 5
 
 
+def test_bands_over_kept_points_of_random_series(spark):
+    rnd = random.Random(12)
+    rows = [(k, i, float(rnd.randrange(100)), rnd.random() < 0.4) for k in "ab" for i in range(60)]
+    got = drift.rolling_bands(spark.createDataFrame(rows, "k string, i int, value double, breached boolean"), "i", ["k"], window=5).collect()
+    for r in got:
+        kept = [v for k, i, v, b in rows if k == r["k"] and i < r["i"] and not b][-5:]
+        assert r["n"] == len(kept) and r["median"] == (statistics.median(kept) if kept else None)
+
+
+def test_as_of_takes_the_newest_run_far_enough_back(spark):
+    first = datetime.date(2024, 1, 1)
+    runs_ = [(f"r{i}", first + datetime.timedelta(days=d)) for i, d in enumerate((0, 0, 1, 3, 8, 9, 40))]
+    got = {(r["tag"], r["days"]): r["ref_tag"] for r in drift.as_of(spark.createDataFrame(runs_, "tag string, day date"), (0, 1, 7)).collect()}
+    for tag, day in runs_:
+        for n in (0, 1, 7):
+            old = [(d, t) for t, d in runs_ if d <= day - datetime.timedelta(days=n)]
+            assert got[tag, n] == (max(old)[1] if old else None)
+    assert len(got) == 21
+
+
 def test_rules_scopes(spark):
     r = drift.Rules({"defaults": {"coverage": {"drop_pct": {"warn": 1, "fail": 50}}}, "objects": {"orders*": {"row_count": {"drop_pct": 5}, "fields": {"addr.*": {"coverage": {"drop_pts": 2}}}}}})
     changes = [("row_count", "orders_eu", "", 100.0, 94.0), ("coverage", "orders", "addr.city", 100.0, 97.0), ("coverage", "other", "x", 100.0, 97.0), ("row_count", "other", "", 100.0, 95.0)]
