@@ -127,13 +127,15 @@ def _read(spark: SparkSession, path: str, kind: str, member: str | None, name: s
     return [(name, spark.read.format(kind[1:]).load(path))]
 
 
+#: What may separate fields; a blank or a letter that comes as often in each line may not.
+DELIMITERS = ",;\t|"
+
+
 def sniff(text: str) -> tuple[str, str, bool]:
     """Separator, quote and whether there is a header, from the start of a file."""
     try:
-        d = csv.Sniffer().sniff(text)
+        d = csv.Sniffer().sniff(text, DELIMITERS)
         sep, quote = d.delimiter, d.quotechar or '"'
-        if sep in "\r\n":
-            raise csv.Error("a line break separates no fields")
     except csv.Error:
         sep, quote = ",", '"'
     try:
