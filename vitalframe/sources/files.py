@@ -18,7 +18,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import delimited
+from . import delimited, json_document
 from .registry import Dataset
 
 FORMATS = {".csv", ".json", ".jsonl", ".ndjson", ".xml", ".xlsx", ".xls", ".parquet", ".orc"}
@@ -187,13 +187,9 @@ def read_jsonl(spark: SparkSession, path: str, spec: Mapping[str, Any] | None =
 
 
 def read_json(spark: SparkSession, path: str, spec: Mapping[str, Any] | None = None) -> DataFrame:
-    """One document; ``root`` is a dotted path to the records in it."""
-    root = (spec or {}).get("root")
-    doc = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("d"))
-    at = doc.select(F.variant_get("d", "$" + "".join(f".{p}" for p in (root or "").split(".") if p), "variant").alias("d"))
-    many = F.schema_of_variant("d").startswith("ARRAY")
-    listed = at.where(many).lateralJoin(spark.tvf.variant_explode(F.col("d").outer())).select(F.col("value").alias("v"))
-    return listed.union(at.where(~many).select("d")).select(_object(F.col("v")).alias("v"))
+    """One document, cut into records by many tasks; ``root`` is a dotted path to them."""
+    root = [p for p in ((spec or {}).get("root") or "").split(".") if p]
+    return json_document.records(spark, path, root).select(_object(F.parse_json("text")).alias("v"))
 
 
 def _object(v):
