@@ -3,8 +3,8 @@
 ``flat_counts`` serves the scalar columns of a typed table: values are counted per
 column in their own types first, and only distinct values are turned into text
 and given a type. ``typed_nodes`` compiles a whole typed schema, nested or not, to
-one projection and one explode. ``variant_nodes`` walks VARIANT values level by
-level, for data whose records differ in shape; a missing key gives no node, an
+one projection and one explode. ``variant_nodes`` walks VARIANT values in one pass,
+for data whose records differ in shape; a missing key gives no node, an
 explicit null one of type ``null``.
 
 A node's ``present`` is 1 once per record and path, and ``empty`` 1 if the record
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import infer_type, is_empty, normalised, string_type
+from ..session import settle
 
 MAX_DEPTH, MAX_ARRAY_DEPTH, LONG_VALUE = 10, 3, 512
 SKIPPED_KEYS = ("_id",)
@@ -175,35 +176,39 @@ def variant_type(v: Column) -> Column:
     return out.when(big, "int").when(kind.startswith("DECIMAL"), "float").otherwise(string_type(text))
 
 
-def variant_nodes(df: DataFrame, obj: str, column: str = "v", max_depth: int = MAX_DEPTH, array_items: int | None = None) -> DataFrame:
-    """Nodes of a VARIANT column, one level of nesting after another.
+def _opened(rows: DataFrame, array_items: int | None) -> DataFrame:
+    """Each row, and what an ``open`` one holds; rows are made and kept in one pass."""
+    twice = rows.select("rid", "path", "arrays", "value", "type", F.explode(F.when(F.col("open"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("below"))
+    inner = twice.sparkSession.tvf.variant_explode_outer(F.when(F.col("below"), F.col("value")).outer())
+    e = twice.lateralJoin(inner.select("pos", "key", F.col("value").alias("item")))
+    item = F.col("item").isNotNull() & (F.col("key").isNull() | ~F.col("key").isin(*SKIPPED_KEYS))
+    if array_items is not None:
+        item &= F.col("key").isNotNull() | (F.col("pos") < array_items)
+    prefix = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit(".")))
+    path = F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).otherwise(F.concat(prefix, F.col("key")))
+    arrays = F.col("arrays") + F.col("key").isNull().cast("int")
+    e = e.where(~F.col("below") | item)
+    pick = lambda new, old: F.when(F.col("below"), new).otherwise(F.col(old)).alias(old)
+    e = e.select("rid", "below", pick(path, "path"), pick(arrays, "arrays"), pick(F.col("item"), "value"), "type")
+    e = e.withColumn("type", F.when(F.col("below"), variant_type(F.col("value"))).otherwise(F.col("type")))
+    return e.select("rid", "path", "arrays", "value", "type", (F.col("below") & F.col("type").isin("object", "array") & (F.col("arrays") < MAX_ARRAY_DEPTH)).alias("open"))
+
 
-    ``df`` is given a record number first; keep it in a table or file, so that
-    reading it twice gives the same rows in the same order.
+def variant_nodes(df: DataFrame, obj: str, column: str = "v", max_depth: int = MAX_DEPTH, array_items: int | None = None) -> DataFrame:
+    """Nodes of a VARIANT column. ``df`` is read once, at any depth: every level passes
+    on the rows it has and adds what lies below the newest, all in one stage. Nodes are
+    then a table in the checkpoint folder, as those inside arrays are counted by record.
     """
-    spark = df.sparkSession
-    level = df.select(F.monotonically_increasing_id().alias("rid"), F.lit("").alias("prefix"), F.lit(0).alias("arrays"), F.col(column).alias("v"))
-    parts: list[DataFrame] = []
+    nodes = df.select(F.monotonically_increasing_id().alias("rid"), F.lit("").alias("path"), F.lit(0).alias("arrays"), F.col(column).alias("value"), F.lit("").alias("type"), F.lit(True).alias("open"))
     for _ in range(max_depth + 1):
-        e = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        if array_items is not None:
-            e = e.where(f"pos is null or pos < {array_items} or key is not null")
-        e = e.where(F.col("value").isNotNull() & (F.col("key").isNull() | ~F.col("key").isin(*SKIPPED_KEYS)))
-        path = F.when(F.col("key").isNull(), F.concat(F.expr("rtrim('.', prefix)"), F.lit("[]"))).otherwise(F.concat("prefix", "key"))
-        e = e.select("rid", path.alias("path"), (F.col("arrays") + F.col("key").isNull().cast("int")).alias("arrays"), "value", variant_type(F.col("value")).alias("type"))
-        parts.append(e)
-        level = e.where(F.col("type").isin("object", "array") & (F.col("arrays") < MAX_ARRAY_DEPTH)).select("rid", F.concat("path", F.lit(".")).alias("prefix"), "arrays", F.col("value").alias("v"))
-        if level.isEmpty():
-            break
-    nodes = parts[0]
-    for p in parts[1:]:
-        nodes = nodes.unionByName(p)
+        nodes = _opened(nodes, array_items)
+    nodes = nodes.where("type <> ''")  # all but the records themselves
     text = F.when(F.col("type").isin("object", "array", "null"), None).otherwise(F.try_variant_get("value", "$", "string"))
     number = F.when(F.col("type").isin("int", "float"), F.try_variant_get("value", "$", "double"))
     blank = F.to_json("value").isin("null", '""', "[]", "{}")
     # Elements of arrays of objects count under their fields only.
     kept = nodes.where(~(F.col("path").endswith("[]") & (F.col("type") == "object")))
-    flat = kept.select("rid", "path", "type", blank.cast("int").alias("blank"), text.alias("value"), number.alias("number"))
+    flat = settle(kept.select("rid", "path", "type", blank.cast("int").alias("blank"), text.alias("value"), number.alias("number")))
     inside = F.col("path").contains("[]")
     outer = flat.where(~inside).select(F.lit(obj).alias("object"), "path", "type", F.lit(1).alias("present"), F.col("blank").alias("empty"), "value", "number")
     per_record = flat.where(inside).groupBy("rid", "path", "type", "value", "number").agg(F.count("*").alias("n"), F.min("blank").alias("blank"))
