@@ -517,3 +517,21 @@ def test_relationships_and_statistics_of_nothing(spark):
     p = profile.fields(counts, analyze.row_counts({"t": spark.createDataFrame([], "parent_id string")}))
     assert profile.statistics_summary(p).where("object is not null").count() == 0
     assert relations.relationship_summary(relations.relationships(counts, p)).count() == 0
+
+
+def test_streamed_bands_are_those_of_the_table(spark, tmp_path):
+    from vitalframe.operators.drift import rolling_bands
+    from vitalframe.streaming.windows import feed, learned_bands, windowed_profile
+
+    src, out = tmp_path / "in", []
+    kind = "ts timestamp, v string"
+    for part in range(3):  # a file a batch; the last hours fall off
+        rows = [(f"2024-01-01 {h:02d}:{m:02d}:{s:02d}", None if (m + h) % 3 == 0 else "x") for h in range(part * 8, part * 8 + 8) for m in range(0, 60, 5) for s in range(40 if h == 13 else 1 + h % 2)]
+        spark.createDataFrame(rows, "t string, v string").select(F.to_timestamp("t").alias("ts"), "v").coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(kind).parquet(str(src))
+        feed(learned_bands(windowed_profile(stream, "ts", ["v"]), window=5), lambda df, i: out.extend(df.collect()), str(tmp_path / "cp")).awaitTermination(180)
+    table = rolling_bands(windowed_profile(spark.read.schema(kind).parquet(str(src)), "ts", ["v"]), "window_start", ["metric", "path"], window=5)
+    of = lambda rs: {(r["metric"], r["path"], r["window_start"]): (r["value"], r["severity"], r["lower"], r["upper"], r["n"]) for r in rs}
+    got, want = of(out), of(table.collect())
+    assert len(got) == len(out) >= 2 * 20 and got == {k: want[k] for k in got}
+    assert {"cold", "ok", "fail"} <= {v[1] for v in got.values()}

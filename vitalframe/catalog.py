@@ -726,6 +726,26 @@ def windowed_profile_events(spark, d):
     return windowed_profile(table(spark, d, "events"), "ts", ["event_type"])
 
 
+_STREAMED = """WITH h AS (SELECT date_trunc('hour', ts) AS window_start, count(*)::DOUBLE AS value FROM events WHERE ts IS NOT NULL GROUP BY 1),
+s AS (SELECT window_start, value, coalesce(list(value) OVER (ORDER BY window_start ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING), []) AS seen FROM h),
+m AS (SELECT *, list_aggregate(seen, 'median') AS median FROM s),
+d AS (SELECT *, list_aggregate(list_transform(seen, lambda x: abs(x - median)), 'median') AS mad FROM m),
+g AS (SELECT *, CASE WHEN greatest(1.4826 * mad, 0.05 * abs(median)) = 0 THEN 1e-9 ELSE greatest(1.4826 * mad, 0.05 * abs(median)) END AS sigma FROM d),
+b AS (SELECT *, least(median - 3 * sigma, list_min(seen) - 0.05 * abs(list_min(seen))) AS lower, greatest(median + 3 * sigma, list_max(seen) + 0.05 * abs(list_max(seen))) AS upper FROM g)
+SELECT 'row_count' AS metric, window_start, value, round(lower, 6) AS lower, round(upper, 6) AS upper, CASE WHEN len(seen) < 3 THEN 'cold' WHEN value BETWEEN lower AND upper THEN 'ok' WHEN abs(value - median) / sigma > 3 THEN 'fail' ELSE 'warn' END AS severity
+FROM b WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+
+
+@query(_STREAMED)
+def streamed_bands_events(spark, d):
+    """Events as a stream: row counts of finished hours against the bands they teach."""
+    from .streaming.windows import finished, learned_bands, windowed_profile
+
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = finished(learned_bands(windowed_profile(stream, "ts", ["event_type"])))
+    return got.where("metric = 'row_count'").select("metric", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "value", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), "severity")
+
+
 @query("SELECT sum(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) / count(*) * 100 AS coverage FROM orders")
 def coverage_expression(spark, d):
     return table(spark, d, "orders").agg(scores.coverage_pct(F.count_if(F.col("o_orderstatus") == "F"), F.count("*")).alias("coverage"))
