@@ -6,6 +6,7 @@ rule, the same way on both sides.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import privacy, scores
 from .functions.patterns import PATTERNS
 from .functions.values import infer_type, is_empty
-from .operators import compare, drift, filters, profile, quality, relations, runs, sampling, walk
+from .operators import compare, drift, filters, keys, profile, quality, relations, runs, sampling, walk
 from .plans import analyze
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -402,6 +403,35 @@ def key_uniqueness(spark, d):
     return out
 
 
+# Orders by the parts of their key in mixed radix: it takes all four to tell them apart.
+_RADIX = (("ka", 1, 7), ("kb", 7, 11), ("kc", 77, 13), ("kd", 1001, None))
+_PLANTED = "SELECT {parts}, o_orderstatus FROM orders".format(parts=", ".join(f"{f'(o_orderkey // {by}) % {of}' if of else f'o_orderkey // {by}'} AS {n}" for n, by, of in _RADIX))
+KEY_FIELDS = {
+    "conversations": ("role", "turn", "conv_id"),
+    "lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity"),
+    "planted": ("o_orderstatus", "ka", "kb", "kc", "kd"),
+}
+
+
+def _all_sets(name: str, source: str, fields: tuple[str, ...]) -> str:
+    """Counts of every set of fields, in the order in which sets are preferred."""
+    sets = [s for k in range(1, len(fields) + 1) for s in itertools.combinations(fields, k)]
+    one = "SELECT '{name}' AS object, {i} AS place, '{key}' AS key_fields, (SELECT count(*) FROM {source}) AS rows, (SELECT count(*) FROM (SELECT DISTINCT {cols} FROM {source})) AS distinct_keys"
+    return " UNION ALL ".join(one.format(name=name, i=i, key=",".join(s), cols=", ".join(s), source=source) for i, s in enumerate(sets))
+
+
+@query("WITH c AS (" + " UNION ALL ".join(_all_sets(t, f"({_PLANTED})" if t == "planted" else t, f) for t, f in KEY_FIELDS.items()) + ") SELECT object, arg_min(key_fields, place) AS key_fields, arg_min(distinct_keys, place) AS distinct_keys, any_value(rows) AS rows FROM c WHERE distinct_keys >= 0.95 * rows GROUP BY object")
+def composite_key_check(spark, d):
+    planted = table(spark, d, "orders").selectExpr(*(f"o_orderkey div {by}{f' % {of}' if of else ''} AS {n}" for n, by, of in _RADIX), "o_orderstatus")
+    out = spark.createDataFrame([], "object string, key_fields string, distinct_keys bigint, rows bigint")
+    for name, fields in KEY_FIELDS.items():
+        df = planted if name == "planted" else table(spark, d, name)
+        found = keys.find_key(df, fields, 0.95)
+        if found:
+            out = out.union(relations.uniqueness(df, found).select(F.lit(name).alias("object"), F.lit(",".join(found)).alias("key_fields"), F.col("distinct").alias("distinct_keys"), "rows"))
+    return out
+
+
 # ---------------------------------------------------------------- sampling, filters, SQL
 
 

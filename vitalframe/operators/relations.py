@@ -8,13 +8,13 @@ hold it. Where a pair of fields is named, ``integrity`` is a plain left join.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import identifier_bias, is_audit, useless_for_joins
+from .keys import find_key
 
 SIGNATURES = ("uuid", "numeric_id", "email", "url", "date", "int", "float", "string")
 
@@ -160,31 +160,31 @@ def uniqueness(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("distinct"), F.count_if(F.col("n") > 1).alias("repeated")).withColumn("unique", F.col("rows") == F.col("distinct"))
 
 
-def primary_keys(tables: Mapping[str, DataFrame], profile: DataFrame, most_fields: int = 6) -> dict[str, list[str]]:
+def primary_keys(tables: Mapping[str, DataFrame], profile: DataFrame, least: float = 0.95) -> dict[str, list[str]]:
     """A key per object. A field that is nearly always filled and nearly always
     different is one; identifier-like names come first, then the more distinct.
-    Where there is none, pairs and triples of the ``most_fields`` most telling fields
-    are counted as tuples, all in one pass, and the smallest and best-named set that
-    is unique in at least 95 % of rows is taken."""
+    Where there is none, the smallest and best-named set of fields that is unique in
+    at least ``least`` of the rows is taken (``keys.find_key``): of fields filled in half
+    of the rows, or with those that record who and when, where it takes them."""
     flat = profile.where(~F.col("path").rlike(r"[.\[]") & ~F.map_contains_key("types", "object") & ~F.map_contains_key("types", "array") & (F.col("rows") > 0) & (F.col("main_type") != "null"))
-    facts = flat.select("object", "path", "rows", "types", (F.col("coverage") / 100).alias("filled"), (F.col("distinct") / F.col("rows")).alias("ratio")).collect()  # one row per field
+    facts = flat.select("object", "path", "rows", "types", "distinct", (F.col("coverage") / 100).alias("filled"), (F.col("distinct") / F.col("rows")).alias("ratio")).collect()  # one row per field
     out: dict[str, list[str]] = {}
     for obj in sorted({r["object"] for r in facts}):
-        own = [(r["path"], r["filled"], r["ratio"], identifier_bias(r["path"])) for r in facts if r["object"] == obj and not is_audit(r["path"], set(r["types"]))]
-        sure = sorted((-bias, -ratio, -filled, path) for path, filled, ratio, bias in own if filled >= 0.95 and ratio >= 0.95)
+        every = [(r["path"], r["filled"], r["ratio"], identifier_bias(r["path"]), is_audit(r["path"], set(r["types"]))) for r in facts if r["object"] == obj]
+        sure = sorted((-bias, -ratio, -filled, path) for path, filled, ratio, bias, audit in every if not audit and filled >= 0.95 and ratio >= 0.95)
         if sure:
             out[obj] = [sure[0][-1]]
             continue
-        telling = [p for *_, p in sorted((-filled * ratio * bias, p) for p, filled, ratio, bias in own if filled >= 0.5 and ratio > 0)][:most_fields]
-        sets = [c for k in (2, 3) for c in itertools.combinations(telling, k)]
-        if obj not in tables or not sets:
+        if obj not in tables:
             continue
-        whole = tables[obj].agg(F.count("*").alias("n"), *(F.approx_count_distinct(F.struct(*(F.col(f"`{p}`") for p in c)), 0.02).alias(f"k{i}") for i, c in enumerate(sets))).first()
-        likely = [c for i, c in enumerate(sets) if whole["n"] and whole[f"k{i}"] >= 0.9 * whole["n"]]
-        for c in likely[:3]:  # sketches pick, exact counts decide
-            if uniqueness(tables[obj], [f"`{p}`" for p in c]).first()["distinct"] >= 0.95 * whole["n"]:
-                out[obj] = list(c)
-                break
+        held = set(tables[obj].columns)
+        telling = [(audit, p) for audit, _, p in sorted((audit, -filled * ratio * bias, p) for p, filled, ratio, bias, audit in every if filled >= 0.5 and ratio > 0 and p in held)]
+        plain = [p for audit, p in telling if not audit]
+        key = find_key(tables[obj], plain, least)
+        if key is None and len(plain) < len(telling):
+            key = find_key(tables[obj], [p for _, p in telling], least)
+        if key:
+            out[obj] = key
     return out
 
 
