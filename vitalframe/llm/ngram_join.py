@@ -20,7 +20,7 @@ distinct n-word shingles. Steps:
    met the other's; where their components differ, the rest is verified as well.
    This makes the links' components exact.
 
-Shingles are 64-bit hashes of their words; classes are 128-bit. Defined
+Shingles are 64-bit hashes of their words; classes and groups are named by 128 bits. Defined
 results: null or wordless text has an empty set, links with nothing and is its
 own component; with fewer than n words the whole sequence is the one shingle;
 equal rows are copies of one class; component_id is the least id, nulls aside.
@@ -141,12 +141,12 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, freq: Broadcast) -> Da
                     order = np.lexsort((s, f[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))
                     p = s[order[: len(s) + num * -len(s) // den + 1]]
                     cls.append(hashlib.md5(s.tobytes()).digest())
-                    gid.append(int.from_bytes(hashlib.md5(p.tobytes() + len(s).to_bytes(8, "big")).digest()[:8], "big", signed=True))
+                    gid.append(hashlib.md5(p.tobytes() + len(s).to_bytes(8, "big")).digest())
                     prefix.append(p.view(np.int64))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size, pa.int32()), pa.array(cls, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "cls", "gid", "prefix"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size, pa.int32()), pa.array(cls, pa.binary()), pa.array(gid, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "cls", "gid", "prefix"])
 
     id_type = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {id_type}, n int, cls binary, gid long, prefix array<long>")
+    return docs.mapInArrow(run, f"id {id_type}, n int, cls binary, gid binary, prefix array<long>")
 
 
 def _may_link(num: int, den: int) -> Column:
