@@ -33,7 +33,7 @@ from .common import slices
 UNDETERMINED = "und"
 ORDERS, BUCKETS, ALPHA, MAX_LABELS, MAX_CELLS = (1, 2, 3), 1 << 15, 0.5, 1024, 1 << 22
 PIECE = 1 << 17
-_LETTER = regex.compile(r"\p{L}")
+_LETTER, _DIGIT = regex.compile(r"\p{L}"), regex.compile(r"\p{Nd}")
 
 
 def ngram_buckets(text: str, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
@@ -51,10 +51,11 @@ def ngram_buckets(text: str, orders: tuple[int, ...] = ORDERS, buckets: int = BU
 
 
 class LanguageModel:
-    """Labels in sorted order, log priors, and a (labels, buckets) matrix."""
+    """Labels in sorted order, log priors, and a (labels, buckets) matrix; of each label's
+    training n-grams, the mean and the spread of their log-probabilities."""
 
-    def __init__(self, labels: list[str], log_prior: np.ndarray, log_prob: np.ndarray, orders: tuple[int, ...]):
-        self.labels, self.log_prior, self.log_prob, self.orders = labels, log_prior, log_prob, orders
+    def __init__(self, labels: list[str], log_prior: np.ndarray, log_prob: np.ndarray, orders: tuple[int, ...], level: np.ndarray, spread: np.ndarray):
+        self.labels, self.log_prior, self.log_prob, self.orders, self.level, self.spread = labels, log_prior, log_prob, orders, level, spread
 
     def predict_many(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Labels and posteriors of a batch. Its n-grams are the rows of one sparse
@@ -95,6 +96,21 @@ class LanguageModel:
                 out[i] = (self.labels[best[i]], float(sure[i]))
         return out
 
+    def fitness(self, text: str, label: str) -> float:
+        """How well a text reads as its label: its mean log-probability an n-gram, as
+        standard deviations of one n-gram from the mean over the label's training
+        texts. It does not fall with a text's length, as a likelihood does, nor rise
+        with it, as a posterior. Words with digits (numbers, keys, addresses) are in no
+        language and are left out, but for texts that have no other letters."""
+        words = " ".join(w for w in text.split() if not _DIGIT.search(w))
+        k = self.labels.index(label)
+        row, total, size = self.log_prob[k], 0.0, 0
+        for b in ngram_buckets(words if _LETTER.search(words) else text, self.orders, len(row)):
+            total += float(row.take(b).sum())
+            size += len(b)
+        away = total / max(1, size) - self.level[k]
+        return float(away / self.spread[k]) if self.spread[k] > 0 else min(0.0, float(np.sign(round(away, 9))))
+
 
 def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, alpha: float = ALPHA) -> LanguageModel:
     """Learn from all rows of ``train`` whose label and text are not null. The
@@ -128,22 +144,35 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", order
         counts[got["c"].to_numpy(dtype=np.int64)] += got["n"].to_numpy(dtype=np.int64)
     counts = counts.reshape(len(labels), buckets)
     prior = np.array([prior_of[x] for x in labels], float)
-    return LanguageModel(labels, np.log(prior / max(1.0, prior.sum())), np.log(counts / counts.sum(axis=1, keepdims=True)), orders)
-
-
-def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", label_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """Add the predicted label and its posterior to every row of ``df``; columns
-    that have these names already are replaced."""
+    log_prob = np.log(counts / counts.sum(axis=1, keepdims=True))
+    seen = counts - alpha
+    share = seen / np.maximum(1.0, seen.sum(axis=1, keepdims=True))
+    level = (share * log_prob).sum(axis=1)
+    spread = np.sqrt((share * (log_prob - level[:, None]) ** 2).sum(axis=1))
+    return LanguageModel(labels, np.log(prior / max(1.0, prior.sum())), log_prob, orders, level, spread)
+
+
+def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", label_out: str = "lang_pred", score_out: str = "score", fit_out: str | None = None) -> DataFrame:
+    """Add the predicted label and its posterior to every row of ``df``, and with
+    ``fit_out`` how well the text reads as that label (``fitness``; null for ``und``);
+    columns that have these names already are replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # labels x buckets: bounded
-    df = df.drop(label_out, score_out)
-    names = [*df.columns, label_out, score_out]
-    schema = T.StructType([*df.schema.fields, T.StructField(label_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+    added = [T.StructField(label_out, T.StringType()), T.StructField(score_out, T.DoubleType())]
+    added += [T.StructField(fit_out, T.DoubleType())] if fit_out else []
+    df = df.drop(*(f.name for f in added))
+    schema = T.StructType([*df.schema.fields, *added])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_col)
         for batch in batches:
             for piece in slices(batch):
-                found = shared.value.predict_many(piece.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=names)
+                texts = piece.column(at).to_pylist()
+                found = shared.value.predict_many(texts)
+                new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+                if fit_out:
+                    fits = [None if x == UNDETERMINED else shared.value.fitness(t, x) for t, (x, _) in zip(texts, found, strict=True)]
+                    new.append(pa.array(fits, pa.float64()))
+                yield pa.RecordBatch.from_arrays([*piece.columns, *new], names=names)
 
     return df.mapInArrow(run, schema)
