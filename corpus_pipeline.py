@@ -21,6 +21,8 @@ from vitalframe.llm.queries import RANK_FILE
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.5
+#: In standard deviations of an n-gram: texts lie above -1.3, random letters below -1.9.
+LEAST_FIT = -1.75
 BATCH_BYTES, BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _working: list[tuple[SparkSession, str]] = []
@@ -50,12 +52,15 @@ def _stage(f: Stage) -> Stage:
 @_stage
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a recognised language go: null, empty and
-    letterless texts, and those whose posterior is below ``LEAST_SCORE``. Equal
-    rows fare alike; very long texts are scored whole; other columns pass."""
+    letterless texts, those whose posterior is below ``LEAST_SCORE``, and those that
+    read less like their language than ``LEAST_FIT``: random letters, keys, scripts that
+    were not learned. A label learned from few texts fits them and stays. Equal rows
+    fare alike; very long texts are scored whole; other columns pass."""
     model = language_id.fit(docs)
     names = docs.columns
-    labelled = language_id.predict(docs, model, label_out="__pred", score_out="__score")
-    return labelled.where((F.col("__pred") != language_id.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).select(*names)
+    labelled = language_id.predict(docs, model, label_out="__pred", score_out="__score", fit_out="__fit")
+    told = (F.col("__pred") != language_id.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE) & (F.col("__fit") >= LEAST_FIT)
+    return labelled.where(told).select(*names)
 
 
 @_stage
