@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, on awkward rows."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -71,6 +72,23 @@ def test_stages(spark, at, make):
     assert Counter((r["doc_id"], r["n_tokens"]) for r in last) == Counter((r[0], len(enc.encode_ordinary(r[1]))) for r in as_rows(mixed))
 
 
+@pytest.mark.parametrize("labelled", [True, False])
+def test_language_stage_drops_junk_alone(spark, at, labelled):
+    """Junk of several kinds, learned from along with the rest where it is labelled."""
+    rng = random.Random(5)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    consonants, hexes = "bcdfghjklmnpqrstvwxz", "0123456789abcdef"
+    junk = [word(consonants, n) for n in [20, 200] * 15] + [" ".join(word(consonants, rng.randint(3, 8)) for _ in range(30)) for _ in range(20)]
+    junk += ["a" + word(hexes, 63) for _ in range(10)] + [" ".join(word("αβγδεζηθικλμν", 5) for _ in range(30)) for _ in range(10)]
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*C.COLUMNS)
+    planted = spark.createDataFrame([(-1 - i, t, "en" if labelled else None, "a", len(t)) for i, t in enumerate(junk)], clean.schema)
+    docs = at(clean.union(planted))
+    kept = [r["doc_id"] for r in C.STAGES[0][1](spark, docs, "").collect()]
+    lettered = [r["doc_id"] for r in clean.where("text rlike '[A-Za-z]'").collect()]
+    assert sorted(i for i in kept if i >= 0) == sorted(lettered)
+    assert not [junk[-1 - i] for i in kept if i < 0]
+
+
 def test_run_equals_stages_and_repeats(spark, at, tmp_path):
     at(documents(spark))
     one = Counter(map(tuple, C.run(spark, str(tmp_path)).collect()))

@@ -168,6 +168,23 @@ def test_posteriors_against_brute_force(spark, monkeypatch):
             assert label == model.labels[int(logs.argmax())] and math.isclose(score, want.max(), rel_tol=1e-6)
 
 
+def test_fitness_against_brute_force(spark):
+    """Levels, spreads and fitness from n-grams taken one by one."""
+    model = language_id.fit(documents(spark))
+    logs = {x: [] for x in model.labels}
+    grams = lambda t: [_bucket(s[k : k + n]) for s in [f" {t.lower()} "] for n in language_id.ORDERS for k in range(len(s) - n + 1)]
+    for _, t, lang, *_ in rows():
+        if t is not None and lang is not None:
+            logs[lang] += model.log_prob[model.labels.index(lang)][grams(t)].tolist()
+    for t in ("ein Wort", "xq zv", "el perro 12a de\t7 la casa", "a1"):
+        bare = " ".join(w for w in t.split() if not any(c.isdigit() for c in w)) or t
+        for j, lang in enumerate(model.labels):
+            want = (model.log_prob[j][grams(bare)].mean() - np.mean(logs[lang])) / np.std(logs[lang])
+            assert math.isclose(model.fitness(t, lang), want, rel_tol=1e-6, abs_tol=1e-6)
+    got = language_id.predict(clashing(spark), model, fit_out="extra").collect()
+    assert len(got) == len(rows()) and all((r["extra"] is None) == (r["lang_pred"] == "und") for r in got)
+
+
 def test_many_labels_take_fewer_buckets(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MAX_CELLS", 1 << 16)
     model = language_id.fit(documents(spark))
