@@ -17,6 +17,7 @@ from .functions.patterns import PATTERNS
 from .functions.values import infer_type, is_empty
 from .operators import compare, drift, filters, keys, profile, quality, relations, runs, sampling, walk
 from .plans import analyze
+from .session import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -345,7 +346,7 @@ SELECT 'supplier' AS child, 's_nationkey' AS child_path, 'nation' AS parent, 'n_
 def references_supplier(spark, d):
     t = {"supplier": table(spark, d, "supplier").select("s_nationkey", "s_name"), "nation": table(spark, d, "nation").select("n_nationkey", "n_name")}
     counts = analyze.counts_of(t)
-    r = relations.references(counts, profile.fields(counts, analyze.row_counts(t)))
+    r = relations.references(counts, settle(profile.fields(counts, analyze.row_counts(t))))
     return r.where("rank = 1").select("child", "child_path", "parent", "parent_path", "child_occurrences", "orphan_occurrences")
 
 
@@ -362,7 +363,7 @@ _PAIR = "WITH a AS (SELECT {ac} AS v, count(*) AS n FROM {a} GROUP BY 1), b AS (
 def value_overlap_pairs(spark, d):
     t = {"customer": table(spark, d, "customer").select("c_custkey"), "orders": table(spark, d, "orders").select("o_custkey")}
     counts = analyze.counts_of(t)
-    j = relations.joins(counts, profile.fields(counts, analyze.row_counts(t)))
+    j = relations.joins(counts, settle(profile.fields(counts, analyze.row_counts(t))))
     return j.select("a_object", "a_path", "b_object", "b_path", *(F.round(c, 9).alias(c) for c in ("jaccard", "contained", "confidence")))
 
 
@@ -371,7 +372,7 @@ def shared_enums(spark, d):
     b = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("lstat")).union(spark.range(1).select(F.lit("P")))
     t = {"orders": table(spark, d, "orders").select(F.col("o_orderstatus").alias("ostat")), "events": b}
     counts = analyze.counts_of(t)
-    return relations.shared_enums(counts, profile.fields(counts, analyze.row_counts(t)), 0.1).select("a_object", "b_object", "shared", "jaccard")
+    return relations.shared_enums(counts, settle(profile.fields(counts, analyze.row_counts(t))), 0.1).select("a_object", "b_object", "shared", "jaccard")
 
 
 _DUP = "SELECT o_custkey, CASE WHEN o_orderkey % 40 = 0 THEN o_custkey + 1 ELSE o_custkey END AS cust_copy, (o_custkey * 7) % 1000 AS other_key FROM orders"
@@ -387,7 +388,7 @@ def duplicate_fields(spark, d):
 def shared_domains(spark, d):
     t = {"supplier": table(spark, d, "supplier").select("s_nationkey", ((F.col("s_nationkey") + 1) % 25).alias("t_nationkey"))}
     counts = analyze.counts_of(t)
-    return relations.same_values(counts, profile.fields(counts, analyze.row_counts(t))).select("field_a", "field_b", "jaccard")
+    return relations.same_values(counts, settle(profile.fields(counts, analyze.row_counts(t)))).select("field_a", "field_b", "jaccard")
 
 
 _UNIQ = "SELECT '{n}' AS name, CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_keys, count(*) FILTER (n > 1) AS repeated, sum(n) = count(*) AS is_unique FROM (SELECT count(*) AS n FROM {t} GROUP BY {k})"
@@ -789,7 +790,7 @@ def similar_fields(spark, d):
     li = table(spark, d, "lineitem").select(F.when(F.col("l_orderkey") % 2 == 0, F.col("l_linestatus")).alias("status"))
     t = {"orders": table(spark, d, "orders").select(F.col("o_orderstatus").alias("status")), "lineitem": li}
     counts = analyze.counts_of(t)
-    return relations.similar_fields(counts, profile.fields(counts, analyze.row_counts(t)))
+    return relations.similar_fields(counts, settle(profile.fields(counts, analyze.row_counts(t))))
 
 
 _METRIC_PARTS = [f"SELECT 'row_count' AS metric, '{t}' AS object, '' AS path, count(*)::DOUBLE AS value FROM {t}" for t in ("supplier", "nation")]
@@ -803,7 +804,7 @@ def run_metrics(spark, d):
     """The metrics of a run, but for derived scores."""
     t = {"supplier": table(spark, d, "supplier"), "nation": table(spark, d, "nation")}
     counts = analyze.counts_of(t)
-    p = profile.fields(counts, analyze.row_counts(t))
+    p = settle(profile.fields(counts, analyze.row_counts(t)))
     refs = relations.references(counts, p)
     m = analyze.run_metrics(p, refs, quality.object_quality(p, "2024-01-01"), [("supplier", "s_nationkey")])
     return m.where("metric in ('row_count', 'coverage') or (metric = 'distinct' and object = 'nation')")
@@ -914,4 +915,4 @@ def relationship_summary(spark, d):
     events = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("lstat")).union(spark.range(1).select(F.lit("P")))
     t = {"customer": table(spark, d, "customer").select("c_custkey"), "orders": orders, "events": events}
     counts = analyze.counts_of(t)
-    return relations.relationship_summary(relations.relationships(counts, profile.fields(counts, analyze.row_counts(t))))
+    return relations.relationship_summary(relations.relationships(counts, settle(profile.fields(counts, analyze.row_counts(t)))))

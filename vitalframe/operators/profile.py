@@ -18,6 +18,8 @@ from ..functions.values import parse_date
 from . import quantiles
 
 LOW_CARDINALITY, TOP_VALUES, EXAMPLES, QUANTILE_STEP = 50, 20, 3, 5
+#: One value in so many makes the part that bounds the first k.
+PART = 1024
 KEY = ("object", "path")
 FUTURE = "future"
 
@@ -57,10 +59,25 @@ def type_histogram(counts: DataFrame) -> DataFrame:
 
 
 def top_values(counts: DataFrame, k: int = TOP_VALUES) -> DataFrame:
-    """The k most frequent values of each field, ties by value."""
+    """The k most frequent values of each field, ties by value. Kept counts are read
+    twice more to put but few of them in order (``_in_reach``)."""
     w = Window.partitionBy(*KEY).orderBy(F.desc("n"), "value")
-    totals = counts.where("value is not null").groupBy(*KEY, "value").agg(F.sum("n").alias("n"))
-    return totals.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    first = lambda rows: rows.groupBy(*KEY, "value").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    filled = counts.where("value is not null")
+    return first(_in_reach(filled, first(filled.where(F.pmod(F.xxhash64("value"), F.lit(PART)) == 0)).where(F.col("rank") == k)) if counts.is_cached else filled)
+
+
+def _in_reach(filled: DataFrame, last: DataFrame) -> DataFrame:
+    """``filled`` without what can't be among the first k. ``last``: the k-th of one part of a
+    field's values; the k-th of all comes no later. Nothing is left out of fields without
+    a ``last``, nor of those in which a value may have several rows (types, or numbers that
+    share a text), as one row's count is not the value's."""
+    odd = (F.col("type") == "float") & ~F.col("number").eqNullSafe(F.col("value").try_cast("double"))
+    per_type = filled.groupBy(*KEY, "type").agg(F.count_if(odd).alias("odd"))
+    single = per_type.groupBy(*KEY).agg(F.count("*").alias("kinds"), F.sum("odd").alias("odd")).where("kinds = 1 and odd = 0")
+    bound = last.select(*KEY, F.col("n").alias("__n"), F.col("value").alias("__value")).join(single.select(*KEY), [*KEY])
+    ahead = F.col("__n").isNull() | (F.col("n") > F.col("__n")) | ((F.col("n") == F.col("__n")) & (F.col("value") <= F.col("__value")))
+    return filled.join(F.broadcast(bound), [*KEY], "left").where(ahead).drop("__n", "__value")  # one row per field
 
 
 def examples(counts: DataFrame, k: int = EXAMPLES) -> DataFrame:

@@ -1,7 +1,7 @@
 """Relations between fields, from value counts.
 
 All field pairs are measured at once: value counts meet on (type signature,
-value) in one shuffle, and pairs are summed from there. Shared values of fields
+value) in one shuffle and sort, and pairs are summed from there. Shared values of fields
 are few columns wide, so a value row carries at most the number of fields that
 hold it. Where a pair of fields is named, ``integrity`` is a plain left join.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import identifier_bias, is_audit, useless_for_joins
+from ..session import settle
 from .keys import find_key
 
 SIGNATURES = ("uuid", "numeric_id", "email", "url", "date", "int", "float", "string")
@@ -39,26 +40,46 @@ def integrity(child: DataFrame, child_key: str, parent: DataFrame, parent_key: s
     return m.withColumn("orphan_pct", F.when(F.col("child_occurrences") > 0, 100.0 * F.col("orphan_occurrences") / F.col("child_occurrences")).otherwise(0.0))
 
 
-def _scalars(counts: DataFrame, profile: DataFrame, ok: Column) -> DataFrame:
-    """Value counts of eligible scalar fields, with field facts."""
+def _facts(profile: DataFrame, ok: Column) -> DataFrame:
+    """Eligible scalar fields. ``mixed``: a value may have several rows in the counts, as
+    values of several types, or as numbers that share a text."""
     facts = profile.where(~F.map_contains_key("types", "object") & ~F.map_contains_key("types", "array")).where(ok)
-    facts = facts.select("object", "path", signature(F.map_filter("types", lambda t, n: t != "null")).alias("sig"), "coverage", "distinct", "rows")
-    totals = counts.where("value is not null").groupBy("object", "path", "value").agg(F.sum("n").alias("n"))
-    return totals.join(F.broadcast(facts), ["object", "path"])  # one row per field
+    filled = F.map_filter("types", lambda t, n: t != "null")
+    mixed = (F.size(filled) > 1) | F.map_contains_key(filled, "float")
+    return facts.select("object", "path", signature(filled).alias("sig"), "coverage", "distinct", "rows", mixed.alias("mixed"))
 
 
-def overlaps(a: DataFrame, b: DataFrame, on: Column | None = None) -> DataFrame:
-    """Per pair of fields: shared values, and occurrences of either side in them."""
+def overlaps(counts: DataFrame, a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
+    """Per pair of fields of one ``sig``, from ``a`` and ``b``, that ``on`` allows (never a field
+    with itself): shared values, and occurrences of either side in them. Fields that can
+    pair with none are left out before values move; the others' values carry numbers for
+    names, and meet in one shuffle."""
     a = a.select(*(F.col(c).alias(f"a_{c}") for c in a.columns))
     b = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
-    met = a.join(b, (F.col("a_sig") == F.col("b_sig")) & (F.col("a_value") == F.col("b_value")))
-    met = met if on is None else met.where(on)
-    facts = [c for c in (*a.columns, *b.columns) if c[2:] in ("object", "path", "coverage", "distinct", "rows")]
-    return met.groupBy("a_sig", *facts).agg(F.count("*").alias("shared"), F.sum("a_n").alias("a_hits"), F.sum("b_n").alias("b_hits"))
+    allowed = a.join(b, F.col("a_sig") == F.col("b_sig")).where(on)
+    ends = F.array(*(F.struct(*(F.col(f"{s}_{c}").alias(c) for c in ("object", "path", "sig", "mixed")), F.lit(s == "a").alias("a")) for s in ("a", "b")))
+    found = allowed.select(F.explode(ends).alias("e")).select("e.*").groupBy("object", "path", "sig", "mixed").agg(F.max("a").alias("a"), F.max(~F.col("a")).alias("b"))
+    fields = sorted(tuple(r) for r in found.collect())  # one row per field
+    sigs = {x: i for i, x in enumerate(sorted({f[2] for f in fields}))}
+    table = [(i, o, p, sigs[s], *rest) for i, (o, p, s, *rest) in enumerate(fields)]
+    ids = F.broadcast(counts.sparkSession.createDataFrame(table, "f int, object string, path string, s int, mixed boolean, a boolean, b boolean"))
+    rows = counts.where("value is not null").join(ids, ["object", "path"]).select("s", "value", "f", "a", "b", "n", "mixed")
+    once = rows.where("not mixed").drop("mixed") if any(f[3] for f in fields) else rows.drop("mixed")
+    if any(f[3] for f in fields):
+        once = once.unionByName(rows.where("mixed").groupBy("s", "value", "f", "a", "b").agg(F.sum("n").alias("n")))
+    others = F.collect_list(F.when(F.col("b"), F.struct("f", "n"))).over(Window.partitionBy("s", "value"))
+    met = once.withColumn("x", others).where("a").select("f", "n", F.explode("x").alias("x")).where("f <> x.f")
+    met = met.groupBy(F.col("f").alias("a_f"), F.col("x.f").alias("b_f")).agg(F.count("*").alias("shared"), F.sum("n").alias("a_hits"), F.sum("x.n").alias("b_hits"))
+    for side in ("a", "b"):
+        met = met.join(ids.select(F.col("f").alias(f"{side}_f"), F.col("object").alias(f"{side}_object"), F.col("path").alias(f"{side}_path")), f"{side}_f")
+    out = met.join(allowed, ["a_object", "a_path", "b_object", "b_path"])
+    facts = [f"{s}_{c}" for s in ("a", "b") for c in ("object", "path", "coverage", "distinct", "rows")]
+    return out.select("a_sig", *facts, "shared", "a_hits", "b_hits")
 
 
 def _with_totals(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     totals = counts.where("value is not null").groupBy("object", "path").agg(F.sum("n").alias("n"))
+    totals = settle(totals) if counts.is_cached else totals  # one row per field, read twice
     for side in ("a", "b"):
         t = totals.select(F.col("object").alias(f"{side}_object"), F.col("path").alias(f"{side}_path"), F.col("n").alias(f"{side}_total"))
         pairs = pairs.join(F.broadcast(t), [f"{side}_object", f"{side}_path"])  # one row per field
@@ -80,10 +101,10 @@ def references(counts: DataFrame, profile: DataFrame, least: float = 0.5) -> Dat
     names = _names(profile)
     audit, biased = [(p, is_audit(p)) for p in names], [(p, identifier_bias(p) > 1) for p in names]
     unique = (F.col("coverage") >= 95) & (F.col("distinct") >= 0.95 * F.col("rows")) & ~F.col("path").contains(".") & ~F.col("path").contains("[]")
-    child = _scalars(counts, profile, ~_flag(audit, F.col("path")) & (F.col("distinct") >= 3))
+    child = _facts(profile, ~_flag(audit, F.col("path")) & (F.col("distinct") >= 3))
     child = child.where(~F.col("sig").isin("int", "float") | _flag(biased, F.col("path"))).where("sig != 'date'")
-    parent = _scalars(counts, profile, unique)
-    pairs = _with_totals(overlaps(child, parent, F.col("a_object") != F.col("b_object")), counts)
+    parent = _facts(profile, unique)
+    pairs = _with_totals(overlaps(counts, child, parent, F.col("a_object") != F.col("b_object")), counts)
     resolved = F.col("a_hits") / F.col("a_total")
     enough = F.col("shared") >= F.least(F.lit(10), F.greatest(F.lit(2), F.floor(F.col("b_distinct") / 2)))
     rank = F.row_number().over(Window.partitionBy("a_object", "a_path").orderBy(F.desc("resolved"), "b_object", "b_path"))
@@ -102,8 +123,8 @@ def joins(counts: DataFrame, profile: DataFrame, least_jaccard: float = 0.15, le
     """Join candidates between objects that values confirm; best per object pair."""
     names = _names(profile)
     useless, biased = [(p, useless_for_joins(p)) for p in names], [(p, identifier_bias(p) > 1) for p in names]
-    side = _scalars(counts, profile, ~_flag(useless, F.col("path")) & (F.col("coverage") >= 60) & (F.col("distinct") >= 5)).where("sig != 'date'")
-    pairs = _with_totals(overlaps(side, side, F.col("a_object") < F.col("b_object")), counts)
+    side = _facts(profile, ~_flag(useless, F.col("path")) & (F.col("coverage") >= 60) & (F.col("distinct") >= 5)).where("sig != 'date'")
+    pairs = _with_totals(overlaps(counts, side, side, F.col("a_object") < F.col("b_object")), counts)
     same = F.regexp_replace("a_path", r"\[\]", "") == F.regexp_replace("b_path", r"\[\]", "")
     a_id, b_id = _flag(biased, F.col("a_path")), _flag(biased, F.col("b_path"))
     shaped = (F.col("contained") >= least_contained) & (a_id | b_id | same)
@@ -119,16 +140,16 @@ def joins(counts: DataFrame, profile: DataFrame, least_jaccard: float = 0.15, le
 def shared_enums(counts: DataFrame, profile: DataFrame, least: float = 0.6) -> DataFrame:
     """Pairs of small value sets in different objects that agree."""
     names = _names(profile)
-    side = _scalars(counts, profile, (F.col("distinct") >= 2) & (F.col("distinct") <= 50) & (F.col("coverage") >= 50) & ~_flag([(p, useless_for_joins(p) or identifier_bias(p) > 1) for p in names], F.col("path")))
-    pairs = _with_totals(overlaps(side.withColumn("sig", F.lit("")), side.withColumn("sig", F.lit("")), F.col("a_object") < F.col("b_object")), counts)
+    side = _facts(profile, (F.col("distinct") >= 2) & (F.col("distinct") <= 50) & (F.col("coverage") >= 50) & ~_flag([(p, useless_for_joins(p) or identifier_bias(p) > 1) for p in names], F.col("path")))
+    pairs = _with_totals(overlaps(counts, side.withColumn("sig", F.lit("")), side.withColumn("sig", F.lit("")), F.col("a_object") < F.col("b_object")), counts)
     return pairs.where(F.col("jaccard") >= least).select("a_object", "a_path", "b_object", "b_path", "jaccard", "shared")
 
 
 def same_values(counts: DataFrame, profile: DataFrame, least: float = 0.6) -> DataFrame:
     """Field pairs of one object whose value sets agree."""
     names = _names(profile)
-    side = _scalars(counts, profile, ~_flag([(p, is_audit(p)) for p in names], F.col("path")) & (F.col("coverage") >= 50) & (F.col("distinct") >= 3)).where("sig != 'date'")
-    pairs = _with_totals(overlaps(side, side, (F.col("a_object") == F.col("b_object")) & (F.col("a_path") < F.col("b_path"))), counts)
+    side = _facts(profile, ~_flag([(p, is_audit(p)) for p in names], F.col("path")) & (F.col("coverage") >= 50) & (F.col("distinct") >= 3)).where("sig != 'date'")
+    pairs = _with_totals(overlaps(counts, side, side, (F.col("a_object") == F.col("b_object")) & (F.col("a_path") < F.col("b_path"))), counts)
     return pairs.where(F.col("jaccard") >= least).select(F.col("a_object").alias("object"), F.col("a_path").alias("field_a"), F.col("b_path").alias("field_b"), "jaccard", F.col("a_coverage").alias("coverage_a"), F.col("b_coverage").alias("coverage_b"))
 
 
@@ -244,8 +265,8 @@ def similar_fields(counts: DataFrame, profile: DataFrame) -> DataFrame:
     side to prefer (more values, then fuller), and whether coverage falls off
     between them (40 points). Case and array marks in names don't matter."""
     name = F.lower(F.regexp_replace("path", r"\[\]", ""))
-    side = _scalars(counts, profile, F.col("low_cardinality")).withColumn("sig", name)
-    pairs = _with_totals(overlaps(side, side, F.col("a_object") < F.col("b_object")), counts)
+    side = _facts(profile, F.col("low_cardinality")).withColumn("sig", name)
+    pairs = _with_totals(overlaps(counts, side, side, F.col("a_object") < F.col("b_object")), counts)
     better = F.struct("a_distinct", "a_coverage") >= F.struct("b_distinct", "b_coverage")
     fuller = F.when(better, F.col("a_object")).otherwise(F.col("b_object"))
     return pairs.select(F.col("a_path").alias("path"), "a_object", "b_object", "shared", "jaccard", fuller.alias("recommended"), (F.abs(F.col("a_coverage") - F.col("b_coverage")) > 40).alias("coverage_cliff"))

@@ -70,8 +70,12 @@ def stored_profile(counts: DataFrame, fields: DataFrame, personal: DataFrame, li
     ``numbers``, ``mean`` and ``quantiles`` (21) of numbers, and ``sketch``: the ``SKETCH`` least
     hashes of distinct values. ``personal``: object, path, masked; ``links``: object, path."""
     least = F.row_number().over(Window.partitionBy(*KEY).orderBy("h"))
-    distinct = counts.where("value is not null").select(*KEY, F.xxhash64("value").alias("h")).distinct()
-    sketch = distinct.withColumn("i", least).where(F.col("i") <= SKETCH).groupBy(*KEY).agg(F.array_sort(F.collect_list("h")).alias("sketch"))
+    hashes = counts.where("value is not null").select(*KEY, F.xxhash64("value").alias("h"))
+    # The least hashes of the parts of a field: the last of so many that are wanted bounds them all.
+    parts = hashes.groupBy(*KEY, F.pmod("h", F.lit(8 * SKETCH)).alias("part")).agg(F.min("h").alias("h"))
+    bound = parts.withColumn("i", least).where(F.col("i") == SKETCH).select(*KEY, F.col("h").alias("__most"))
+    reached = hashes.join(F.broadcast(bound), KEY, "left").where("__most is null or h <= __most")  # one row per field
+    sketch = reached.select(*KEY, "h").distinct().withColumn("i", least).where(F.col("i") <= SKETCH).groupBy(*KEY).agg(F.array_sort(F.collect_list("h")).alias("sketch"))
     numbers = profile.numeric(counts.where("number is not null"), KEY, F.col("number"), F.col("n")).select(*KEY, F.col("count").alias("numbers"), "mean", "quantiles")
     spark = fields.sparkSession
     names = [(r["path"],) for r in fields.select("path").distinct().collect() if is_identifier(r["path"])]  # one row per name
