@@ -412,6 +412,15 @@ def test_alerts_and_exports(tmp_path):
     assert 'data_health_coverage{object="o\\"",path="p"} 1.0' in text
 
 
+def test_accuracy_looks_at_all_values(spark):
+    """Not only at the most frequent ones, which have no shape here; texts and numbers of one form are one value."""
+    rows = [(f"u{i}@mail.org",) for i in range(70)] + [(f"no mail {i}",) for i in range(30)] * 2
+    run = analyze.analyze({"o": spark.createDataFrame(rows, "contact string")}, "2024-01-01")
+    assert run.quality.first()["accuracy"] == pytest.approx(70.0)
+    counts, p = profiled({"m": spark.createDataFrame([('{"v": 1}',), ('{"v": "1"}',), ('{"v": 2.5}',)], "j string").select(F.parse_json("j").alias("v"))})
+    assert profile.distinct_values(counts, p).count() == counts.where("value is not null").select("object", "path", "value").distinct().count()
+
+
 def test_quality_scores(spark):
     df = spark.range(40).select(F.lit("same").alias("s"), F.when(F.col("id") < 10, "x").alias("t"), F.col("id").cast("string").alias("id"))
     _, p = profiled({"o": df})

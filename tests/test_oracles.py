@@ -59,6 +59,15 @@ def test_flagship(spark):
     assert metrics["row_count", "nation", ""] == 25 and 0 < metrics["health", "", ""] <= 100
 
 
+def test_analysis_of_all_tables(spark, db):
+    """Every table that is there is analysed, and every row of it is counted."""
+    metrics = {(r["metric"], r["object"], r["path"]): r["value"] for r in catalog.QUERIES["analyze_all"](spark, SF).collect()}
+    tables = [f.removesuffix(".parquet") for f in os.listdir(SF)]
+    assert {o: v for (m, o, _), v in metrics.items() if m == "row_count"} == {t: db.sql(f"SELECT count(*) FROM {t}").fetchall()[0][0] for t in tables}
+    have = {(o, p) for m, o, p in metrics if m == "coverage" and "[]" not in p}
+    assert have == {(t, c) for t in tables for c in db.sql(f"SELECT * FROM {t} LIMIT 0").columns}
+
+
 def test_entry_without_the_optional_part():
     """The entry point works where the training-corpus operators are absent."""
     code = (

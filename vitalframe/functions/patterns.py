@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Name and expression of each shape, in listing order.
 PATTERNS = (
     ("uuid", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),
@@ -29,8 +26,3 @@ PATTERNS = (
 )
 IDENTIFIER_PATTERNS = ("uuid", "integer_id", "md5", "sha1", "sha256", "prefixed_code", "base64ish")
 MIN_CONFORMANCE = 0.6
-
-
-def matching_patterns(s: Column) -> Column:
-    """Names of all shapes that a text has."""
-    return F.array_compact(F.array(*(F.when(s.rlike(rx), name) for name, rx in PATTERNS)))

@@ -67,6 +67,15 @@ def top_values(counts: DataFrame, k: int = TOP_VALUES) -> DataFrame:
     return first(_in_reach(filled, first(filled.where(F.pmod(F.xxhash64("value"), F.lit(PART)) == 0)).where(F.col("rank") == k)) if counts.is_cached else filled)
 
 
+def distinct_values(counts: DataFrame, profile: DataFrame) -> DataFrame:
+    """Each value of a field once. Only values that may have several rows in the counts (of
+    several types, or numbers that share a text) are shuffled to be put together."""
+    filled = F.map_filter("types", lambda t, n: t != "null")
+    mixed = profile.select(*KEY, ((F.size(filled) > 1) | F.map_contains_key(filled, "float")).alias("mixed"))
+    rows = counts.where("value is not null").join(F.broadcast(mixed), [*KEY]).select(*KEY, "value", "mixed")  # one row per field
+    return rows.where("not mixed").drop("mixed").unionByName(rows.where("mixed").drop("mixed").distinct())
+
+
 def _in_reach(filled: DataFrame, last: DataFrame) -> DataFrame:
     """``filled`` without what can't be among the first k. ``last``: the k-th of one part of a
     field's values; the k-th of all comes no later. Nothing is left out of fields without

@@ -83,16 +83,19 @@ def overall(quality: DataFrame) -> DataFrame:
     return quality.agg(F.avg("dqi").alias("overall_dqi"), *(F.avg(k).alias(k) for k in WEIGHTS))
 
 
-def pattern_conformance(shown: DataFrame) -> DataFrame:
+def pattern_conformance(shown: DataFrame, once: bool = False) -> DataFrame:
     """``object, path, pattern, conformance`` where at least 0.6 of a field's
-    distinct shown values have a shape, with the dominant one marked."""
+    distinct shown values have a shape, with the dominant one marked. ``once``: each
+    value is there once, so that values are counted where they lie."""
     from pyspark.sql import Window
 
-    from ..functions.patterns import MIN_CONFORMANCE, matching_patterns
+    from ..functions.patterns import MIN_CONFORMANCE, PATTERNS
 
-    total = shown.groupBy("object", "path").agg(F.countDistinct("value").alias("total"))
-    hits = shown.select("object", "path", "value").distinct().select("object", "path", F.explode(matching_patterns(F.col("value"))).alias("pattern")).groupBy("object", "path", "pattern").agg(F.count("*").alias("hits"))
-    out = hits.join(total, ["object", "path"]).withColumn("conformance", F.col("hits") / F.col("total")).where(F.col("conformance") >= MIN_CONFORMANCE)
+    values = shown.where("value is not null").select("object", "path", "value")
+    hits = [F.count_if(F.col("value").rlike(rx)).alias(name) for name, rx in PATTERNS]
+    per = (values if once else values.distinct()).groupBy("object", "path").agg(F.count("*").alias("total"), *hits)
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("pattern"), (F.col(name) / F.col("total")).alias("conformance")) for name, _ in PATTERNS)))
+    out = per.select("object", "path", each.alias("x")).select("object", "path", "x.*").where(F.col("conformance") >= MIN_CONFORMANCE)
     w = Window.partitionBy("object", "path").orderBy(F.desc("conformance"), "pattern")
     return out.select("object", "path", "pattern", "conformance", (F.row_number().over(w) == 1).alias("dominant"))
 

@@ -136,8 +136,7 @@ def analyze(
     rows = row_counts(tables)
     p = settle(profile.fields(counts, rows))
     fields = [r.asDict() for r in p.collect()]  # one row per field
-    shown = settle(profile.top_values(counts).select("object", "path", "value"))  # a few rows per field, read twice
-    acc = quality.accuracy(quality.pattern_conformance(shown))
+    acc = quality.accuracy(quality.pattern_conformance(profile.distinct_values(counts, p), once=True))
     q = settle(quality.object_quality(p, as_of, acc))
     refs = settle(relations.references(counts, p))
     links = [r.asDict() for r in refs.where("rank = 1").collect()]  # one row per reference
