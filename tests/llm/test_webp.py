@@ -272,3 +272,53 @@ def test_long_codes_of_all_four_samples_share_words():
     media = W.encode(p)
     assert np.array_equal(W.decode(media), rgba(p))
     assert all(np.array_equal(x, rgba(p)) for x in W.decode_many([media] * 30))
+
+
+def steps_of(media):
+    return [t[0] for t in W._transforms(*W._header(media))[0]]
+
+
+def test_encoder_writes_every_transform():
+    rng = np.random.default_rng(8)
+    g = rng.integers(0, 256, (64, 80))
+    noise = lambda: rng.integers(0, 3, g.shape)
+    image = lambda r, g, b: np.uint32(0xFF000000) | ((r & 255) << 16 | (g & 255) << 8 | b & 255).astype(np.uint32)
+    signed = (g ^ 128) - 128
+    x = np.arange(80)[None, :] * 3 + np.arange(64)[:, None] * 2
+    cases = {
+        (W.PREDICTOR,): image(x + noise(), 2 * x + noise(), 255 - x + noise()),
+        (W.PREDICTOR, W.SUBTRACT_GREEN): image(x + g // 16, x + g // 16, x + g // 16 + noise()),
+        (W.SUBTRACT_GREEN,): image(g + noise(), g, g + noise()),
+        (W.CROSS_COLOUR,): image((signed * -20 >> 5) + noise(), g, (signed * 45 >> 5) + noise()),
+        (W.PALETTE,): rng.integers(0, 1 << 32, 5, dtype=np.uint64).astype(np.uint32)[g % 5],
+    }
+    files = W.encode_many(list(cases.values()))
+    assert [tuple(steps_of(f)) for f in files] == list(cases)
+    for f, p in zip(files, cases.values(), strict=True):
+        assert f == W.encode(p) and np.array_equal(W.decode(f), rgba(p))
+    assert all(np.array_equal(y, rgba(p)) for y, p in zip(W.decode_many(files * 30), list(cases.values()) * 30, strict=True))
+    clear = [p & np.uint32(0xFFFFFF) | (g % 200 + 20).astype(np.uint32) << np.uint32(24) for p in cases.values()]
+    assert all(np.array_equal(W.decode(f), rgba(p)) for f, p in zip(W.encode_many(clear), clear, strict=True))
+
+
+def test_encoder_copies_from_far_back():
+    rng = random.Random(3)
+    once = "".join(chr(rng.randint(33, 126)) for _ in range(2997))
+    one, many = (W.encode(W.text_image(W.padded(once * k))) for k in (1, 9))
+    assert len(many) < 1.1 * len(one) and W.decode(many)[..., :3].tobytes() == W.padded(once * 9)
+    flat = np.array([5, 6, 7, 1, 5, 6, 7, 8, 2, 5, 6, 7, 8, 9, 9, 9, 9, 9], np.uint32)
+    at, length, far = W._copies([flat, flat])[1]
+    assert list(zip(at.tolist(), length.tolist(), far.tolist(), strict=True)) == [(4, 3, 4), (9, 4, 5), (14, 4, 1)]
+    long = np.tile(RNG.integers(0, 1 << 24, 7000).astype(np.uint32), 3)  # copies of 4,096 pixels at most
+    at, length, far = W._copies([long])[0]
+    assert length.sum() == 14000 and length.max() == 4096 and set(far.tolist()) == {7000}
+
+
+def test_stored_texts_use_what_helps(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(("ab ", "xyz", "...", "q7-")) for _ in range(900)), "".join(chr(rng.randint(33, 126)) for _ in range(999)) * 6]
+    got = {r["doc_id"]: r for r in W.store_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert steps_of(W.encode(W.text_image(W.padded(texts[0])))) == [W.PALETTE]
+    for i, t in enumerate(texts):
+        assert got[i]["payload_sha256"] == hashlib.sha256(W.padded(t)).hexdigest()
+    assert got[0]["media_bytes"] < 400 and got[1]["media_bytes"] < 1300
